@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import encode, mixing
+from codeweft.llm import credentials, encode, mixing
 from codeweft.session import cut, table
 
 
+def _secrets(files: DataFrame) -> DataFrame:
+    return cut(credentials.confirm(credentials.index_literals(files)))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "files")
+    return credentials.find(files, _secrets(files))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "files")
+    return credentials.redact(files, _secrets(files))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -33,7 +47,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p6_ids, p7_found, p7_mix, p7_shares]
+    names = [p1_found, p1_redacted, p6_ids, p7_found, p7_mix, p7_shares]
     return {f.__name__: f for f in names}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import credentials, encode, mixing
+from codeweft.llm import credentials, encode, mixing, syntax
 from codeweft.session import cut, table
 
 
@@ -23,6 +23,21 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact(files, _secrets(files))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    checked = syntax.check_files(table(spark, d, "files"), repair=False)
+    return checked.where("edits > 0").select("path").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "files")
+    owner = files.groupBy("path").agg(F.max("repo").alias("repo"))
+    checked = syntax.check_files(files).groupBy("path").agg(F.max("language").alias("language"), F.max("edits").alias("edits"), F.max("cause").alias("cause"))
+    per = checked.join(owner, "path").groupBy("repo", "language")
+    causes = [F.count_if(F.col("cause") == c).alias(c) for c in ("truncation", "conflict", "mismatch", "local")]
+    out = per.agg(F.count("*").alias("files"), F.count_if(F.col("edits") > 0).alias("invalid"), *causes)
+    return out.withColumn("rate", F.col("invalid") / F.col("files"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -47,7 +62,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p1_found, p1_redacted, p6_ids, p7_found, p7_mix, p7_shares]
+    names = [p1_found, p1_redacted, p5_found, p5_rates, p6_ids, p7_found, p7_mix, p7_shares]
     return {f.__name__: f for f in names}
 
 

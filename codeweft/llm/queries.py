@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import credentials, encode, mixing, syntax
+from codeweft.llm import credentials, encode, layout, mixing, syntax
 from codeweft.session import cut, table
 
 
@@ -23,6 +23,19 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact(files, _secrets(files))
 
 
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return layout.classify_files(table(spark, d, "files"), table(spark, d, "third_party"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).where("kind <> ''").select("path").distinct()
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Files by language and kind; kind '' is hand-written."""
+    return _kinds(spark, d).dropDuplicates(["path"]).groupBy("language", "kind").agg(F.count("*").alias("files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     checked = syntax.check_files(table(spark, d, "files"), repair=False)
     return checked.where("edits > 0").select("path").distinct()
@@ -62,7 +75,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p1_found, p1_redacted, p5_found, p5_rates, p6_ids, p7_found, p7_mix, p7_shares]
+    names = [p1_found, p1_redacted, p4_found, p4_kinds, p5_found, p5_rates, p6_ids, p7_found, p7_mix, p7_shares]
     return {f.__name__: f for f in names}
 
 

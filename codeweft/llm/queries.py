@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import credentials, encode, layout, mixing, syntax
+from codeweft.llm import credentials, encode, layout, mixing, prose, syntax
 from codeweft.session import cut, table
 
 
@@ -74,8 +74,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(mixing.mix(sizes, targets, plan=plan), plan)
 
 
+def _types(spark: SparkSession, d: str) -> DataFrame:
+    return prose.text_types(cut(prose.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _types(spark, d).where("junk > 0.5").select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _types(spark, d)
+
+
 def queries() -> dict:
-    names = [p1_found, p1_redacted, p4_found, p4_kinds, p5_found, p5_rates, p6_ids, p7_found, p7_mix, p7_shares]
+    names = [p1_found, p1_redacted, p4_found, p4_kinds, p5_found, p5_rates, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_statistics]
     return {f.__name__: f for f in names}
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from codeweft.plans import problems
+
 
 def queries() -> dict:
-    return {}
+    return dict(problems.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(problems.ORACLE)

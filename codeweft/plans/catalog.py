@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from codeweft.plans import problems
+from codeweft.plans import graphs, problems
+
+PARTS = (problems, graphs)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return {k: v for part in PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.ORACLE)
+    return {k: v for part in PARTS for k, v in part.ORACLE.items()}

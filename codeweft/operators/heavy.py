@@ -31,7 +31,7 @@ def callers_per_name(functions: DataFrame) -> DataFrame:
 
 
 def heavy_names(functions: DataFrame, percent: int = 1) -> DataFrame:
-    """(callee, callers, pairs) of the called names with at least ``percent`` of all pairs."""
+    """(callee, callers) of the called names with at least ``percent`` of all pairs."""
     per = callers_per_name(functions)
-    total = per.agg(F.sum("callers").alias("pairs"))  # one row
-    return per.join(F.broadcast(total), F.col("callers") * 100 >= F.col("pairs") * percent)
+    total = per.agg(F.sum("callers")).scalar()
+    return per.where(F.col("callers") * 100 >= total * percent)

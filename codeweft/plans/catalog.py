@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeweft.plans import graphs, problems
+from codeweft.plans import graphs, problems, quality
 
-PARTS = (problems, graphs)
+PARTS = (problems, graphs, quality)
 
 
 def queries() -> dict:

@@ -75,6 +75,7 @@ _WORDS_LINE = re.compile(r"(?i)^\s*(?:export\s+|env\s+|set\s+|arg\s+)?([A-Za-z_]
 _PIECES = re.compile(r'"([^"\n]{4,})"\s*(?:\+|\.|,|&)\s*"([^"\n]{4,})"|\'([^\'\n]{4,})\'\s*(?:\+|\.|,|&)\s*\'([^\'\n]{4,})\'')
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[\s\\nrt\"'+,;|#*/]|[A-Za-z0-9+/=])*?)(?:-----END|$|(?=[^A-Za-z0-9+/=\s\\\"'+,;|#*]))")
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zñ]+|\d+")
+_LEAD = re.compile(r"^\s*(?://|#|\*|/\*|--|;)\s*(?:\w+:\s+)?")  # of a comment, with a note's first word
 _COMMENT = re.compile(r"^\s*(?://|#|\*|/\*|--|;|\"\"\")")
 
 #: Strings one of which is on every line that the patterns can fit; the prefilter of the index.
@@ -176,8 +177,6 @@ def candidates(path: str, text: str) -> Iterator[tuple[str, int, str]]:
     config = not re.search(r"\.(?:py|js|ts|java|go|rs|c|h|cpp|cs|rb|php|kt|scala|swift|tsx|jsx)$", path)
     secret_kind = config and re.search(r"(?m)^kind:\s*Secret\s*$", text) is not None
     for a, b in lines:
-        if b - a > 20_000 and a == 0 and b == len(text):
-            pass  # one long line is a line like any other
         yield from _line(text[a:b].rstrip("\r"), a, config, secret_kind)
 
 
@@ -220,7 +219,8 @@ def _line(line: str, at: int, config: bool, secret_kind: bool) -> Iterator[tuple
             v, pos = values[-1]
             if secret_value(v) and "://" not in v:
                 yield v, at + pos, "call"
-    for m in _ASSIGN.finditer(line):
+    lead = _LEAD.match(line)
+    for m in _ASSIGN.finditer(line, lead.end() if lead else 0):
         if not names_secret(m.group(1)):
             continue
         rest = line[m.end() :]

@@ -32,7 +32,7 @@ def call_edges(fns: DataFrame) -> DataFrame:
 def last_definition(fns: DataFrame) -> DataFrame:
     """(repo, name, file, module, line_start) of each name's last row in the order of file and line."""
     at = F.struct("file", "line_start")
-    return fns.groupBy("repo", "name").agg(F.max_by("file", at).alias("file"), F.max_by("module", at).alias("module"), F.max_by("line_start", at).alias("line_start"))
+    return fns.groupBy("repo", "name").agg(F.max_by("file", at).alias("file"), F.max_by(F.coalesce("module", F.lit("")), at).alias("module"), F.max_by("line_start", at).alias("line_start"))
 
 
 def name_graph(fns: DataFrame) -> DataFrame:

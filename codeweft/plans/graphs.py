@@ -79,7 +79,7 @@ WITH RECURSIVE f0 AS (
   SELECT DISTINCT * EXCLUDE (ingested_at, parsed_at, session_id) FROM parsed_functions WHERE name <> '__file__'),
 f AS (SELECT * EXCLUDE (calls), line_end - line_start AS lines,
   list_sort(list_distinct(list_filter(list_transform(coalesce(calls, []), lambda x: regexp_replace(x, '^[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+|[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+$', '', 'g')), lambda x: x IS NOT NULL AND x <> ''))) AS calls FROM f0),
-last AS (SELECT repo, name, max_by(file, (file, line_start)) AS file, max_by(module, (file, line_start)) AS module FROM f GROUP BY ALL),
+last AS (SELECT repo, name, max_by(file, (file, line_start)) AS file, max_by(coalesce(module, ''), (file, line_start)) AS module FROM f GROUP BY ALL),
 c AS (SELECT repo, file, module, name AS src, unnest(calls) AS dst FROM f),
 e AS (SELECT DISTINCT c.repo, src, dst FROM c JOIN (SELECT DISTINCT repo, name FROM f) n ON n.repo = c.repo AND n.name = dst WHERE src <> dst),
 """

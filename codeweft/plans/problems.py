@@ -21,11 +21,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each class with each of its descendants, the fewest links between them and the least of the shortest paths."""
+    """Each class with each of its descendants and the fewest links between them."""
     _, links = hierarchy.class_links(table(spark, d, "parsed_classes"))
-    up = hierarchy.Hierarchy(links, paths=True).ancestors()
+    up = hierarchy.Hierarchy(links).ancestors()
+    return up.select(F.col("at.g").alias("repo"), F.col("at.n").alias("name"), F.col("v.n").alias("descendant"), F.col("way.d").alias("depth"))
+
+
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The least of the shortest paths from each root to each class below it."""
+    _, links = hierarchy.class_links(table(spark, d, "parsed_classes"))
+    up = hierarchy.Hierarchy(links, paths=True).ancestors(only_roots=True)
     path = F.concat_ws(" > ", F.reverse(F.transform("way.p", lambda x: x["n"])), F.col("v.n"))
-    return up.select(F.col("at.g").alias("repo"), F.col("at.n").alias("name"), F.col("v.n").alias("descendant"), F.col("way.d").alias("depth"), path.alias("path"))
+    return up.select(F.col("v.g").alias("repo"), F.col("v.n").alias("name"), F.col("at.n").alias("root"), F.col("way.d").alias("depth"), path.alias("path"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +50,7 @@ WITH pairs AS (
 per AS (SELECT callee, count(*) AS callers FROM pairs WHERE callee <> '' GROUP BY callee)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p3_found, p3_callers)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_paths, p3_found, p3_callers)}
 ORACLE = {
     "p3_callers": _PAIRS + "SELECT callee, callers FROM per",
     "p3_found": _PAIRS + "SELECT callee FROM per WHERE callers * 100 >= (SELECT sum(callers) FROM per)",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import text
-from codeweft.operators import classes, graph, history, imports, layers, smells
+from codeweft.operators import architecture, classes, graph, halstead, history, imports, layers, smells
 from codeweft.operators.relations import functions, once
 from codeweft.plans.graphs import BASE
 from codeweft.session import cut, table
@@ -89,6 +89,48 @@ def design_patterns(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [classes.evaluate(g, r) for r in classes.RULES])
 
 
+def architecture_patterns(spark: SparkSession, d: str) -> DataFrame:
+    f = fns(spark, d)
+    return architecture.detect(f.select("repo", "file"), graph.group_edges(f, "file"))
+
+
+def last_writer(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a trace with one variable for each user: errors write it, all else reads it."""
+    e = table(spark, d, "events")
+    writes = F.col("event_type") == "error"
+    return history.last_writers(e.select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), F.lit("v").alias("var"), (~writes).alias("reads"), writes.alias("writes")))
+
+
+def halstead_counts(spark: SparkSession, d: str) -> DataFrame:
+    return halstead.halstead(_files(spark, d))
+
+
+def maintainability(spark: SparkSession, d: str) -> DataFrame:
+    m = halstead.measures(halstead_counts(spark, d))
+    f = fns(spark, d).groupBy("repo").agg(F.avg("complexity").alias("cc"), F.count("*").alias("k"))
+    sloc = _files(spark, d).groupBy("repo").agg(F.sum(text.sloc(F.col("content"))).alias("sloc"))
+    per = m.join(f, "repo").join(sloc, "repo")
+    return per.select("repo", "vocab", "volume", text.maintainability(F.col("volume"), F.col("cc"), F.col("sloc") / F.col("k")).alias("mi"))
+
+
+def service_summary(spark: SparkSession, d: str) -> DataFrame:
+    f = fns(spark, d).groupBy("repo", "service").agg(F.countDistinct("module").alias("modules"), F.countDistinct("file").alias("files"), F.count("*").alias("functions"))
+    every = table(spark, d, "files").where("service is not null").select("repo", "service").distinct()
+    return every.join(f, ["repo", "service"], "left").na.fill(0)
+
+
+def sweep_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = F.window("ts", "30 minutes")
+    return table(spark, d, "events").groupBy(w.alias("w")).agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users")).select(F.col("w.start").alias("start"), "events", "users")
+
+
+def session_inactivity(spark: SparkSession, d: str) -> DataFrame:
+    """Whole minutes from each user's last event to the last of all."""
+    per = table(spark, d, "events").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+    end = per.agg(F.max("last")).scalar()
+    return per.select("user_id", F.floor((F.unix_micros(end) - F.unix_micros("last")) / 60_000_000).alias("minutes"))
+
+
 def effective_fields(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d).effective_fields()
 
@@ -120,7 +162,7 @@ QUERIES = {
     "import_extract": lambda s, d: imports.extract(_files(s, d)),
     "unused_imports": lambda s, d: imports.unused(_files(s, d)),
     "magic_literals": lambda s, d: _files(s, d).select("path", text.magic_literals(F.coalesce("content", F.lit(""))).alias("literals")),
-    **{f.__name__: f for f in (dead_code, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, project_metrics, layer_violations, layer_files, design_patterns, effective_fields, git_backward_loc, commit_days, session_gaps)},
+    **{f.__name__: f for f in (dead_code, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, project_metrics, layer_violations, layer_files, design_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_days, session_gaps)},
 }
 
 FAN = BASE + """
@@ -157,6 +199,23 @@ _FILES = "WITH p AS (SELECT DISTINCT repo, path, coalesce(content, '') AS t FROM
 _FILES = _FILES.replace("'\\n', 'g'", "chr(10), 'g'")
 
 
+def _q(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_HALSTEAD = f"""
+WITH p AS (SELECT DISTINCT repo, path, regexp_replace(coalesce(content, ''), '{_q(halstead.NOISE)}', ' ', 'g') AS t FROM files),
+w AS (SELECT repo, path, w, count(*) AS k FROM (SELECT repo, path, unnest(regexp_extract_all(t, '{halstead.WORD}')) AS w FROM p) GROUP BY ALL),
+m AS (SELECT repo, w, count(*) AS k FROM (SELECT repo, unnest(regexp_extract_all(t, '{halstead.MARKS}')) AS w FROM p) GROUP BY ALL),
+kw AS (SELECT unnest({halstead.KEYWORDS!r}) AS w),
+fi AS (SELECT repo, w, min(path) AS first FROM w WHERE w IN (SELECT w FROM kw) GROUP BY ALL),
+o AS (SELECT repo, w, sum(k) AS k FROM w WHERE w IN (SELECT w FROM kw) GROUP BY ALL UNION ALL SELECT * FROM m),
+i AS (SELECT w.repo, w.w, sum(k) AS k FROM w LEFT JOIN fi ON fi.repo = w.repo AND fi.w = w.w WHERE first IS NULL OR path < first GROUP BY ALL),
+a AS (SELECT repo, count(*) AS n1, CAST(sum(k) AS BIGINT) AS total1 FROM o GROUP BY ALL),
+b AS (SELECT repo, count(*) AS n2, CAST(sum(k) AS BIGINT) AS total2 FROM i GROUP BY ALL)
+"""
+
+
 def _layer_case(x: str) -> str:
     return "CASE " + " ".join("WHEN %s IN (%s) THEN '%s'" % (x, ", ".join(f"'{w}'" for w in words.split()), k) for k, words in layers.KEYWORDS.items()) + " END"
 
@@ -183,5 +242,10 @@ ORACLE = {
     "unique_method_resolution": BASE + "m AS (SELECT DISTINCT repo, class_name, name FROM f WHERE class_name IS NOT NULL) SELECT repo, name, min(class_name) AS class FROM m GROUP BY repo, name HAVING count(*) = 1",
     "method_calls": BASE + "m AS (SELECT DISTINCT repo, class_name, name FROM f WHERE class_name IS NOT NULL), u AS (SELECT repo, name, min(class_name) AS class FROM m GROUP BY repo, name HAVING count(*) = 1), mm AS (SELECT DISTINCT repo, class_name, name, calls, coalesce(instantiates, []) AS makes FROM f WHERE class_name IS NOT NULL), mc AS (SELECT repo, class_name AS class, name AS method, unnest(calls) AS callee FROM mm) SELECT mc.repo, mc.class, method, callee, u.class AS target FROM mc LEFT JOIN u ON u.repo = mc.repo AND u.name = mc.callee",
     "git_churn": "WITH c AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM commits) SELECT repo, count(DISTINCT hash) AS commits, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(insertions + deletions) AS BIGINT) AS churn, count(DISTINCT author) AS authors FROM c GROUP BY repo",
+    "last_writer": "WITH t AS (SELECT user_id AS run, event_id AS ord, event_type, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer_ord FROM events) SELECT run, ord, 'v' AS var, writer_ord FROM t WHERE event_type <> 'error' AND writer_ord IS NOT NULL",
+    "halstead_counts": _HALSTEAD + "SELECT coalesce(a.repo, b.repo) AS repo, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(total1, 0) AS total1, coalesce(total2, 0) AS total2 FROM a FULL JOIN b ON a.repo = b.repo",
+    "service_summary": BASE + "g AS (SELECT repo, service, count(DISTINCT module) AS modules, count(DISTINCT file) AS files, count(*) AS functions FROM f GROUP BY ALL) SELECT s.repo, s.service, coalesce(modules, 0) AS modules, coalesce(files, 0) AS files, coalesce(functions, 0) AS functions FROM (SELECT DISTINCT repo, service FROM files WHERE service IS NOT NULL) s LEFT JOIN g ON g.repo = s.repo AND g.service = s.service",
+    "sweep_windows": "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
+    "session_inactivity": "SELECT user_id, CAST(floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) / 60000000) AS BIGINT) AS minutes FROM events GROUP BY user_id",
     "session_gaps": "WITH a AS (SELECT user_id AS u, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 3 HOUR THEN 1 ELSE 0 END AS n FROM events), b AS (SELECT u, sum(n) OVER (PARTITION BY u ORDER BY ts) AS k FROM a), g AS (SELECT u, k, count(*) AS c FROM b GROUP BY ALL) SELECT u AS user, count(*) AS sessions, max(c) AS most_events FROM g GROUP BY ALL",
 }

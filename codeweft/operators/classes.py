@@ -161,6 +161,42 @@ def implements_interface(g: ClassGraph) -> DataFrame:
     return g.ancestors().select("repo", F.col("src").alias("class"), F.col("dst").alias("interface")).distinct()
 
 
+@predicate
+def wraps_as(g: ClassGraph, kind: str) -> DataFrame:
+    """How a class passes calls on to a field: as 'decorator' if its first delegating method calls more, else 'proxy'."""
+    declared = g.classes.select("repo", F.col("name").alias("interface"), F.explode("method_names").alias("callee"))
+    f = g.effective_fields().select("repo", F.col("owner").alias("class"), "field", F.col("type").alias("interface"))
+    calls = g.methods.select("repo", "class", F.col("name").alias("method"), F.size("calls").alias("k"), F.explode("calls").alias("callee"))
+    j = f.join(calls, ["repo", "class"]).join(declared, ["repo", "interface", "callee"], "left_semi")
+    first = j.groupBy("repo", "class", "field", "interface").agg(F.min_by("k", "method").alias("k"))
+    return first.where(F.col("k") > 1 if kind == "decorator" else F.col("k") <= 1).select("repo", "class", "field", "interface")
+
+
+@predicate
+def any_implementer_has_field_of_type(g: ClassGraph) -> DataFrame:
+    """An implementer of the interface holds the class that holds the interface."""
+    f = g.effective_fields().select("repo", F.col("owner").alias("child"), F.col("type").alias("class"))
+    return g.type_edges.select("repo", "child", F.col("parent").alias("interface")).join(f, ["repo", "child"]).select("repo", "interface", "class").distinct()
+
+
+@predicate
+def product_families(g: ClassGraph, least: int = 2) -> DataFrame:
+    """Interfaces of several methods whose implementers build at least so many different families of products."""
+    many = g.classes.where((F.col("kind").isin("interface", "abstract_class", "trait")) & (F.size("method_names") >= least)).select("repo", F.col("name").alias("parent"))
+    made = g.methods.select("repo", F.col("class").alias("child"), F.explode("makes").alias("product"))
+    family = made.groupBy("repo", "child").agg(F.array_join(F.array_sort(F.collect_set("product")), ",").alias("family"), F.countDistinct("product").alias("k")).where(F.col("k") >= least)
+    j = g.type_edges.join(many, ["repo", "parent"], "left_semi").join(family, ["repo", "child"])
+    return j.groupBy("repo", F.col("parent").alias("class")).agg(F.countDistinct("family").alias("n")).where(F.col("n") >= least).select("repo", "class")
+
+
+@predicate
+def caches_product(g: ClassGraph) -> DataFrame:
+    """A method builds a product that a collection field of its class holds."""
+    made = g.methods.select("repo", "class", F.explode("makes").alias("interface"))
+    f = g.effective_fields().where("collection").select("repo", F.col("owner").alias("class"), "field", F.col("type").alias("interface"))
+    return f.join(made, ["repo", "class", "interface"], "left_semi")
+
+
 @predicate
 def has_min_subclasses(g: ClassGraph, count: int = 2) -> DataFrame:
     return g.type_edges.groupBy("repo", F.col("parent").alias("class")).agg(F.count("*").alias("k")).where(F.col("k") >= count).select("repo", "class")
@@ -247,7 +283,11 @@ RULES = (
     Rule("Bridge", (("interface_with_single_method", {}), ("min_implementers", {"count": 2}), ("composition_field_of_type", {}), ("delegates_to_field", {}), ("has_min_subclasses", {"count": 2})), {"interface_with_single_method": 0.1, "min_implementers": 0.15, "composition_field_of_type": 0.15, "delegates_to_field": 0.2, "has_min_subclasses": 0.4}, 0.55),
     Rule("Chain of Responsibility", (("single_field_of_own_type", {}), ("delegates_to_field", {})), {"single_field_of_own_type": 0.4, "delegates_to_field": 0.6}, 0.55),
     Rule("Composite", (("list_of_own_type_field", {}), ("delegates_to_field", {})), {"list_of_own_type_field": 0.6, "delegates_to_field": 0.4}),
-    Rule("Decorator", (("single_field_of_own_type", {}), ("implements_interface", {}), ("delegates_to_field", {})), {"single_field_of_own_type": 0.15, "implements_interface": 0.35, "delegates_to_field": 0.5}),
+    Rule("Decorator", (("single_field_of_own_type", {}), ("implements_interface", {}), ("wraps_as", {"kind": "decorator"})), {"single_field_of_own_type": 0.15, "implements_interface": 0.35, "wraps_as": 0.5}),
+    Rule("Proxy", (("single_field_of_own_type", {}), ("implements_interface", {}), ("wraps_as", {"kind": "proxy"})), {"single_field_of_own_type": 0.15, "implements_interface": 0.35, "wraps_as": 0.5}),
+    Rule("State", (("interface_with_single_method", {}), ("min_implementers", {"count": 2}), ("composition_field_of_type", {}), ("delegates_to_field", {}), ("any_implementer_has_field_of_type", {})), {"interface_with_single_method": 0.1, "min_implementers": 0.15, "composition_field_of_type": 0.1, "delegates_to_field": 0.15, "any_implementer_has_field_of_type": 0.4}),
+    Rule("Abstract Factory", (("product_families", {}),), {"product_families": 0.85}),
+    Rule("Flyweight", (("caches_product", {}),), {"caches_product": 0.5}, 0.5),
     Rule("Command", (("interface_with_role_method", {"role": "COMMAND_EXECUTE"}), ("min_implementers", {"count": 2})), {"interface_with_role_method": 0.5, "min_implementers": 0.5}),
     Rule("Iterator", (("every_class", {}), ("has_role_method", {"role": "NEXT"}), ("has_role_method", {"role": "HAS_NEXT"})), {"has_role_method": 0.9}),
     Rule("Template Method", (("every_class", {}), ("abstract_method_called_by_sibling", {})), {"abstract_method_called_by_sibling": 0.9}),

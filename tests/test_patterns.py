@@ -18,6 +18,15 @@ def test_strategy_and_negatives(spark):
     assert classes.evaluate(g, rule).count() == 0
 
 
+def test_proxy_and_decorator(spark):
+    one = [("io", "Stream", False)]
+    c = spark.createDataFrame([("r", "Stream", "interface", [], [], [], ["read"]), ("r", "Lazy", "class", [], ["Stream"], one, ["read"]), ("r", "Loud", "class", [], ["Stream"], one, ["read"])], CLASSES)
+    f = spark.createDataFrame([("r", "read", "Lazy", ["read"], []), ("r", "read", "Loud", ["log", "read"], [])], FNS)
+    g = classes.ClassGraph(c, f)
+    by = {p: [r["class"] for r in classes.evaluate(g, next(r for r in classes.RULES if r.pattern == p)).collect()] for p in ("Proxy", "Decorator")}
+    assert by == {"Proxy": ["Lazy"], "Decorator": ["Loud"]}
+
+
 def test_all_rules_run_on_empty_tables(spark):
     g = classes.ClassGraph(spark.createDataFrame([], CLASSES), spark.createDataFrame([], FNS))
     assert all(classes.evaluate(g, r).isEmpty() for r in classes.RULES[:3])

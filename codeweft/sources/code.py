@@ -37,8 +37,7 @@ def scan_folder(spark: SparkSession, root: str, most: int | None = None) -> Data
     ``most`` is the upload feature's cap on files; without it all files come.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.substring_index(F.col("path"), base, -1)
+    path = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     rows = raw.where(F.col("length") <= MOST_BYTES).select(path.alias("path"), F.col("length").alias("size"), "content")
     rows = rows.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~skipped(F.col("path")))
     rows = rows.select("path", "language", "size", F.expr("try_validate_utf8(cast(content as string))").alias("content"), F.xxhash64("path").alias("ord"))

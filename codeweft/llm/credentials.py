@@ -2,7 +2,8 @@
 
 1. Literals that may be credentials are indexed corpus-wide, each with the form it was found in.
 2. A value that many owners share is a placeholder, whatever it looks like: values are counted by owner.
-3. Rare values of a credential's structure are confirmed.
+3. Rare values of a credential's structure are confirmed; plain words and digits only if they also stand, in whatever
+   role, in few owners' files.
 4. Every file is read again with an automaton over the confirmed values, so that a value is found wherever it stands.
 """
 
@@ -28,6 +29,8 @@ MOST_OWNERS = 3
 BLOCK = 200_000
 #: Shortest value that is looked for.
 SHORTEST = 6
+#: The form of values that only their names tell; it sorts before all others, so that any other form wins.
+PLAIN = "a plain"
 
 # Words that name a secret, in several languages, as parts of identifiers.
 SECRET_WORDS = (
@@ -156,6 +159,22 @@ def secret_value(v: str) -> bool:
     return like_password(v) or hex_key(v) or random_like(v) or inner is not None and like_password(inner)
 
 
+def plain_value(v: str) -> bool:
+    """Letters, digits or words: the form says nothing, so the name must, and few owners may hold it anywhere."""
+    return SHORTEST <= len(v) <= 200 and not PLACEHOLDER.match(v) and bool(re.fullmatch(r"[^\W_]+(?:[ _\-.'][^\W_]+)*[.!?]?", v))
+
+
+def names_plainly(name: str) -> bool:
+    """Names a secret and no place: a name whose only such word is ``key`` may be one of a map."""
+    w = parts(name)
+    return names_secret(name) and w != ["key"]
+
+
+def drawn_letters(v: str) -> bool:
+    """Letters or digits whose case changes within, or digits only: no word of a text."""
+    return plain_value(v) and bool(re.fullmatch(r"\d+|(?=.*[a-z][A-Z])(?=.*[A-Z].*[A-Z])[A-Za-z\d]+", v))
+
+
 def candidates(path: str, text: str) -> Iterator[tuple[str, int, str]]:
     """(raw value, its place, form) of each literal that may be a credential. Any text; an empty one has none."""
     if "PRIVATE KEY-----" in text:
@@ -192,6 +211,8 @@ def _line(line: str, at: int, config: bool, secret_kind: bool) -> Iterator[tuple
         for m in _PARAM.finditer(line):
             if secret_value(m.group(1)):
                 yield m.group(1), at + m.start(1), "param"
+            elif drawn_letters(m.group(1)):
+                yield m.group(1), at + m.start(1), PLAIN
     for m in _HEADER.finditer(line):
         inner = decoded(m.group(2))
         basic = m.group(1).lower() == "basic" and inner is not None and re.fullmatch(r"[^:\s]+:(\S{4,})", inner)
@@ -201,6 +222,8 @@ def _line(line: str, at: int, config: bool, secret_kind: bool) -> Iterator[tuple
         for m in _FLAG.finditer(line):
             if secret_value(m.group(1)):
                 yield m.group(1), at + m.start(1), "flag"
+            elif drawn_letters(m.group(1)):
+                yield m.group(1), at + m.start(1), PLAIN
         for m in _USER.finditer(line):
             if secret_value(m.group(2)):
                 yield m.group(2), at + m.start(2), "flag"
@@ -237,10 +260,14 @@ def _line(line: str, at: int, config: bool, secret_kind: bool) -> Iterator[tuple
             continue
         if secret_value(v) and "://" not in v:
             yield v, at + pos, "named"
+        elif plain_value(v) and names_plainly(m.group(1)) and (lit or line[pos + len(v) :].strip() in ("", ",", ";")):
+            yield v, at + pos, PLAIN
     if config:
         m = _WORDS_LINE.match(line)
         if m and names_secret(m.group(1)) and secret_value(m.group(2)):
             yield m.group(2), at + m.start(2), "named"
+        elif m and len(parts(m.group(1))) > 1 and names_plainly(m.group(1)) and plain_value(m.group(2)):
+            yield m.group(2), at + m.start(2), PLAIN
     if config or _COMMENT.match(line):
         for pattern in (_PROSE, _SAID):
             for m in pattern.finditer(line):
@@ -279,6 +306,25 @@ def confirm(index: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     return pairs.groupBy("raw").agg(F.count("*").alias("owners"), F.max("form").alias("form")).where(F.col("owners") <= most_owners)
 
 
+def without_words(confirmed: DataFrame, files: DataFrame, path: str = "path", text: str = "content", owner: str | None = "repo", most_owners: int = MOST_OWNERS, block: int = BLOCK) -> DataFrame:
+    """``confirmed`` without the plain values that more than ``most_owners`` owners hold anywhere in their files."""
+    plain = confirmed.where(F.col("form") == PLAIN)
+    who = F.coalesce(F.col(owner), F.element_at(F.split(path, "/"), 1)) if owner else F.element_at(F.split(path, "/"), 1)
+    seen = None
+    for shared in _blocks(plain, block):
+
+        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            scan = _scanner(shared)
+            for b in it:
+                rows = {(v, o): None for o, t in zip(*(c.to_pylist() for c in b.columns)) for v in scan.values(t)}
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["raw", "owner"])
+
+        part = files.where(F.col(text).isNotNull()).select(F.coalesce(who, F.lit("")), text).mapInArrow(run, "raw string, owner string")
+        seen = part if seen is None else seen.union(part)
+    common = seen.distinct().groupBy("raw").agg(F.count("*").alias("n")).where(F.col("n") > most_owners)
+    return confirmed.join(common, "raw", "left_anti")
+
+
 class Scanner:
     """An automaton over confirmed values; a hit may not continue a word to either side."""
 
@@ -290,14 +336,22 @@ class Scanner:
             self.automaton.make_automaton()
         self.empty = not values
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        out = []
+    def _hits(self, text: str) -> Iterator[tuple[int, int]]:
         if self.empty:
-            return out
+            return
         for end, n in self.automaton.iter(text):
             a, b = end + 1 - n, end + 1
             if a and text[a - 1].isalnum() and text[a].isalnum() and not text[a - 2 : a] in ("\\n", "\\t") or b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
                 continue
+            yield a, b
+
+    def values(self, text: str) -> set[str]:
+        """The values that stand in ``text``, those within others too."""
+        return {text[a:b] for a, b in self._hits(text)}
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        out = []
+        for a, b in self._hits(text):
             if text.startswith("-----BEGIN", a):
                 close = text.find("-----END", b)
                 b = b if close < 0 else close

@@ -10,7 +10,8 @@ from codeweft.session import cut, table
 
 
 def _secrets(files: DataFrame) -> DataFrame:
-    return cut(credentials.confirm(credentials.index_literals(files)))
+    rare = cut(credentials.confirm(credentials.index_literals(files)))
+    return cut(credentials.without_words(rare, files))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

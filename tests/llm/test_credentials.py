@@ -62,3 +62,17 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], FILES)
     ok = c.confirm(c.index_literals(df))
     assert c.find(df, ok).count() == c.redact(df, ok).count() == 0
+
+
+def test_plain_values_need_a_name_and_few_owners(spark):
+    for line, value in {
+        '"client_secret": "AjKJoklpLPcENX",': "AjKJoklpLPcENX", 'db_admin_pw = "EVnERgDRyhQQ"': "EVnERgDRyhQQ", 'password = "seven-shard-entry"': "seven-shard-entry",
+        'pin_secret = "739104418"': "739104418", 'passphrase = "seven shards enter late"': "seven shards enter late", 'c = "tool --token ntObNoDMeoqTa --x"': "ntObNoDMeoqTa",
+    }.items():
+        assert found("a/b.py", line + "\n") == {value}, line
+    for line in ('key = "freight"', 'password = "} else {"', 'token_url = "freight"', "# tool --token instead of a password"):
+        assert not found("a/b.py", line + "\n"), line
+    rows = [("r0/a.py", "r0", 'secret = "harvest"\npassword = "mildewed"\n', None), *[(f"o{k}/t.txt", f"o{k}", "a good harvest", None) for k in range(4)]]
+    df = spark.createDataFrame(rows, FILES)
+    rare = c.confirm(c.index_literals(df))
+    assert {r.raw for r in c.without_words(rare, df).collect()} == {"mildewed"}

@@ -3,7 +3,8 @@
 Each source is a task of rate w. Its k-th block (k = 1, 2, ...) is released in slot floor((k-1)/w) and due by slot
 ceil(k/w); earliest deadline first fills each slot with a released block, so after any number of slots each source is
 less than one block from its share. Weights are counted in slots of a hyperperiod, in which all windows repeat: the
-schedule is one table of ``slots`` rows whatever the corpus holds, and a block's place is arithmetic on it.
+schedule is one table of ``slots`` rows whatever the corpus holds, and a block's place is arithmetic on it. A source
+whose weight rounds to no slot joins, with each of its blocks, the slot in the middle of that block's own window.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", block: int =
 
     Records of a source come in the order of a hash of their key, again from the first when all are used up, until the
     source's planned tokens are reached; ``copy`` counts from 0. Tokens of a source fill blocks of ``block`` tokens,
-    blocks fill slots by :func:`pfair`. Running sums go by (source, hash range), so that a source with a third of all
+    blocks fill slots by :func:`pfair`, or join one where the source's weight is less than a slot. Running sums go by (source, hash range), so that a source with a third of all
     rows is spread over ``buckets`` tasks; let buckets grow with the rows. Records without tokens take no place.
     """
     plan = mix_plan(sizes, targets) if plan is None else plan
@@ -96,9 +97,10 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", block: int =
             table.append((k, per[k], slot))
             per[k] += 1
     place = spark.createDataFrame(table, "task int, turn long, at long")
+    whole = sum(r["planned"] for r in rows) or 1.0
     known = spark.createDataFrame(
-        [(k, r["source"], r["__source"], int(r["own"]), float(r["planned"]), per[k]) for k, r in enumerate(rows)],
-        "task int, source string, __source string, own long, planned double, turns long",
+        [(k, r["source"], r["__source"], int(r["own"]), float(r["planned"]), per[k], float(r["planned"] / whole)) for k, r in enumerate(rows)],
+        "task int, source string, __source string, own long, planned double, turns long, rate double",
     )
     h = F.xxhash64(F.col(key), F.lit(42))
     docs = sizes.where(F.col("tokens") > 0).select(F.col(key), F.col("tokens"), norm("source").alias("__source"), h.alias("__h"))
@@ -112,8 +114,9 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", block: int =
     docs = docs.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     start = F.col("__at") + F.col("copy") * F.col("own")
     docs = docs.withColumn("__block", F.floor(start / block)).withColumn("turn", F.pmod("__block", F.greatest("turns", F.lit(1))))
-    docs = docs.join(F.broadcast(place), ["task", "turn"])
-    slot = F.floor(F.col("__block") / F.col("turns")) * slots + F.col("at")
+    docs = docs.join(F.broadcast(place), ["task", "turn"], "left")  # a source without a turn has no row there
+    slot = F.when(F.col("turns") > 0, F.floor(F.col("__block") / F.col("turns")) * slots + F.col("at"))
+    slot = slot.otherwise(F.floor((F.col("__block") + 0.5) / F.col("rate")))
     return docs.select(key, "source", "copy", "tokens", slot.alias("slot"), start.alias("place"))
 
 

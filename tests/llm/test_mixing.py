@@ -40,3 +40,16 @@ def test_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     assert mix(sizes, targets).count() == 0
     assert [r.short for r in mix_plan(sizes, targets).collect()] == [False]
+
+
+def test_source_below_one_slot_is_kept(spark):
+    sizes = spark.createDataFrame([(k, "big", 1000) for k in range(200)] + [(1000 + k, "small", 5) for k in range(4)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("big", 0.9, 1), ("small", 0.1, 2)], TARGETS)
+    plan = mix_plan(sizes, targets)
+    rows = [r for r in mix(sizes, targets, block=10, slots=100).collect() if r.source == "small"]
+    assert sorted((r.doc_id, r.copy) for r in rows) == [(1000 + k, c) for k in range(4) for c in (0, 1)]
+    rate = {r.source: r.share for r in plan.collect()}["small"]
+    assert 0 < rate < 1 / 200
+    assert all(r.place // 10 / rate <= r.slot < (r.place // 10 + 1) / rate for r in rows)  # each block within its window
+    shares = {r.source: r for r in mix_shares(mix(sizes, targets, slots=100), plan).collect()}
+    assert shares["small"].tokens == 40 and shares["small"].actual > 0

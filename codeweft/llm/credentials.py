@@ -325,6 +325,17 @@ def without_words(confirmed: DataFrame, files: DataFrame, path: str = "path", te
     return confirmed.join(common, "raw", "left_anti")
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap made one."""
+    kept: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if kept and a < kept[-1][1]:
+            kept[-1] = (kept[-1][0], max(b, kept[-1][1]))
+        else:
+            kept.append((a, b))
+    return kept
+
+
 class Scanner:
     """An automaton over confirmed values; a hit may not continue a word to either side."""
 
@@ -356,14 +367,7 @@ class Scanner:
                 close = text.find("-----END", b)
                 b = b if close < 0 else close
             out.append((a, b))
-        out.sort()
-        kept: list[tuple[int, int]] = []
-        for a, b in out:
-            if kept and a < kept[-1][1]:
-                kept[-1] = (kept[-1][0], max(b, kept[-1][1]))
-            else:
-                kept.append((a, b))
-        return kept
+        return merged(out)
 
 
 _scanners: dict[int, Scanner] = {}
@@ -410,39 +414,56 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(files: DataFrame, confirmed: DataFrame, path: str = "path", text: str = "content", block: int = BLOCK) -> DataFrame:
-    """(path, line_no) of each line on which a confirmed value begins; each once, however often a file's row repeats."""
-    out = None
+SPAN = pa.list_(pa.int32())
+
+
+def _located(files: DataFrame, confirmed: DataFrame, path: str, text: str, block: int) -> DataFrame:
+    """All rows as (path, content, spans): begins and ends in turn of the masked parts of the row's own text.
+
+    Each block adds its spans to those of the blocks before, so they are the same in however many blocks values come.
+    """
+    out = files.select(F.col(path).alias("path"), F.col(text).alias("content"), F.lit(None).cast("array<int>").alias("spans"))
     for shared in _blocks(confirmed, block):
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             scan = _scanner(shared)
             for b in it:
-                rows: dict[tuple[str, int], None] = {}
-                for p, t in zip(*(c.to_pylist() for c in b.columns)):
-                    line, at = 1, 0
-                    for a, _ in scan.spans(t):
-                        line, at = line + t.count("\n", at, a), a
-                        rows[p, line] = None
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["path", "line_no"]
-                )
+                spans = []
+                for t, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    known = [*zip(known[::2], known[1::2])] if known else []
+                    new = [] if t is None else scan.spans(t)
+                    spans.append([x for ab in (merged(known + new) if known else new) for x in ab])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, SPAN)], names=["path", "content", "spans"])
+
+        out = out.mapInArrow(run, "path string, content string, spans array<int>")
+    return out
 
-        part = files.select(path, text).where(F.col(text).isNotNull()).mapInArrow(run, "path string, line_no int")
-        out = part if out is None else out.union(part)
-    return out.distinct()
+
+def find(files: DataFrame, confirmed: DataFrame, path: str = "path", text: str = "content", block: int = BLOCK) -> DataFrame:
+    """(path, line_no) of each line on which a confirmed value begins; each once, however often a file's row repeats."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows: dict[tuple[str, int], None] = {}
+            for p, t, spans in zip(*(c.to_pylist() for c in b.columns)):
+                line, at = 1, 0
+                for a in spans[::2]:
+                    line, at = line + t.count("\n", at, a), a
+                    rows[p, line] = None
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["path", "line_no"]
+            )
+
+    hits = _located(files.where(F.col(text).isNotNull()), confirmed, path, text, block).where(F.size("spans") > 0)
+    return hits.mapInArrow(run, "path string, line_no int").distinct()
 
 
 def redact(files: DataFrame, confirmed: DataFrame, path: str = "path", text: str = "content", block: int = BLOCK) -> DataFrame:
     """All rows of (``path``, ``text``) with the confirmed values masked; other characters, row counts and nulls stay."""
-    out = files.select(F.col(path).alias("path"), F.col(text).alias("content"))
-    for shared in _blocks(confirmed, block):
 
-        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            scan = _scanner(shared)
-            for b in it:
-                texts = [None if t is None else mask(t, scan.spans(t)) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["path", "content"])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = [mask(t, [*zip(s[::2], s[1::2])]) if s else t for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["path", "content"])
 
-        out = out.mapInArrow(run, "path string, content string")
-    return out
+    return _located(files, confirmed, path, text, block).mapInArrow(run, "path string, content string")

@@ -76,3 +76,14 @@ def test_plain_values_need_a_name_and_few_owners(spark):
     df = spark.createDataFrame(rows, FILES)
     rare = c.confirm(c.index_literals(df))
     assert {r.raw for r in c.without_words(rare, df).collect()} == {"mildewed"}
+
+
+def test_blocks_of_values_give_one_result(spark):
+    values = ["Sensor#31", "x-Sensor#31-longer77", "31-longer77 and", "BEGINS&9", "a1 BEGINS&9 z"]
+    text = "k = x-Sensor#31-longer77 and more\nSensor#31\nq = a1 BEGINS&9 z"
+    df = spark.createDataFrame([("r/a.py", "r", text, None), ("r/b.py", "r", None, None)], FILES)
+    ok = spark.createDataFrame([(v,) for v in values], "raw string")
+    want = "k = " + "*" * 24 + " more\n" + "*" * 9 + "\nq = " + "*" * 13
+    for block in (1, 2, 100):
+        assert {r.path: r.content for r in c.redact(df, ok, block=block).collect()} == {"r/a.py": want, "r/b.py": None}, block
+        assert {(r.path, r.line_no) for r in c.find(df, ok, block=block).collect()} == {("r/a.py", 1), ("r/a.py", 2), ("r/a.py", 3)}

@@ -28,11 +28,17 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The least of the shortest paths from each root to each class below it."""
-    _, links = hierarchy.class_links(table(spark, d, "parsed_classes"))
-    up = hierarchy.Hierarchy(links, paths=True).ancestors(only_roots=True)
+    """One path, the least of the shortest, from each root to each class it reaches; a root's own is its name, depth 0.
+
+    Classes that reach no root, as all above them lies on cycles, have no path; ``p2_found`` flags the cycles.
+    """
+    nodes, links = hierarchy.class_links(table(spark, d, "parsed_classes"))
+    h = hierarchy.Hierarchy(links, paths=True)
+    up = h.ancestors(only_roots=True)
     path = F.concat_ws(" > ", F.reverse(F.transform("way.p", lambda x: x["n"])), F.col("v.n"))
-    return up.select(F.col("v.g").alias("repo"), F.col("v.n").alias("name"), F.col("at.n").alias("root"), F.col("way.d").alias("depth"), path.alias("path"))
+    below = up.select(F.col("v.g").alias("repo"), F.col("v.n").alias("name"), F.col("at.n").alias("root"), F.col("way.d").alias("depth"), path.alias("path"))
+    top = nodes.join(h.links.select(F.col("child").alias("id")).distinct(), "id", "left_anti")
+    return below.union(top.select(F.col("id.g").alias("repo"), *(F.col("id.n").alias(c) for c in ("name", "root")), F.lit(0).alias("depth"), F.col("id.n").alias("path")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

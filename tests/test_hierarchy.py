@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from codeweft.operators.hierarchy import Hierarchy, class_links, parent_name
+from codeweft.plans.problems import p2_paths
 
 CLASSES = "repo string, name string, bases array<string>, interfaces array<string>"
 
@@ -63,3 +64,10 @@ def test_parent_names_and_links(spark):
     nodes, links = class_links(spark.createDataFrame(rows, CLASSES).withColumn("g", F.lit(1)))
     assert {(r.id.g, r.id.n) for r in nodes.collect()} == {("r", "A"), ("r", "B"), ("q", "B"), ("", "A")}
     assert {(r.child.n, r.parent.n) for r in links.collect()} == {("A", "B"), ("A", "A")}
+
+
+def test_every_class_has_its_paths(spark, tmp_path):
+    rows = [("r", "A", ["B"], None), ("r", "B", ["C"], None), ("r", "C", None, None), ("r", "Alone", None, None), ("r", "X", ["X"], None)]
+    spark.createDataFrame(rows, CLASSES).write.parquet(str(tmp_path / "parsed_classes.parquet"))
+    got = {(r.name, r.root, r.depth, r.path) for r in p2_paths(spark, str(tmp_path)).collect()}
+    assert got == {("A", "C", 2, "C > B > A"), ("B", "C", 1, "C > B"), ("C", "C", 0, "C"), ("Alone", "Alone", 0, "Alone")}

@@ -56,8 +56,36 @@ def import_layer(raw: F.Column) -> F.Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.lit("unknown"))
 
 
-def violations(imports: DataFrame) -> DataFrame:
-    """(path, raw, source_layer, target_layer, type, severity) of (path, raw) import rows that break the order."""
+def affix_layer(name: F.Column) -> F.Column:
+    """Layer of a name that is, begins with or ends in a keyword; layers in order of precedence."""
+    out = F
+    for layer, words in KEYWORDS.items():
+        any_of = "|".join(words.split())
+        out = out.when(name.rlike(rf"\A(?:{any_of})|(?:{any_of})\z"), layer)
+    return out
+
+
+def file_layer(path: F.Column) -> F.Column:
+    """:func:`path_layer`, for files without such a folder by the affixes of the name without its last extension."""
+    p = F.regexp_replace(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), r"(?:/\.?)+\z", "")
+    stem = F.regexp_replace(F.regexp_extract(p, r"([^/]*)\z", 1), r"(?<=.)\.[^.]+\z", "")
+    folders = path_layer(p)
+    return F.when(folders != "unknown", folders).otherwise(F.coalesce(affix_layer(stem), F.lit("unknown")))
+
+
+def reference_layer(raw: F.Column) -> F.Column:
+    """Layer by an import specifier's deepest segment that is, begins with or ends in a keyword, without extensions of code."""
+    bare = F.regexp_replace(F.lower(F.replace(raw, F.lit("\\"), F.lit("/"))), r"\.(?:jsx?|tsx?|py|java|go|rs|cs|cpp|c)\z", "")
+    hits = F.filter(F.transform(F.reverse(F.split(bare, r"[/.:]+")), affix_layer), lambda x: x.isNotNull())
+    return F.coalesce(F.get(hits, F.lit(0)), F.lit("unknown"))
+
+
+def violations(imports: DataFrame, names: bool = False) -> DataFrame:
+    """(path, raw, source_layer, target_layer, type, severity) of (path, raw) import rows that break the order.
+
+    With ``names`` layers are also taken from affixes of file names and import segments, as the reference does.
+    """
+    source, target = (file_layer, reference_layer) if names else (path_layer, import_layer)
     table = imports.sparkSession.createDataFrame(transitions(), "source_layer string, target_layer string, type string, severity string")
-    rows = imports.select("path", "raw").distinct().withColumn("source_layer", path_layer(F.col("path"))).withColumn("target_layer", import_layer(F.col("raw")))
+    rows = imports.select("path", "raw").distinct().withColumn("source_layer", source(F.col("path"))).withColumn("target_layer", target(F.col("raw")))
     return rows.join(F.broadcast(table), ["source_layer", "target_layer"]).select("path", "raw", "source_layer", "target_layer", "type", "severity")

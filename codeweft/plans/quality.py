@@ -76,6 +76,16 @@ def layer_files(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", layers.path_layer(F.col("path")).alias("layer")).distinct()
 
 
+def layer_files_named(spark: SparkSession, d: str) -> DataFrame:
+    """``layer_files`` with the reference's fallback to file names; the SQL of ``layer_files`` reads folders only."""
+    return _files(spark, d).select("path", layers.file_layer(F.col("path")).alias("layer")).distinct()
+
+
+def layer_violations_named(spark: SparkSession, d: str) -> DataFrame:
+    """``layer_violations`` by names too; the SQL of ``layer_violations`` takes whole segments only."""
+    return layers.violations(table(spark, d, "file_imports"), names=True)
+
+
 def _graph(spark: SparkSession, d: str) -> classes.ClassGraph:
     return classes.ClassGraph(once(table(spark, d, "parsed_classes")), fns(spark, d))
 
@@ -162,7 +172,7 @@ QUERIES = {
     "import_extract": lambda s, d: imports.extract(_files(s, d)),
     "unused_imports": lambda s, d: imports.unused(_files(s, d)),
     "magic_literals": lambda s, d: _files(s, d).select("path", text.magic_literals(F.coalesce("content", F.lit(""))).alias("literals")),
-    **{f.__name__: f for f in (dead_code, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, project_metrics, layer_violations, layer_files, design_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_days, session_gaps)},
+    **{f.__name__: f for f in (dead_code, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, project_metrics, layer_violations, layer_files, layer_violations_named, layer_files_named, design_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_days, session_gaps)},
 }
 
 FAN = BASE + """

@@ -3,17 +3,24 @@
 A hash of its id makes a node a splitter. Every node walks upwards until it meets splitters or roots, which takes few
 rounds however deep the hierarchy is; the pointers between splitters form a graph a part of the size, which is solved by
 doubling; each node's answers are then its own walk put before its splitters'. Nodes may have several parents.
-Cycles that hold no splitter show in the walk, for it keeps what it has visited; the others show in the reduced graph.
+Cycles that hold no splitter show in the walk, for their nodes come back to themselves; the others show in the reduced
+graph.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.session import cut
 
 
+#: Links that a walk takes before its rows are made distinct and written.
+HOPS = 3
+
+
 def _least(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("way").alias("way"))
 
@@ -21,92 +28,153 @@ def _least(df: DataFrame, *keys: str) -> DataFrame:
 class Hierarchy:
     """Links (child, parent) of any id type, repeats and self links allowed; rows with a null id are no links.
 
-    ``share``: one in how many nodes is a splitter. With ``paths`` each way also carries its ids, the least of the
-    shortest paths. ``way`` is (d, p): number of links and the ids behind the first.
+    ``share``: one in how many nodes is a splitter. Within, nodes are 64-bit hashes of their ids, which are checked to
+    be all different and drawn anew if they aren't; ``names`` (k, id) leads back. With ``paths``, a field of struct ids
+    or "" for the id itself, each way also carries that label of the nodes behind the first, the least of the shortest
+    ways. ``way`` is (d, p): number of links and labels.
     """
 
-    def __init__(self, links: DataFrame, share: int = 2, paths: bool = False):
+    def __init__(self, links: DataFrame, share: int = 4, paths: str | None = None):
         links = links.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
-        inner = links.select(F.col("child").alias("parent"), F.lit(True).alias("inner")).distinct()
-        split = F.pmod(F.xxhash64("parent", F.lit(7)), F.lit(share)) == 0
-        links = links.join(inner, "parent", "left")
-        root = F.col("inner").isNull()
-        self.links = cut(links.select("child", "parent", root.alias("root"), (~root & split).alias("split")))
+        ids = links.select(F.col("child").alias("id")).union(links.select("parent")).distinct()
+        for seed in range(8):
+            key = lambda c: F.xxhash64(F.lit(seed), F.col(c))  # noqa: B023, E731
+            self.names = cut(ids.select(key("id").alias("k"), "id"))
+            if not self.names.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+                break
+        else:
+            raise ValueError("ids hash to equal keys")
         self.share, self.paths = share, paths
-        self.walk = self._walk()
+        label = F.col(f"parent.{paths}" if paths else "parent").cast("string") if paths is not None else F.lit(0)
+        rows = links.select(key("child").alias("c"), key("parent").alias("p"), label.alias("label"))
+        inner = rows.select(F.col("c").alias("p"), F.lit(True).alias("inner")).distinct()
+        rows = rows.join(inner, "p", "left").select("c", "p", "label", F.col("inner").isNull().alias("root"))
+        self.rows = cut(rows.withColumn("split", ~F.col("root") & self._hashed("p")))
+        self.walk, self.extra = self._walk()
         self.reduced = self._solve()
 
-    def _way(self, d, p) -> F.Column:
-        return F.struct(d.cast("int").alias("d"), (p if self.paths else F.lit(0)).alias("p"))
+    def _hashed(self, c: str) -> F.Column:
+        return F.pmod(F.xxhash64(c, F.lit(7)), F.lit(self.share)) == 0
+
+    def _way(self, d: F.Column, p: F.Column) -> F.Column:
+        return F.struct(d.cast("int").alias("d"), (p if self.paths is not None else F.lit(0)).alias("p")).alias("way")
 
     def _join_ways(self, a: str, b: str) -> F.Column:
-        p = F.concat(F.col(f"{a}.p"), F.col(f"{b}.p")) if self.paths else F.lit(0)
-        return F.struct((F.col(f"{a}.d") + F.col(f"{b}.d")).alias("d"), p.alias("p")).alias("way")
-
-    def _walk(self) -> DataFrame:
-        """(v, at, way, root, split): what each node meets up to its first splitters and roots, each once."""
-        one = self._way(F.lit(1), F.array("parent")).alias("way")
-        front = cut(self.links.select(F.col("child").alias("v"), F.col("parent").alias("at"), one, "root", "split"))
-        parts, seen = [front], front.select("v", "at")
-        step = self.links.select(F.col("child").alias("at"), F.col("parent").alias("to"), F.col("root").alias("r"), F.col("split").alias("s"))
+        return self._way(F.col(f"{a}.d") + F.col(f"{b}.d"), F.concat(F.col(f"{a}.p"), F.col(f"{b}.p")))
+
+    def _walk(self) -> tuple[DataFrame, DataFrame | None]:
+        """(v, at, way, root, split): what each node meets up to its first splitters and roots, each once; and extra ones.
+
+        Nodes that come back to themselves before any splitter are on cycles without one; they become splitters too
+        ("extra"), so that each cycle holds a splitter and every walk ends.
+        """
+        first = self.rows.select(F.col("c").alias("v"), F.col("p").alias("at"), self._way(F.lit(1), F.array("label")), "root", "split")
+        step = self.rows.select(F.col("c").alias("at"), F.col("p").alias("to"), "label", F.col("root").alias("r"), F.col("split").alias("s"))
+        found, extra, front = [first], None, first
         while True:
-            more = front.where(~F.col("root") & ~F.col("split")).join(step, "at")
-            p = F.concat(F.col("way.p"), F.array("to")) if self.paths else F.lit(0)
-            way = F.struct((F.col("way.d") + 1).alias("d"), p.alias("p")).alias("way")
-            more = more.select("v", F.col("to").alias("at"), way, F.col("r").alias("root"), F.col("s").alias("split"))
-            more = more.groupBy("v", "at").agg(F.min("way").alias("way"), F.max("root").alias("root"), F.max("split").alias("split"))
-            front = cut(more.join(seen, ["v", "at"], "left_anti"))
-            if front.isEmpty():
+            batch = []
+            for _ in range(HOPS):
+                front = front.where(~F.col("root") & ~F.col("split")).join(step, "at")
+                way = self._way(F.col("way.d") + 1, F.concat("way.p", F.array("label")))
+                front = front.select("v", F.col("to").alias("at"), way, F.col("r").alias("root"), F.col("s").alias("split"))
+                batch.append(front.withColumn("hop", F.lit(len(batch))))
+            every = reduce(DataFrame.union, batch)
+            every = cut(every.groupBy("v", "at").agg(F.min("way").alias("way"), F.max("root").alias("root"), F.max("split").alias("split"), F.min("hop").alias("hop")))
+            if every.isEmpty():
                 break
-            parts.append(front)
-            seen = seen.union(front.select("v", "at"))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.union(part)
-        return cut(out)
-
-    def _is_split(self, c: str) -> F.Column:
-        return F.pmod(F.xxhash64(c, F.lit(7)), F.lit(self.share)) == 0
+            loops = cut(every.where("v = at and not split").select(F.col("v").alias("id")))
+            if not loops.isEmpty():
+                extra = loops if extra is None else cut(extra.union(loops).distinct())
+                step = step.drop("s").join(extra.select(F.col("id").alias("to"), F.lit(True).alias("e")), "to", "left").join(self.rows.select(F.col("p").alias("to"), F.col("split").alias("s0")).distinct(), "to")
+                step = cut(step.select("at", "to", "label", "r", (F.col("s0") | F.col("e").isNotNull()).alias("s")))
+                every = every.join(extra.select(F.col("id").alias("at"), F.lit(True).alias("e")), "at", "left")
+                every = cut(every.select("v", "at", "way", "root", (F.col("split") | F.col("e").isNotNull()).alias("split"), "hop"))
+            found.append(every.drop("hop"))
+            front = every.where(F.col("hop") == HOPS - 1).drop("hop")
+        walk = reduce(DataFrame.union, found)
+        walk = walk.groupBy("v", "at").agg(F.min("way").alias("way"), F.max("root").alias("root"), F.max("split").alias("split"))
+        if extra is not None:
+            walk = walk.join(extra.select(F.col("id").alias("at"), F.lit(True).alias("e")), "at", "left")
+            walk = walk.select("v", "at", "way", "root", (F.col("split") | F.col("e").isNotNull()).alias("split"))
+        return cut(walk), extra
+
+    def _splitters(self, df: DataFrame, keep: bool = True) -> DataFrame:
+        """Rows of ``df`` whose ``v`` is a splitter, or those whose isn't."""
+        if self.extra is None:
+            return df.where(self._hashed("v") if keep else ~self._hashed("v"))
+        x = self.extra.select(F.col("id").alias("v"), F.lit(True).alias("e"))
+        is_split = self._hashed("v") | F.col("e").isNotNull()
+        return df.join(x, "v", "left").where(is_split if keep else ~is_split).drop("e")
 
     def _solve(self) -> DataFrame:
-        """(v, at, way) between splitters, all pairs that are linked, by doubling."""
-        now = cut(self.walk.where(F.col("split") & self._is_split("v")).select("v", "at", "way"))
-        size = None
-        while True:
-            a = now.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
+        """(v, at, way) between splitters, all pairs that are linked, by doubling; new pairs only are joined again."""
+        now = cut(self._splitters(self.walk.where("split").select("v", "at", "way")))
+        fresh = now
+        while not fresh.isEmpty():
+            a = fresh.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
             b = now.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"))
-            now = cut(_least(now.union(a.join(b, "m").select("v", "at", self._join_ways("w1", "w2"))), "v", "at"))
-            new = tuple(now.agg(F.count("*"), F.sum("way.d")).first())
-            if new == size:
-                return now
-            size = new
-
-    def ancestors(self, only_roots: bool = False) -> DataFrame:
-        """(v, at, way) of each node and each node it reaches upwards by one link or more, with the fewest links."""
-        ends = self.walk.where("root") if only_roots else self.walk
-        ends = ends.select("v", "at", "way")
+            c = now.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
+            d = fresh.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"))
+            more = a.join(b, "m").union(c.join(d, "m")).select("v", "at", self._join_ways("w1", "w2"))
+            both = _least(more, "v", "at").withColumnRenamed("way", "new").join(now.withColumnRenamed("way", "old"), ["v", "at"], "full")
+            both = cut(both.select("v", "at", F.least("new", "old").alias("way"), F.coalesce(F.col("new") < F.col("old"), F.col("old").isNull()).alias("fresh")))
+            now, fresh = both.drop("fresh"), both.where("fresh").drop("fresh")
+        return now
+
+    def _reach(self, only_roots: bool) -> DataFrame:
+        """(v, at, way) of keys: each node and each that it reaches upwards by one link or more, by the fewest links."""
+        ends = (self.walk.where("root") if only_roots else self.walk).select("v", "at", "way")
         up = self.reduced.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
-        own = ends.where(self._is_split("v"))
+        own = self._splitters(ends)
         far = up.join(own.select(F.col("v").alias("m"), "at", F.col("way").alias("w2")), "m").select("v", "at", self._join_ways("w1", "w2"))
         from_split = own.union(far)
         from_split = cut(_least(from_split if only_roots else from_split.union(self.reduced), "v", "at"))
-        first = self.walk.where("split").select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
+        first = self._splitters(self.walk.where("split").select("v", F.col("at").alias("m"), F.col("way").alias("w1")), keep=False)
         tail = from_split.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"))
-        rest = first.where(~self._is_split("v")).join(tail, "m").select("v", "at", self._join_ways("w1", "w2"))
-        return _least(ends.where(~self._is_split("v")).union(rest).union(from_split), "v", "at")
+        rest = first.join(tail, "m").select("v", "at", self._join_ways("w1", "w2"))
+        return _least(self._splitters(ends, keep=False).union(rest).union(from_split), "v", "at")
+
+    def _named(self, df: DataFrame, *keys: str) -> DataFrame:
+        for key in keys:
+            df = df.withColumnRenamed(key, "k").join(self.names, "k").drop("k").withColumnRenamed("id", key)
+        return df
+
+    def ancestors(self, only_roots: bool = False) -> DataFrame:
+        """(v, at, way) of each node and each node it reaches upwards by one link or more, with the fewest links."""
+        return self._named(self._reach(only_roots), "v", "at").select("v", "at", "way")
+
+    def to_cycles(self) -> DataFrame:
+        """(v, at, way): for each node at or below a cycle but below no root, the nearest node on a cycle.
+
+        A node on a cycle has the way around to itself; the least of equally short ways counts.
+        """
+        loops = cut(self._cycles())
+        up = cut(self._reach(only_roots=False))
+        rooted = up.join(self.rows.where("root").select(F.col("p").alias("at")).distinct(), "at", "left_semi").select("v").distinct()
+        up = up.join(rooted, "v", "left_anti").join(loops.select(F.col("id").alias("at")), "at", "left_semi")
+        up = up.join(loops.select(F.col("id").alias("v"), F.lit(True).alias("on")), "v", "left").where("on is null or v = at")
+        near = up.groupBy("v").agg(F.min(F.struct("way", "at")).alias("x")).select("v", F.col("x.at").alias("at"), F.col("x.way").alias("way"))
+        return self._named(near, "v", "at").select("v", "at", "way")
+
+    def children(self) -> DataFrame:
+        """(id): nodes with parents."""
+        return self._named(self.rows.select(F.col("c").alias("id")).distinct(), "id")
 
     def roots(self) -> DataFrame:
         """(id): nodes with children and without parents."""
-        return self.links.where("root").select(F.col("parent").alias("id")).distinct()
+        return self._named(self.rows.where("root").select(F.col("p").alias("id")).distinct(), "id")
 
     def cycles(self) -> DataFrame:
         """(id) of each node that is its own ancestor."""
-        loops = self.reduced.where(F.col("v") == F.col("at")).select(F.col("v").alias("id"))
-        local = self.walk.where(F.col("v") == F.col("at")).select(F.col("v").alias("id"))
+        return self._named(self._cycles(), "id")
+
+    def _cycles(self) -> DataFrame:
+        loops = self.reduced.where("v = at").select(F.col("v").alias("id"))
+        local = self.walk.where("v = at").select(F.col("v").alias("id"))
         x = loops.select(F.col("id").alias("s"))
         leave = self.walk.where("split").select("v", F.col("at").alias("s")).join(x, "s", "left_semi")
         between = self.reduced.select(F.col("v").alias("s"), F.col("at").alias("t")).join(x.select(F.col("s").alias("t")), "t", "left_semi")
-        back = self.walk.where(~F.col("root") & ~F.col("split")).select(F.col("v").alias("t"), F.col("at").alias("v"))
+        back = self.walk.where("not root and not split").select(F.col("v").alias("t"), F.col("at").alias("v"))
         back = back.join(x.select(F.col("s").alias("t")), "t", "left_semi")
         through = leave.join(between.union(x.select("s", F.col("s").alias("t"))), "s").select("v", "t").distinct()
         through = through.join(back, ["v", "t"], "left_semi").select(F.col("v").alias("id"))

@@ -14,8 +14,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy.Hierarchy(links)
     cols = lambda a, r: (F.col(f"{a}.g").alias("repo"), F.col(f"{a}.n").alias("name"), r.alias("root"))
     up = h.ancestors(only_roots=True).select(*cols("v", F.col("at.n")), F.col("way.d").alias("depth"))
-    children = h.links.select(F.col("child").alias("id")).distinct()
-    top = nodes.join(children, "id", "left_anti").select(*cols("id", F.col("id.n")), F.lit(0).alias("depth"))
+    top = nodes.join(h.children(), "id", "left_anti").select(*cols("id", F.col("id.n")), F.lit(0).alias("depth"))
     loops = h.cycles().select(*cols("id", F.lit("")), F.lit(-1).alias("depth"))
     return up.union(top).union(loops)
 
@@ -28,17 +27,19 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    """One path, the least of the shortest, from each root to each class it reaches; a root's own is its name, depth 0.
+    """A path to each class from each root it reaches, from the root down: the least by names of the shortest ones.
 
-    Classes that reach no root, as all above them lies on cycles, have no path; ``p2_found`` flags the cycles.
+    There is one path for each class and root, as all of them can be exponentially many; a root's own is its name, with
+    depth 0. Classes that reach no root, as all above them lies on cycles, have root '', depth -1 and the path from the
+    nearest class on a cycle (the way around, for those on one). So every class has a row.
     """
     nodes, links = hierarchy.class_links(table(spark, d, "parsed_classes"))
-    h = hierarchy.Hierarchy(links, paths=True)
-    up = h.ancestors(only_roots=True)
-    path = F.concat_ws(" > ", F.reverse(F.transform("way.p", lambda x: x["n"])), F.col("v.n"))
-    below = up.select(F.col("v.g").alias("repo"), F.col("v.n").alias("name"), F.col("at.n").alias("root"), F.col("way.d").alias("depth"), path.alias("path"))
-    top = nodes.join(h.links.select(F.col("child").alias("id")).distinct(), "id", "left_anti")
-    return below.union(top.select(F.col("id.g").alias("repo"), *(F.col("id.n").alias(c) for c in ("name", "root")), F.lit(0).alias("depth"), F.col("id.n").alias("path")))
+    h = hierarchy.Hierarchy(links, paths="n")
+    row = lambda c, root, depth, path: (F.col(f"{c}.g").alias("repo"), F.col(f"{c}.n").alias("name"), root.alias("root"), depth.alias("depth"), path.alias("path"))
+    path = F.concat_ws(" > ", F.reverse("way.p"), F.col("v.n"))
+    below = h.ancestors(only_roots=True).select(*row("v", F.col("at.n"), F.col("way.d"), path))
+    top = nodes.join(h.children(), "id", "left_anti").select(*row("id", F.col("id.n"), F.lit(0), F.col("id.n")))
+    return below.union(top).union(h.to_cycles().select(*row("v", F.lit(""), F.lit(-1), path)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

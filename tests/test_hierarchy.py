@@ -42,6 +42,7 @@ def test_random_graphs_chains_and_cycles(spark):
     links += [(100 + k, 100 + (k + 1) % 7) for k in range(7)] + [(200, 200), (201, 200), (300, 301), (301, 300)]
     links += [(rng.randrange(400, 430), rng.randrange(400, 430)) for _ in range(45)]
     links += links[:5]
+    links += [(500 + k, 500 + (k + 1) % 3) for k in range(3)] + [(600 + k, 500) for k in range(3)] + [(700, 600)]  # mostly without splitters
     check(spark, links)
 
 
@@ -51,7 +52,7 @@ def test_empty_and_null_links(spark):
 
 
 def test_paths_are_least(spark):
-    h = Hierarchy(spark.createDataFrame([("d", "c"), ("d", "b"), ("c", "a"), ("b", "a")], "child string, parent string"), paths=True)
+    h = Hierarchy(spark.createDataFrame([("d", "c"), ("d", "b"), ("c", "a"), ("b", "a")], "child string, parent string"), paths="")
     got = {(r.v, r["at"]): list(r.way.p) for r in h.ancestors().collect()}
     assert got["d", "a"] == ["b", "a"]
 
@@ -67,7 +68,8 @@ def test_parent_names_and_links(spark):
 
 
 def test_every_class_has_its_paths(spark, tmp_path):
-    rows = [("r", "A", ["B"], None), ("r", "B", ["C"], None), ("r", "C", None, None), ("r", "Alone", None, None), ("r", "X", ["X"], None)]
+    rows = [("r", "A", ["B"], None), ("r", "B", ["C"], None), ("r", "C", None, None), ("r", "Alone", None, None), ("r", "X", ["Y"], None), ("r", "Y", ["X"], None), ("r", "Z", ["X"], None)]
     spark.createDataFrame(rows, CLASSES).write.parquet(str(tmp_path / "parsed_classes.parquet"))
     got = {(r.name, r.root, r.depth, r.path) for r in p2_paths(spark, str(tmp_path)).collect()}
-    assert got == {("A", "C", 2, "C > B > A"), ("B", "C", 1, "C > B"), ("C", "C", 0, "C"), ("Alone", "Alone", 0, "Alone")}
+    assert got == {("A", "C", 2, "C > B > A"), ("B", "C", 1, "C > B"), ("C", "C", 0, "C"), ("Alone", "Alone", 0, "Alone"),
+                   ("X", "", -1, "X > Y > X"), ("Y", "", -1, "Y > X > Y"), ("Z", "", -1, "X > Z")}

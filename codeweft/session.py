@@ -30,12 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder, with its lineage cut.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a bench on
-    one machine) a private folder is made. Reliable checkpoints survive the loss of any executor.
+    one machine) a private folder is made; a cluster without the setting is refused, as a machine's own folder would lose
+    what its loss takes. Reliable checkpoints survive the loss of any executor.
     """
     spark = df.sparkSession
     ctx = spark.sparkContext
     if ctx._jsc.sc().getCheckpointDir().isEmpty():
-        ctx.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeweft-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or ctx.getConf().get("spark.checkpoint.dir")
+        if not shared and not ctx.master.startswith("local[") and ctx.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        ctx.setCheckpointDir(shared or tempfile.mkdtemp(prefix="codeweft-"))
     return df.checkpoint(eager=True)
 
 

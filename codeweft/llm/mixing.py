@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling of token blocks.
 
-Each source is a task of rate w. Its k-th block (k = 1, 2, ...) is released in slot floor((k-1)/w) and due by slot
-ceil(k/w); earliest deadline first fills each slot with a released block, so after any number of slots each source is
-less than one block from its share. Weights are counted in slots of a hyperperiod, in which all windows repeat: the
-schedule is one table of ``slots`` rows whatever the corpus holds, and a block's place is arithmetic on it. A source
-whose weight rounds to no slot joins, with each of its blocks, the slot in the middle of that block's own window.
+Each source is a task whose rate is its part of the mix. Its k-th block (k = 1, 2, ...) is released in slot
+floor((k-1)/rate) and due by slot ceil(k/rate); earliest deadline first fills each slot with a released block, so after
+any number of slots each source is less than one block from its share. The mix is a number of equal periods: in each, a
+source has the same whole number of blocks, of its own size of at most ``block`` tokens, so that no weight is rounded
+and the smallest source has a block. The schedule is one table for one period, and a record's slot is arithmetic on it.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of the hyperperiod, the resolution of shares; bounds the one broadcast table.
+#: Slots of a period at most, besides one for each source: bounds the one broadcast table.
 SLOTS = 10_000
-#: Size limit of the table of targets, which is read to the driver: one row for each source.
-MOST_SOURCES = 10_000
+#: Sources that are tasks of their own, the largest; all others share one task, in which each is spread evenly.
+TASKS = 10_000
+#: Tokens of a block at most.
+BLOCK = 8192
 
 
 def norm(column: str) -> F.Column:
@@ -25,40 +27,38 @@ def norm(column: str) -> F.Column:
     return F.lower(F.regexp_replace(F.col(column), r"^\s+|\s+$", ""))
 
 
-def pfair(weights: list[float], slots: int = SLOTS) -> list[int]:
-    """The task of each slot of a hyperperiod; weights are rounded to whole slots by largest remainder.
+def pfair(counts: list[int]) -> list[int]:
+    """The task of each slot of a period in which task k has ``counts[k]`` blocks and each slot one block.
 
-    A slot stays with -1 only if all weights are 0. Ties of deadlines go to the earlier task.
+    Tasks without blocks have no slot. Ties of deadlines go to the earlier task.
     """
-    total = sum(weights)
-    if total <= 0:
-        return [-1] * slots
-    exact = [w / total * slots for w in weights]
-    count = [int(x) for x in exact]
-    for k in sorted(range(len(exact)), key=lambda k: (count[k] - exact[k], k))[: slots - sum(count)]:
-        count[k] += 1
-    waiting = [(0, k, 1) for k, n in enumerate(count) if n]  # release slot, task, its block
+    slots = sum(counts)
+    waiting = [(0, k, 1) for k, n in enumerate(counts) if n]  # release slot, task, its block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # deadline, task, block
     order = []
     for t in range(slots):
         while waiting and waiting[0][0] <= t:
             _, k, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-block * slots // count[k]), k, block))
+            heapq.heappush(ready, (-(-block * slots // counts[k]), k, block))
         _, k, block = heapq.heappop(ready)
         order.append(k)
-        if block < count[k]:
-            heapq.heappush(waiting, (block * slots // count[k], k, block + 1))
+        if block < counts[k]:
+            heapq.heappush(waiting, (block * slots // counts[k], k, block + 1))
     return order
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def mix_plan(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each source of ``targets`` (source, target_weight, max_repeats), from ``sizes`` (source, tokens).
 
-    ``total`` is the tokens of all rows whose source is a target; ``own`` the source's own; ``planned`` is its weight's
-    part of the total or, if that is less, its own tokens times max_repeats; ``short`` says that it is; ``share`` is
-    planned over all planned. Null sources fit no target; sources without rows have 0 tokens. A target row whose
-    source repeats counts once for each row; null weights and repeats count as 0.
+    ``total`` is the tokens of all rows whose source is a target; ``own`` the source's own. The plan looks at a mix of
+    ``total`` tokens: ``released`` is the blocks that the source's weight releases before its end, ``blocks`` those that
+    its own tokens, taken max_repeats times, can fill. A source that can't fill all that are released starves; as the
+    last of them may be due in part only, ``short`` compares its tokens with its weight's part (``goal``) exactly.
+    ``planned`` is the goal or, for short sources, all they have; ``share`` is planned over all planned.
+
+    Null sources fit no target; sources without rows have 0 tokens. A target row whose source repeats counts once for
+    each row; null weights and repeats count as 0.
     """
     goal = targets.select(
         F.col("source"), norm("source").alias("__source"),
@@ -72,52 +72,72 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     plan = joined.withColumn("__first", first).withColumn("total", whole).drop("__first")
     plan = plan.withColumn("goal", F.col("target_weight") * F.col("total"))
     most = F.col("own") * F.col("max_repeats")
-    plan = plan.withColumn("short", most < F.col("goal")).withColumn("planned", F.least(most.cast("double"), F.col("goal")))
+    plan = plan.withColumn("released", F.ceil(F.col("goal") / block)).withColumn("blocks", F.floor(most / block))
+    starves = F.col("blocks") < F.col("released")  # also if only a part of the last block is missing
+    plan = plan.withColumn("short", starves & (most < F.col("goal")))
+    plan = plan.withColumn("planned", F.when(F.col("short"), most.cast("double")).otherwise(F.col("goal")))
     all_planned = F.sum("planned").over(Window.partitionBy())
     return plan.withColumn("share", F.when(all_planned > 0, F.col("planned") / all_planned).otherwise(F.lit(0.0)))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", block: int = 8192, slots: int = SLOTS, buckets: int = 64, plan: DataFrame | None = None) -> DataFrame:
-    """The mixed corpus as (``key``, source, copy, tokens, slot, place), to be read by slot, then place.
+def _tasks(plan: DataFrame, most: int) -> list[tuple[str | None, float]]:
+    """(source, planned) of the ``most`` largest sources, then (None, planned) of all others together if there are any."""
+    rows = plan.where("planned > 0").orderBy(F.desc("planned"), "source").select("source", "planned").limit(most).collect()
+    count, whole = plan.where("planned > 0").agg(F.count("*"), F.sum("planned")).first()
+    tasks: list[tuple[str | None, float]] = [(r["source"], float(r["planned"])) for r in rows]
+    if count > len(rows):
+        tasks.append((None, float(whole) - sum(p for _, p in tasks)))
+    return tasks
+
+
+def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", block: int = BLOCK, slots: int = SLOTS, buckets: int | None = None, plan: DataFrame | None = None, tasks: int = TASKS) -> DataFrame:
+    """The mixed corpus as (``key``, source, copy, tokens, slot, last_slot, place), to be read by slot, then place.
 
     Records of a source come in the order of a hash of their key, again from the first when all are used up, until the
-    source's planned tokens are reached; ``copy`` counts from 0. Tokens of a source fill blocks of ``block`` tokens,
-    blocks fill slots by :func:`pfair`, or join one where the source's weight is less than a slot. Running sums go by (source, hash range), so that a source with a third of all
-    rows is spread over ``buckets`` tasks; let buckets grow with the rows. Records without tokens take no place.
+    source's planned tokens are reached; ``copy`` counts from 0. A record stands in the slot of the block in which it
+    begins; ``last_slot`` is that in which it ends, so records longer than a block are seen to cover several. Running sums
+    go by (source, hash range), so that a source with a third of all rows is spread over ``buckets`` tasks; without
+    ``buckets`` there is one for each 100 000 rows. Records without tokens take no place.
     """
-    plan = mix_plan(sizes, targets) if plan is None else plan
-    rows = plan.select("source", "__source", "own", "planned").orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    plan = mix_plan(sizes, targets, block) if plan is None else plan
     spark = sizes.sparkSession
-    order = pfair([r["planned"] for r in rows], slots)
-    per, table = [0] * len(rows), []
-    for slot, k in enumerate(order):
-        if k >= 0:
-            table.append((k, per[k], slot))
-            per[k] += 1
+    if buckets is None:
+        buckets = max(64, sizes.count() // 100_000)
+    mine = _tasks(plan, tasks)
+    whole = sum(p for _, p in mine)
+    periods = max(1, -(-int(whole) // (slots * block)))
+    counts = [max(1, -int(-p // (periods * block))) for _, p in mine]  # blocks a period
+    per, table = [0] * len(mine), []
+    for slot, k in enumerate(pfair(counts)):
+        table.append((k, per[k], slot))
+        per[k] += 1
     place = spark.createDataFrame(table, "task int, turn long, at long")
-    whole = sum(r["planned"] for r in rows) or 1.0
-    known = spark.createDataFrame(
-        [(k, r["source"], r["__source"], int(r["own"]), float(r["planned"]), per[k], float(r["planned"] / whole)) for k, r in enumerate(rows)],
-        "task int, source string, __source string, own long, planned double, turns long, rate double",
-    )
+    known = spark.createDataFrame([(k, s, n, p) for k, ((s, p), n) in enumerate(zip(mine, counts))], "task int, source string, turns long, task_planned double")
+    rest = len(mine) - 1 if mine and mine[-1][0] is None else None
+    of = plan.where("planned > 0").select("source", "__source", "own", "planned")
+    of = of.join(F.broadcast(known.where("source is not null")), "source", "left")
+    if rest is not None:
+        of = of.withColumn("turns", F.coalesce("turns", F.lit(counts[rest]))).withColumn("task_planned", F.coalesce("task_planned", F.lit(mine[rest][1])))
+        of = of.withColumn("task", F.coalesce("task", F.lit(rest)))
     h = F.xxhash64(F.col(key), F.lit(42))
     docs = sizes.where(F.col("tokens") > 0).select(F.col(key), F.col("tokens"), norm("source").alias("__source"), h.alias("__h"))
-    docs = docs.join(F.broadcast(known), "__source").withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 32), F.lit(buckets)))
-    sums = docs.groupBy("task", "__b").agg(F.sum("tokens").alias("__sum"))
-    before = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy("task").orderBy("__b")) - F.col("__sum")).drop("__sum")
-    w = Window.partitionBy("task", "__b").orderBy("__h", key)
-    docs = docs.withColumn("__in", F.sum("tokens").over(w) - F.col("tokens")).join(F.broadcast(before), ["task", "__b"])
+    docs = docs.join(of, "__source").withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 32), F.lit(buckets)))
+    sums = docs.groupBy("source", "__b").agg(F.sum("tokens").alias("__sum"))
+    before = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy("source").orderBy("__b")) - F.col("__sum")).drop("__sum")
+    w = Window.partitionBy("source", "__b").orderBy("__h", key)
+    docs = docs.withColumn("__in", F.sum("tokens").over(w) - F.col("tokens")).join(before, ["source", "__b"])
     docs = docs.withColumn("__at", F.col("__before") + F.col("__in"))
     copies = F.ceil((F.col("planned") - F.col("__at")) / F.col("own")).cast("int")
     docs = docs.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     start = F.col("__at") + F.col("copy") * F.col("own")
-    docs = docs.withColumn("__block", F.floor(start / block)).withColumn("turn", F.pmod("__block", F.greatest("turns", F.lit(1))))
-    docs = docs.join(F.broadcast(place), ["task", "turn"], "left")  # a source without a turn has no row there
-    slot = F.when(F.col("turns") > 0, F.floor(F.col("__block") / F.col("turns")) * slots + F.col("at"))
-    slot = slot.otherwise(F.floor((F.col("__block") + 0.5) / F.col("rate")))
-    return docs.select(key, "source", "copy", "tokens", slot.alias("slot"), start.alias("place"))
+    end = F.least(start + F.col("tokens") - 1, F.col("planned"))
+    every = F.col("turns") * periods  # a task's blocks in all periods; a source's place in its task is that in its own tokens
+    index = lambda x: F.least(F.floor(x * every / F.col("planned")), every - 1)
+    docs = docs.withColumn("__first", index(start)).withColumn("__last", index(end))
+    for block_, out in (("__first", "slot"), ("__last", "last_slot")):
+        docs = docs.withColumn("turn", F.pmod(F.col(block_), F.col("turns"))).join(F.broadcast(place), ["task", "turn"])
+        docs = docs.withColumn(out, F.floor(F.col(block_) / F.col("turns")) * len(table) + F.col("at")).drop("at", "turn")
+    return docs.select(key, "source", "copy", "tokens", "slot", "last_slot", start.alias("place"))
 
 
 def mix_shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _types(spark, d).where("junk > 0.5").select("doc_id")
+    return _types(spark, d).where("prose < 0.5").select("doc_id")
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:

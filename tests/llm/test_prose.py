@@ -1,4 +1,4 @@
-from codeweft.llm.prose import Common, learn, statistics, text_statistics, text_types
+from codeweft.llm.prose import FUNCTIONS, SIZES, TYPES, Common, learn, statistics, symbols, text_statistics, text_types
 
 WORDS = "the of and to a in is der die und ist 的 所述 在 为".split()
 PROSE = "The valve is held by the actuator and the losses of the unit are kept low in use. When the wheel moves to the end, the rotor is compressed and the pressure rises."
@@ -7,20 +7,30 @@ TABLE = "\n".join(f"Ex. {k}\t{k * 7}.1\t-\t{k * 3}\tn.d." for k in range(20))
 
 def test_statistics():
     c = Common(WORDS)
-    words, mean, symbols, punct, common, letters, share, lines, repeated = statistics("The end of it.\n- 12 -\n", c)
+    words, mean, ratio, punct, common, letters, repeated, found = statistics("The end of it.\n- 12 -\n", c)
     assert (words, mean, punct, common) == (4, 2.5, 0.5, 0.5)
-    assert abs(symbols - 5 / 15) < 1e-9 and abs(letters - 10 / 15) < 1e-9
-    assert statistics(PROSE, c)[6] == 1 and statistics(TABLE, c)[6] == 0
-    assert statistics("所述阀门在压力为七巴的装置中移动，所述转子被压缩。", c)[6] == 1
-    assert statistics("• 阀门\n• 转子\n• 线圈", c)[6] == 0
+    assert abs(ratio - 5 / 15) < 1e-9 and abs(letters - 10 / 15) < 1e-9
+    assert sorted(found.values()) == [[1, 4], [1, 11]]
     assert statistics(None, c) is None and statistics(" \n", c) is None
-    assert statistics("x" * 500_000, c)[6] == 0
+    assert sum(v[1] for v in statistics("x" * 500_000, c)[-1].values()) == 500_000
+    named = {tuple(FUNCTIONS[f][s] for f, s in zip(FUNCTIONS, symbols(p))) for p in statistics("所述阀门在压力为七巴的装置中移动，所述转子被压缩。", c)[-1]}
+    assert any(x[0] == x[1] == "prose" for x in named)
 
 
-def test_learning_finds_the_better_function():
-    patterns = [("000", 400), ("111", 900), ("011", 20), ("100", 15), ("-00", 5), ("0-1", 3)]
-    post = learn(patterns)
-    assert post["000"] > 0.9 > 0.1 > post["111"] and post["-00"] > 0.5
+def pattern(*s):
+    code = 0
+    for k, x in zip(SIZES, s):
+        code = code * k + x
+    return code
+
+
+def test_learning_follows_agreement_against_a_first_belief():
+    # The last function's third symbol is first believed to be a table's; here it comes with all signs of prose.
+    good, bad, odd = (2, 2, 2, 2, 2, 1, 2), (0, 0, 0, 0, 0, 0, 0), (2, 2, 2, 2, 0, 0, 1)
+    post = learn([(pattern(*good, 2), 900), (pattern(*bad, 0), 500), (pattern(*good, 0), 5), (pattern(*odd, 2), 3)])
+    assert post[pattern(*good, 2)][0] > 0.99 and post[pattern(*bad, 0)][0] < 0.01
+    alone = learn([(pattern(*bad, 0), 500), (pattern(*odd, 2), 3)])
+    assert abs(post[pattern(*odd, 2)][0] - alone[pattern(*odd, 2)][0]) > 0.5  # the rest of the corpus decides
     assert learn([]) == {}
 
 
@@ -29,8 +39,9 @@ def test_types(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, words string")
     common = spark.createDataFrame([(w,) for w in WORDS], "word string")
     stats = text_statistics(df, common).cache()
-    got = {r.doc_id: (r.type, r.junk) for r in text_types(stats).collect()}
+    got = {r.doc_id: r for r in text_types(stats).collect()}
     assert len(got) == len(rows)
-    assert all(got[k][0] == "prose" for k in range(40)) and all(got[100 + k][1] > 0.5 and got[100 + k][0] == "table" for k in range(15))
-    assert got[200] == got[201] == (None, None)
+    assert all(got[k].type == "prose" and got[k].prose > 0.9 for k in range(40)) and all(got[100 + k].prose < 0.1 for k in range(15))
+    assert got[200].type is got[201].type is None and got[200].prose is None
+    assert abs(sum(got[0][t] for t in TYPES) - 1) < 1e-9
     assert text_types(text_statistics(df.limit(0), common)).count() == 0

@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from codeweft.session import cut
 
 
-#: Links that a walk takes before its rows are made distinct and written.
-HOPS = 3
-
-
 def _least(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("way").alias("way"))
 
@@ -34,7 +30,7 @@ class Hierarchy:
     ways. ``way`` is (d, p): number of links and labels.
     """
 
-    def __init__(self, links: DataFrame, share: int = 4, paths: str | None = None):
+    def __init__(self, links: DataFrame, share: int = 3, paths: str | None = None):
         links = links.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
         ids = links.select(F.col("child").alias("id")).union(links.select("parent")).distinct()
         for seed in range(8):
@@ -72,25 +68,21 @@ class Hierarchy:
         step = self.rows.select(F.col("c").alias("at"), F.col("p").alias("to"), "label", F.col("root").alias("r"), F.col("split").alias("s"))
         found, extra, front = [first], None, first
         while True:
-            batch = []
-            for _ in range(HOPS):
-                front = front.where(~F.col("root") & ~F.col("split")).join(step, "at")
-                way = self._way(F.col("way.d") + 1, F.concat("way.p", F.array("label")))
-                front = front.select("v", F.col("to").alias("at"), way, F.col("r").alias("root"), F.col("s").alias("split"))
-                batch.append(front.withColumn("hop", F.lit(len(batch))))
-            every = reduce(DataFrame.union, batch)
-            every = cut(every.groupBy("v", "at").agg(F.min("way").alias("way"), F.max("root").alias("root"), F.max("split").alias("split"), F.min("hop").alias("hop")))
-            if every.isEmpty():
+            more = front.where(~F.col("root") & ~F.col("split")).join(step, "at")
+            way = self._way(F.col("way.d") + 1, F.concat("way.p", F.array("label")))
+            more = more.select("v", F.col("to").alias("at"), way, F.col("r").alias("root"), F.col("s").alias("split"))
+            front = cut(more.groupBy("v", "at").agg(F.min("way").alias("way"), F.max("root").alias("root"), F.max("split").alias("split")))
+            rows, back = front.agg(F.count("*"), F.count_if(F.expr("v = at and not split"))).first()
+            if not rows:
                 break
-            loops = cut(every.where("v = at and not split").select(F.col("v").alias("id")))
-            if not loops.isEmpty():
-                extra = loops if extra is None else cut(extra.union(loops).distinct())
-                step = step.drop("s").join(extra.select(F.col("id").alias("to"), F.lit(True).alias("e")), "to", "left").join(self.rows.select(F.col("p").alias("to"), F.col("split").alias("s0")).distinct(), "to")
-                step = cut(step.select("at", "to", "label", "r", (F.col("s0") | F.col("e").isNotNull()).alias("s")))
-                every = every.join(extra.select(F.col("id").alias("at"), F.lit(True).alias("e")), "at", "left")
-                every = cut(every.select("v", "at", "way", "root", (F.col("split") | F.col("e").isNotNull()).alias("split"), "hop"))
-            found.append(every.drop("hop"))
-            front = every.where(F.col("hop") == HOPS - 1).drop("hop")
+            if back:
+                loops = front.where("v = at and not split").select(F.col("v").alias("id"))
+                extra = cut(loops if extra is None else extra.union(loops).distinct())
+                marked = extra.select(F.col("id").alias("to"), F.lit(True).alias("e"))
+                step = cut(step.join(marked, "to", "left").select("at", "to", "label", "r", (F.col("s") | F.col("e").isNotNull()).alias("s")))
+                front = front.join(marked.withColumnRenamed("to", "at"), "at", "left")
+                front = cut(front.select("v", "at", "way", "root", (F.col("split") | F.col("e").isNotNull()).alias("split")))
+            found.append(front)
         walk = reduce(DataFrame.union, found)
         walk = walk.groupBy("v", "at").agg(F.min("way").alias("way"), F.max("root").alias("root"), F.max("split").alias("split"))
         if extra is not None:

@@ -1,16 +1,15 @@
 """Parent links to full hierarchies, by deterministic hash splitters.
 
 A hash of its id makes a node a splitter. Every node walks upwards until it meets splitters or roots, which takes few
-rounds however deep the hierarchy is; the pointers between splitters form a graph a part of the size, which is solved by
-doubling; each node's answers are then its own walk put before its splitters'. Nodes may have several parents.
+links however deep the hierarchy is, and even fewer rounds, as walks of twice the length are made of two. The pointers
+between splitters form a graph a part of the size, which is solved by doubling; each node's answers are then its own
+walk put before its splitters'. Nodes may have several parents.
 Cycles that hold no splitter show in the walk, for their nodes come back to themselves; the others show in the reduced
 graph.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +45,7 @@ class Hierarchy:
         inner = rows.select(F.col("c").alias("p"), F.lit(True).alias("inner")).distinct()
         rows = rows.join(inner, "p", "left").select("c", "p", "label", F.col("inner").isNull().alias("root"))
         self.rows = cut(rows.withColumn("split", ~F.col("root") & self._hashed("p")))
-        self.walk, self.extra = self._walk()
+        self.walk = self._walk()
         self.reduced = self._solve()
 
     def _hashed(self, c: str) -> F.Column:
@@ -58,73 +57,48 @@ class Hierarchy:
     def _join_ways(self, a: str, b: str) -> F.Column:
         return self._way(F.col(f"{a}.d") + F.col(f"{b}.d"), F.concat(F.col(f"{a}.p"), F.col(f"{b}.p")))
 
-    def _walk(self) -> tuple[DataFrame, DataFrame | None]:
-        """(v, at, way, root, split): what each node meets up to its first splitters and roots, each once; and extra ones.
+    def _walk(self) -> DataFrame:
+        """(v, at, way, root, split): what each node meets up to its first splitters and roots, each once.
 
-        Nodes that come back to themselves before any splitter are on cycles without one; they become splitters too
-        ("extra"), so that each cycle holds a splitter and every walk ends.
+        Walks of 1, 2, 4, ... links: those that have not ended are carried on by the walks of where they stand. Nodes of
+        cycles without a splitter come back to themselves; as each node is met once, their walks end too.
         """
-        first = self.rows.select(F.col("c").alias("v"), F.col("p").alias("at"), self._way(F.lit(1), F.array("label")), "root", "split")
-        step = self.rows.select(F.col("c").alias("at"), F.col("p").alias("to"), "label", F.col("root").alias("r"), F.col("split").alias("s"))
-        found, extra, front = [first], None, first
+        walk = self.rows.select(F.col("c").alias("v"), F.col("p").alias("at"), self._way(F.lit(1), F.array("label")), "root", "split")
+        length = 1
         while True:
-            more = front.where(~F.col("root") & ~F.col("split")).join(step, "at")
-            way = self._way(F.col("way.d") + 1, F.concat("way.p", F.array("label")))
-            more = more.select("v", F.col("to").alias("at"), way, F.col("r").alias("root"), F.col("s").alias("split"))
-            front = cut(more.groupBy("v", "at").agg(F.min("way").alias("way"), F.max("root").alias("root"), F.max("split").alias("split")))
-            rows, back = front.agg(F.count("*"), F.count_if(F.expr("v = at and not split"))).first()
-            if not rows:
-                break
-            if back:
-                loops = front.where("v = at and not split").select(F.col("v").alias("id"))
-                extra = cut(loops if extra is None else extra.union(loops).distinct())
-                marked = extra.select(F.col("id").alias("to"), F.lit(True).alias("e"))
-                step = cut(step.join(marked, "to", "left").select("at", "to", "label", "r", (F.col("s") | F.col("e").isNotNull()).alias("s")))
-                front = front.join(marked.withColumnRenamed("to", "at"), "at", "left")
-                front = cut(front.select("v", "at", "way", "root", (F.col("split") | F.col("e").isNotNull()).alias("split")))
-            found.append(front)
-        walk = reduce(DataFrame.union, found)
-        walk = walk.groupBy("v", "at").agg(F.min("way").alias("way"), F.max("root").alias("root"), F.max("split").alias("split"))
-        if extra is not None:
-            walk = walk.join(extra.select(F.col("id").alias("at"), F.lit(True).alias("e")), "at", "left")
-            walk = walk.select("v", "at", "way", "root", (F.col("split") | F.col("e").isNotNull()).alias("split"))
-        return cut(walk), extra
-
-    def _splitters(self, df: DataFrame, keep: bool = True) -> DataFrame:
-        """Rows of ``df`` whose ``v`` is a splitter, or those whose isn't."""
-        if self.extra is None:
-            return df.where(self._hashed("v") if keep else ~self._hashed("v"))
-        x = self.extra.select(F.col("id").alias("v"), F.lit(True).alias("e"))
-        is_split = self._hashed("v") | F.col("e").isNotNull()
-        return df.join(x, "v", "left").where(is_split if keep else ~is_split).drop("e")
+            front = walk.where((F.col("way.d") == length) & ~F.col("root") & ~F.col("split")).select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
+            if front.isEmpty():
+                return walk
+            on = walk.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"), "root", "split")
+            more = front.join(on, "m").select("v", "at", self._join_ways("w1", "w2"), "root", "split")
+            flags = (F.max(c).alias(c) for c in ("root", "split"))
+            walk = cut(walk.union(more).groupBy("v", "at").agg(F.min("way").alias("way"), *flags))
+            length *= 2
 
     def _solve(self) -> DataFrame:
-        """(v, at, way) between splitters, all pairs that are linked, by doubling; new pairs only are joined again."""
-        now = cut(self._splitters(self.walk.where("split").select("v", "at", "way")))
-        fresh = now
-        while not fresh.isEmpty():
-            a = fresh.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
-            b = now.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"))
-            c = now.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
-            d = fresh.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"))
-            more = a.join(b, "m").union(c.join(d, "m")).select("v", "at", self._join_ways("w1", "w2"))
-            both = _least(more, "v", "at").withColumnRenamed("way", "new").join(now.withColumnRenamed("way", "old"), ["v", "at"], "full")
-            both = cut(both.select("v", "at", F.least("new", "old").alias("way"), F.coalesce(F.col("new") < F.col("old"), F.col("old").isNull()).alias("fresh")))
-            now, fresh = both.drop("fresh"), both.where("fresh").drop("fresh")
-        return now
+        """(v, at, way) between splitters, all pairs that are linked, by doubling; only new ways are carried on."""
+        now = cut(self.walk.where(F.col("split") & self._hashed("v")).select("v", "at", "way", F.lit(True).alias("fresh")))
+        while True:
+            fresh = now.where("fresh").select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
+            if fresh.isEmpty():
+                return now.drop("fresh")
+            on = now.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"))
+            more = fresh.join(on, "m").select("v", "at", self._join_ways("w1", "w2"), F.lit(None).cast(now.schema["way"].dataType).alias("old"))
+            both = now.select("v", "at", "way", F.col("way").alias("old")).union(more).groupBy("v", "at").agg(F.min("way").alias("way"), F.min("old").alias("old"))
+            now = cut(both.select("v", "at", "way", (F.col("old").isNull() | (F.col("way") < F.col("old"))).alias("fresh")))
 
     def _reach(self, only_roots: bool) -> DataFrame:
         """(v, at, way) of keys: each node and each that it reaches upwards by one link or more, by the fewest links."""
         ends = (self.walk.where("root") if only_roots else self.walk).select("v", "at", "way")
         up = self.reduced.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
-        own = self._splitters(ends)
+        own = ends.where(self._hashed("v"))
         far = up.join(own.select(F.col("v").alias("m"), "at", F.col("way").alias("w2")), "m").select("v", "at", self._join_ways("w1", "w2"))
         from_split = own.union(far)
         from_split = cut(_least(from_split if only_roots else from_split.union(self.reduced), "v", "at"))
-        first = self._splitters(self.walk.where("split").select("v", F.col("at").alias("m"), F.col("way").alias("w1")), keep=False)
+        first = self.walk.where(F.col("split") & ~self._hashed("v")).select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
         tail = from_split.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"))
         rest = first.join(tail, "m").select("v", "at", self._join_ways("w1", "w2"))
-        return _least(self._splitters(ends, keep=False).union(rest).union(from_split), "v", "at")
+        return _least(ends.where(~self._hashed("v")).union(rest).union(from_split), "v", "at")
 
     def _named(self, df: DataFrame, *keys: str) -> DataFrame:
         for key in keys:

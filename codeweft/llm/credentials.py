@@ -1,9 +1,10 @@
 """Credentials in source code and configuration: find them across a corpus and mask them in place.
 
-1. Literals that may be credentials are indexed corpus-wide, each with the form it was found in.
-2. A value that many owners share is a placeholder, whatever it looks like: values are counted by owner.
-3. Rare values of a credential's structure are confirmed; plain words and digits only if they also stand, in whatever
-   role, in few owners' files.
+1. Literals are indexed corpus-wide with their owners, all of them: those that may be credentials with points for their
+   structure and for where they stand (a name, a URL, a header, a call), all others with those of their structure.
+2. A value that many owners hold, in whatever role, is a placeholder, whatever it looks like: values are counted by owner.
+3. Rare values whose best place and structure together have enough points are confirmed; plain words and digits only
+   if they also stand in few owners' texts, as literals or not.
 4. Every file is read again with an automaton over the confirmed values, so that a value is found wherever it stands.
 """
 
@@ -14,6 +15,7 @@ import binascii
 import math
 import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,8 +31,13 @@ MOST_OWNERS = 3
 BLOCK = 200_000
 #: Shortest value that is looked for.
 SHORTEST = 6
-#: The form of values that only their names tell; it sorts before all others, so that any other form wins.
-PLAIN = "a plain"
+#: Points of a value's structure and of its place from which on it is confirmed, if it is rare.
+ENOUGH = 3
+#: Points of structure: a placeholder, a path, sentence or name, plain letters, digits or words, a drawn or chosen value.
+FAKE, ODD, WORDS, DRAWN = -4, -2, 0, 2
+#: Points of a place: a literal anywhere, an unknown parameter of a URL, one that is named as a secret, one that gives
+#: access by what it is (a URL's password, a header, a provider's token, a private key).
+ANYWHERE, UNKNOWN, NAMED, SURE = 0, 1, 3, 6
 
 # Words that name a secret, in several languages, as parts of identifiers.
 SECRET_WORDS = (
@@ -65,9 +72,12 @@ PLACEHOLDER = re.compile(
 )
 _PROVIDER = re.compile(r"(?<![A-Za-z0-9_])(?:" + PROVIDER + ")")
 _LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
-_ASSIGN = re.compile(r"([A-Za-z_ñ][\w.\-ñ]*)[\"'\]]?\s*(?::\s*&?\w+(?:<\w+>)?\s*)?(?::=|=>|=(?!=)|:(?!:))\s*")
+_ASSIGN = re.compile(r"([A-Za-z_ñ][\w.\-ñ]*)\\?[\"'\]]?\s*(?::\s*&?\w+(?:<\w+>)?\s*)?(?::=|=>|=(?!=)|:(?!:))\s*")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s:/@\"'`]*):([^\s/@\"'`]{3,})@[\w.\-]+")
-_PARAM = re.compile(r"(?i)[?&](?:[\w\-]*(?:key|token|secret|passw(?:or)?d|pwd|sig|signature|auth))=([^&\s\"'`#]{6,})")
+_PARAM = re.compile(r"[?&]([\w\-]+)=([^&\s\"'`#]{6,})")
+_SECRET_PARAM = re.compile(r"(?i)[\w\-]*(?:key|token|secret|passw(?:or)?d|pwd|sig|signature|auth|access)")
+_ESCAPED = re.compile(r'\\"((?:[^"\\\n]|\\\\.)*)\\"()()')  # a literal within a literal
+_QUOTED = re.compile(r"[\"'`]([^\s\"'`]{6,200})(?=[\"'`])")
 _HEADER = re.compile(r"(?i)\b(basic|bearer)\s+([A-Za-z0-9+/=_\-.~]{8,})")
 _FLAG = re.compile(r"(?i)(?:^|\s)--?(?:[\w\-]*(?:token|password|passwd|secret|api-?key|pass|pwd))[ =]([^\s\"'`]{6,})")
 _USER = re.compile(r"(?:^|\s)(?:-u|--user)[ =]([^\s:\"'`]+):([^\s\"'`]{4,})")
@@ -175,15 +185,24 @@ def drawn_letters(v: str) -> bool:
     return plain_value(v) and bool(re.fullmatch(r"\d+|(?=.*[a-z][A-Z])(?=.*[A-Z].*[A-Z])[A-Za-z\d]+", v))
 
 
-def candidates(path: str, text: str) -> Iterator[tuple[str, int, str]]:
-    """(raw value, its place, form) of each literal that may be a credential. Any text; an empty one has none."""
+def structure(v: str) -> int:
+    """Points of a value for its form alone."""
+    if PLACEHOLDER.match(v):
+        return FAKE
+    if secret_value(v):
+        return DRAWN
+    return WORDS if plain_value(v) else ODD
+
+
+def candidates(path: str, text: str) -> Iterator[tuple[str, int, int]]:
+    """(raw value, its place, points) of each literal whose place says that it may be a credential; none in empty texts."""
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
             body = re.sub(r"\\[nrt]|[^A-Za-z0-9+/=]", "", m.group(2))
             if len(body) >= 40 and entropy(body) > 3.5:
                 first = re.search(r"[A-Za-z0-9+/=]{16,}", m.group(2))
                 end = m.start(2) + (first.end() if first else 0)
-                yield text[m.start() : end], m.start(), "key"
+                yield text[m.start() : end], m.start(), SURE + DRAWN
     low = text.lower()
     done, lines = -1, []
     for end, _ in _hints().iter(low):
@@ -194,39 +213,35 @@ def candidates(path: str, text: str) -> Iterator[tuple[str, int, str]]:
         done = len(text) if done < 0 else done
         lines.append((a, done))
     config = not re.search(r"\.(?:py|js|ts|java|go|rs|c|h|cpp|cs|rb|php|kt|scala|swift|tsx|jsx)$", path)
-    secret_kind = config and re.search(r"(?m)^kind:\s*Secret\s*$", text) is not None
     for a, b in lines:
-        yield from _line(text[a:b].rstrip("\r"), a, config, secret_kind)
+        yield from _line(text[a:b].rstrip("\r"), a, config)
 
 
-def _line(line: str, at: int, config: bool, secret_kind: bool) -> Iterator[tuple[str, int, str]]:
+def _line(line: str, at: int, config: bool) -> Iterator[tuple[str, int, int]]:
     for m in _PROVIDER.finditer(line):
-        if not PLACEHOLDER.match(m.group()):
-            yield m.group(), at + m.start(), "provider"
+        yield m.group(), at + m.start(), FAKE if PLACEHOLDER.match(m.group()) else SURE + DRAWN
     if "://" in line:
         for m in _URL.finditer(line):
-            if not PLACEHOLDER.match(m.group(2)) and not re.search(r"[<>{}$]", m.group(2)):
-                yield m.group(2), at + m.start(2), "url"
+            fake = PLACEHOLDER.match(m.group(2)) or re.search(r"[<>{}$]", m.group(2))
+            yield m.group(2), at + m.start(2), (FAKE if fake else SURE + max(structure(m.group(2)), ODD))
     if "=" in line:
         for m in _PARAM.finditer(line):
-            if secret_value(m.group(1)):
-                yield m.group(1), at + m.start(1), "param"
-            elif drawn_letters(m.group(1)):
-                yield m.group(1), at + m.start(1), PLAIN
+            name, v = m.group(1), m.group(2)
+            if _SECRET_PARAM.fullmatch(name):
+                yield v, at + m.start(2), NAMED + (structure(v) if structure(v) != WORDS or drawn_letters(v) else ODD)
+            elif random_like(v) and not any(x in ABOUT_WORDS or x in DIGEST_WORDS or x == "k" for x in parts(name)):
+                yield v, at + m.start(2), UNKNOWN + structure(v)
     for m in _HEADER.finditer(line):
         inner = decoded(m.group(2))
         basic = m.group(1).lower() == "basic" and inner is not None and re.fullmatch(r"[^:\s]+:(\S{4,})", inner)
         if basic and not PLACEHOLDER.match(inner.split(":", 1)[1]) or m.group(1).lower() == "bearer" and (random_like(m.group(2)) or hex_key(m.group(2))):
-            yield m.group(2), at + m.start(2), "header"
+            yield m.group(2), at + m.start(2), SURE
     if "-" in line:
         for m in _FLAG.finditer(line):
-            if secret_value(m.group(1)):
-                yield m.group(1), at + m.start(1), "flag"
-            elif drawn_letters(m.group(1)):
-                yield m.group(1), at + m.start(1), PLAIN
+            v = m.group(1)
+            yield v, at + m.start(1), NAMED + (structure(v) if structure(v) != WORDS or drawn_letters(v) else ODD)
         for m in _USER.finditer(line):
-            if secret_value(m.group(2)):
-                yield m.group(2), at + m.start(2), "flag"
+            yield m.group(2), at + m.start(2), NAMED + (DRAWN if secret_value(m.group(2)) else ODD)
     for m in _PIECES.finditer(line):
         a, b = (m.group(1), m.group(2)) if m.group(1) is not None else (m.group(3), m.group(4))
         start = m.start(1) if m.group(1) is not None else m.start(3)
@@ -235,19 +250,19 @@ def _line(line: str, at: int, config: bool, secret_kind: bool) -> Iterator[tuple
         if "," in glue and "concat" not in line[: m.start()] and "join" not in line:
             continue
         if _PROVIDER.fullmatch(a + b) or (like_password(a + b) and (random_like(a + b) or named_before(line, m.start()))):
-            yield line[start:end], at + start, "pieces"
+            yield line[start:end], at + start, NAMED + DRAWN
     for m in _CALL.finditer(line):
         values = [(x, m.start(1) + y.start() + 1) for y in _LITERAL.finditer(m.group(1)) for x in y.groups() if x is not None]
         if values:
             v, pos = values[-1]
-            if secret_value(v) and "://" not in v:
-                yield v, at + pos, "call"
+            if "://" not in v:
+                yield v, at + pos, NAMED + (DRAWN if secret_value(v) else ODD)
     lead = _LEAD.match(line)
     for m in _ASSIGN.finditer(line, lead.end() if lead else 0):
         if not names_secret(m.group(1)):
             continue
         rest = line[m.end() :]
-        lit = _LITERAL.match(rest) or (re.match(r'[\w!&.:<>\s]*?\(?\s*"((?:[^"\\]|\\.)*)"()()', rest) if not config and '"' in rest[:24] else None)
+        lit = _LITERAL.match(rest) or _ESCAPED.match(rest) or (re.match(r'[\w!&.:<>\s]*?\(?\s*"((?:[^"\\]|\\.)*)"()()', rest) if not config and '"' in rest[:24] else None)
         if lit:
             g = next(k for k in (1, 2, 3) if lit.group(k) is not None)
             v, pos = lit.group(g), m.end() + lit.start(g)
@@ -258,22 +273,25 @@ def _line(line: str, at: int, config: bool, secret_kind: bool) -> Iterator[tuple
             v, pos = word.group(), m.end()
         else:
             continue
-        if secret_value(v) and "://" not in v:
-            yield v, at + pos, "named"
-        elif plain_value(v) and names_plainly(m.group(1)) and (lit or line[pos + len(v) :].strip() in ("", ",", ";")):
-            yield v, at + pos, PLAIN
+        if "://" in v:
+            continue
+        points = structure(v)
+        if points == WORDS and not (names_plainly(m.group(1)) and (lit or line[pos + len(v) :].strip() in ("", ",", ";"))):
+            points = ODD
+        yield v, at + pos, NAMED + points
     if config:
         m = _WORDS_LINE.match(line)
-        if m and names_secret(m.group(1)) and secret_value(m.group(2)):
-            yield m.group(2), at + m.start(2), "named"
-        elif m and len(parts(m.group(1))) > 1 and names_plainly(m.group(1)) and plain_value(m.group(2)):
-            yield m.group(2), at + m.start(2), PLAIN
+        if m and names_secret(m.group(1)):
+            points = structure(m.group(2))
+            if points == WORDS and not (len(parts(m.group(1))) > 1 and names_plainly(m.group(1))):
+                points = ODD
+            yield m.group(2), at + m.start(2), NAMED + points
     if config or _COMMENT.match(line):
         for pattern in (_PROSE, _SAID):
             for m in pattern.finditer(line):
                 v = m.group(1).rstrip(".,;:)")
-                if like_password(v) and "://" not in v and "=" not in v[:-2] and classes(v) >= 3:
-                    yield v, at + m.start(1), "prose"
+                if "://" not in v and "=" not in v[:-2]:
+                    yield v, at + m.start(1), NAMED + (DRAWN if like_password(v) and classes(v) >= 3 else ODD)
 
 
 def named_before(line: str, end: int) -> bool:
@@ -282,33 +300,49 @@ def named_before(line: str, end: int) -> bool:
 
 
 def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forms: dict[str, int] = {}  # of literals of the batch
     for b in it:
-        out: dict[tuple, None] = {}
+        out: dict[tuple[str, str], int] = {}
         for path, owner, text in zip(*(c.to_pylist() for c in b.columns)):
-            if text:
-                for raw, _, form in candidates(path or "", text):
-                    out[raw, owner if owner is not None else (path or "").split("/")[0], form] = None
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ((), (), ()))], names=["raw", "owner", "form"])
+            if not text:
+                continue
+            owner = owner if owner is not None else (path or "").split("/")[0]
+            for raw in set(_QUOTED.findall(text)):
+                if (raw, owner) not in out:
+                    known = forms.get(raw)
+                    if known is None:
+                        known = forms[raw] = ANYWHERE + structure(raw)
+                    out[raw, owner] = known
+            for raw, _, points in candidates(path or "", text):
+                if raw and points > out.get((raw, owner), FAKE - 1):
+                    out[raw, owner] = points
+        forms.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(out.values(), pa.int8())], names=["raw", "owner", "points"])
 
 
 def index_literals(files: DataFrame, path: str = "path", text: str = "content", owner: str | None = "repo") -> DataFrame:
-    """Candidate values as (raw, owner, form), each once for each batch of files. Null paths and texts have none."""
+    """Literals as (raw, owner, points), each once for each owner and batch of files. Null paths and texts have none.
+
+    Quoted literals come wherever they stand, other values where their place says that they may be credentials.
+    """
     who = F.col(owner) if owner else F.lit(None).cast("string")
-    return files.select(F.col(path), who, F.col(text)).where(F.col(text).isNotNull()).mapInArrow(_rows, "raw string, owner string, form string")
+    return files.select(F.col(path), who, F.col(text)).where(F.col(text).isNotNull()).mapInArrow(_rows, "raw string, owner string, points byte")
 
 
-def confirm(index: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """Values (raw, owners) that no more than ``most_owners`` owners hold; wider spread ones are placeholders.
+def confirm(index: DataFrame, most_owners: int = MOST_OWNERS, enough: int = ENOUGH) -> DataFrame:
+    """Values (raw, owners, points) with ``enough`` points anywhere that no more than ``most_owners`` owners hold.
 
-    Owners are counted in two steps, so that no task sees all rows of a value that stands everywhere.
+    Wider spread ones are placeholders. Owners are counted in two steps, so that no task sees all rows of a value that
+    stands everywhere.
     """
-    pairs = index.groupBy("raw", "owner").agg(F.max("form").alias("form"))
-    return pairs.groupBy("raw").agg(F.count("*").alias("owners"), F.max("form").alias("form")).where(F.col("owners") <= most_owners)
+    pairs = index.groupBy("raw", "owner").agg(F.max("points").alias("points"))
+    values = pairs.groupBy("raw").agg(F.count("*").alias("owners"), F.max("points").alias("points"))
+    return values.where((F.col("owners") <= most_owners) & (F.col("points") >= enough))
 
 
 def without_words(confirmed: DataFrame, files: DataFrame, path: str = "path", text: str = "content", owner: str | None = "repo", most_owners: int = MOST_OWNERS, block: int = BLOCK) -> DataFrame:
-    """``confirmed`` without the plain values that more than ``most_owners`` owners hold anywhere in their files."""
-    plain = confirmed.where(F.col("form") == PLAIN)
+    """``confirmed`` without the plain values (just NAMED + WORDS points) that more owners hold anywhere in their texts."""
+    plain = confirmed.where(F.col("points") == NAMED + WORDS)
     who = F.coalesce(F.col(owner), F.element_at(F.split(path, "/"), 1)) if owner else F.element_at(F.split(path, "/"), 1)
     seen = None
     for shared in _blocks(plain, block):
@@ -370,7 +404,7 @@ class Scanner:
         return merged(out)
 
 
-_scanners: dict[int, Scanner] = {}
+_scanners: dict[str, Scanner] = {}
 
 
 def _scanner(shared) -> Scanner:
@@ -381,10 +415,10 @@ def _scanner(shared) -> Scanner:
 
 
 class _Block:
-    """A broadcast block of values with an id that workers keep their automaton by."""
+    """A broadcast block of values with an id of its own that workers keep their automaton by."""
 
-    def __init__(self, spark, values: list[str], number: int):
-        self.cast, self.id = spark.sparkContext.broadcast(pickle.dumps(values)), hash((number, len(values), *values[:3]))
+    def __init__(self, spark, values: list[str]):
+        self.cast, self.id = spark.sparkContext.broadcast(pickle.dumps(values)), uuid.uuid4().hex
 
     @property
     def value(self) -> bytes:
@@ -400,7 +434,7 @@ def _blocks(confirmed: DataFrame, block: int) -> Iterator[_Block]:
         rows = confirmed.where(F.pmod(F.xxhash64("raw"), F.lit(parts)) == k).select("raw").limit(2 * block + 1).collect()
         if len(rows) > 2 * block:
             raise ValueError("a block of values is larger than its bound")
-        yield _Block(spark, sorted(r[0] for r in rows), k)
+        yield _Block(spark, sorted(r[0] for r in rows))
 
 
 def mask(text: str, spans: list[tuple[int, int]]) -> str:

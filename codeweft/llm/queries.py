@@ -38,7 +38,7 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    checked = syntax.check_files(table(spark, d, "files"), repair=False)
+    checked = syntax.check_files(table(spark, d, "files"))
     return checked.where("edits > 0").select("path").distinct()
 
 

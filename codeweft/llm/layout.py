@@ -1,9 +1,10 @@
 """Generated, minified, vendored and data files among source code, by comparing layouts.
 
-Each file is lexed and its canonical layout worked out: one statement or bracket edge to a line. Where the canonical
-layout has many times the file's lines, the file is minified; where its pieces repeat one shape without a deviation, a
-tool wrote it; where literals make up the tokens, it is data. Copies of outside libraries are found by the share of
-normalized lines that a file has in common with one library file, in either direction.
+Each file is lexed and emitted again in canonical layout: a line for each statement and bracket edge, indented by depth.
+Where that has many times the file's own lines, of which few are left as they were, the file is minified; where its
+pieces repeat one shape, line breaks and columns included, without a deviation, a tool wrote it; where literals make up
+the tokens, it is data. Copies of outside libraries are found by the share of normalized lines that a file has in common
+with one library file, in either direction. What layout does not show, a tool's mark at the head may.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.lexing import NUM, STR, language_of, lexer
+from codeweft.llm.lexing import ID, LINE, NL, NUM, STR, language_of, lexer
 
-#: Canonical lines for each line from which on a file is minified, and the average line length that goes with it.
-EXPANSION, WIDE = 3.0, 90
+#: Canonical lines for each line from which on a file is minified, the average line length that goes with it, and the
+#: share of canonical lines that the file has as lines of its own, below which it is.
+EXPANSION, WIDE, SAME = 3.0, 90, 0.5
 #: Share of the most frequent shape among a file's pieces, and the least number of pieces.
 UNIFORM, PIECES = 0.8, 5
 #: Share of literals among a file's tokens or characters.
@@ -83,60 +85,123 @@ class Libraries:
         return max((max(n / self.sizes[k] if self.sizes[k] >= 3 else 0, n / len(lines) if n >= 4 else 0) for k, n in hits.items()), default=0.0)
 
 
+_LINES = re.compile(f"[{chr(LINE)}-{chr(LINE + 999)}]")
+
+
+class Layout:
+    """Canonical layout of one language, on strings of one symbol for each token."""
+
+    def __init__(self, language: str):
+        self.language, self.lex = language, lexer(language, layout=True)
+        sym = self.lex.symbol
+        self.open, self.close, semi = sym["{"], sym["}"], sym[";"]
+        edges = re.escape(semi) if language == "python" else re.escape(semi + self.open + self.close)
+        self.cut = re.compile(f"[^{edges}]*[{edges}]|[^{edges}]+")
+        self.edge = re.compile(f"[{edges}]")
+        self.semi = semi
+        ends = re.escape("".join((ID, NUM, STR, sym[")"], sym["]"], sym["}"])))
+        self.statement = re.compile(f"(?<=[{ends}])[{chr(LINE)}-{chr(LINE + 999)}]")  # a line's end that ends a statement
+
+    def emit(self, s: str) -> list[tuple[int, str]]:
+        """The canonical lines of symbols with line marks, each with its depth."""
+        if self.language == "python":
+            columns = [0, *(ord(c) - LINE for c in _LINES.findall(s))]
+            return [(k, y) for k, line in zip(columns, _LINES.split(s)) for x in self.cut.findall(line) if (y := x.rstrip(self.semi))]
+        if self.language in ("go", "javascript", "typescript"):
+            s = self.statement.sub(self.semi, s)
+        depth, out = 0, []
+        for line in self.cut.findall(_LINES.sub("", s)):
+            if line == self.semi:
+                continue
+            body, edge = (line[:-1], line[-1]) if line[-1] in (self.open, self.close, self.semi) else (line, "")
+            if edge == self.close:
+                if body:
+                    out.append((depth, body))
+                depth = max(0, depth - 1)
+                out.append((depth, edge))
+            else:
+                out.append((depth, body + edge if edge == self.open else body))
+                depth += edge == self.open
+        return out
+
+    def pieces(self, s: str, base: int) -> list[str]:
+        """Slices of ``s``, layout included, at the top (base 0) or within the outermost brackets or blocks (base 1)."""
+        if self.language == "python":
+            widths = sorted({ord(c) - LINE for c in _LINES.findall(s)} - {0})
+            top = chr(LINE) + (f"-{chr(LINE + widths[0])}" if base and widths else "")
+            return [x for x in re.split(f"[{top}]+", s) if x]
+        out, depth, at = [], 0, 0
+        for m in self.edge.finditer(s):
+            c = m.group()
+            if c == self.open:
+                depth += 1
+                if depth == base:
+                    at = m.end()
+                continue
+            if c == self.close:
+                depth = max(0, depth - 1)
+                if depth < base:
+                    at = m.end()
+                    continue
+            if depth == base:
+                out.append(s[at : m.end()])
+                at = m.end()
+        return [y for x in out if (y := x.strip("N").lstrip(_MARKS).rstrip(_MARKS))]
+
+    def uniform(self, s: str) -> float:
+        """Share of the most frequent shape among the pieces of several lines; 0 for few pieces.
+
+        A shape is a piece's symbols and line marks: names and literals count as one, words, marks and layout as they are.
+        """
+        best: list[str] = []
+        for base in (0, 1):
+            pieces = [p for p in self.pieces(s, base) if _LINES.search(p)]
+            best = max(best, pieces, key=len)
+        return Counter(best).most_common(1)[0][1] / len(best) if len(best) >= PIECES else 0.0
+
+
+_MARKS = "".join(map(chr, range(LINE, LINE + 1000)))
+_layouts: dict[str, Layout] = {}
+
+
 def measure(language: str, text: str) -> dict[str, float]:
-    """Expansion, average line, uniformity and share of literals of one file."""
-    lex = lexer(language)
+    """Expansion, average line, lines left as they were, uniformity and share of literals of one file."""
+    if language not in _layouts:
+        _layouts[language] = Layout(language)
+    layout = _layouts[language]
+    lex = layout.lex
     tokens = lex.tokens(text)
     symbols = [*map(lex.table.__getitem__, tokens)]
     sym = lex.symbol
-    s = "".join(symbols)
+    s = "".join(symbols).replace(NL, "")
     lines = [x for x in text.split("\n") if x.strip()]
     n = max(1, len(lines))
-    edges = s.count(sym[";"]) + (s.count(sym["{"]) + s.count(sym["}"]) if language != "python" else 0)
-    canonical = max(edges + (n if language in ("python", "go") else 0), 1)
+    canonical = layout.emit(s)
+    own = Counter(x.rstrip(layout.semi) for x in _LINES.split(s) if x)
+    same = sum((Counter(x for _, x in canonical) & own).values())
     literal_chars = sum(len(t) for t, c in zip(tokens, symbols) if c == STR or c == NUM)
     plain = sum(len(t) for t, c in zip(tokens, symbols) if c == STR and len(t) > 60 and t.count(" ") * 12 > len(t))
     count = Counter(s)
-    own = count[STR] + count[NUM] + count[sym[","]] + count[sym["-"]]
-    every = sum(v for k, v in count.items() if k != "N" and not 0x4E00 <= ord(k) < 0xD800)
+    data = count[STR] + count[NUM] + count[sym[","]] + count[sym["-"]]
+    every = sum(v for k, v in count.items() if not 0x4E00 <= ord(k) < 0xD800)
     chars = sum(len(_SPACE.sub("", x)) for x in lines) or 1
     return {
-        "expansion": canonical / n,
+        "expansion": max(1, len(canonical)) / n,
+        "same": same / max(1, len(canonical)),
         "width": len(text) / n,
-        "uniform": uniformity(language, text),
-        "literal_tokens": own / every if every >= 30 else 0.0,
+        "uniform": layout.uniform(s),
+        "literal_tokens": data / every if every >= 30 else 0.0,
         "literal_chars": (literal_chars - plain) / chars if chars >= 400 else 0.0,
-        "code_tokens": every - own,
+        "code_tokens": every - data,
     }
 
 
-_PIECE = re.compile(r"\n[ \t]*\n")
-_WORD = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\d[\w.]*|[A-Za-z_$]\w*")
-_KEEP = set("def function fn func class struct return if for while else pub static public private const let var int type void interface import from".split())
-
-
-def uniformity(language: str, text: str) -> float:
-    """Share of the most frequent shape among the pieces between blank lines; 0 for few pieces.
-
-    A shape is a piece with each name and each literal replaced by one mark, so that only what a template fixes stays.
-    """
-    body = "\n".join(x for x in text.replace("\r", "").split("\n") if not _COMMENT.match(x))
-    pieces = [p.strip() for p in _PIECE.split(body) if p.strip()]
-    if len(pieces) < PIECES:
-        return 0.0
-    shapes = Counter(_WORD.sub(lambda m: m.group() if m.group() in _KEEP else "0" if m.group()[0].isdigit() else "s" if m.group()[0] in "\"'" else "x", p) for p in pieces if p.count("\n"))
-    total = sum(shapes.values())
-    return shapes.most_common(1)[0][1] / total if total >= PIECES else 0.0
-
-
 def kind_of(language: str, text: str, libraries: Libraries | None) -> tuple[str, float]:
     """(kind, strength): minified, generated, data, vendored or '' for a hand-written file."""
     if not text or text.isspace():
         return "", 0.0
-    if head_marked(text):
-        return "generated", 1.0
     m = measure(language, text)
-    if m["expansion"] >= EXPANSION and m["width"] >= WIDE:
+    if m["expansion"] >= EXPANSION and m["width"] >= WIDE and m["same"] < SAME:
         return "minified", m["expansion"]
     if libraries and (share := libraries.share(text)) >= COMMON:
         return "vendored", share
@@ -146,7 +211,7 @@ def kind_of(language: str, text: str, libraries: Libraries | None) -> tuple[str,
         return "data", m["literal_tokens"]
     if m["literal_chars"] >= LITERAL_CHARS and m["code_tokens"] < 150:
         return "data", m["literal_chars"]
-    return "", 0.0
+    return ("generated", 1.0) if head_marked(text) else ("", 0.0)
 
 
 def classify_files(files: DataFrame, libraries: DataFrame | None = None, path: str = "path", text: str = "content", lib: str = "lib") -> DataFrame:

@@ -66,8 +66,10 @@ FIRST, LINE = 0x100, 0x4E00
 
 
 class Lexer:
-    def __init__(self, language: str):
-        self.language = language
+    """With ``layout`` each line start is a symbol that carries its column, in every language."""
+
+    def __init__(self, language: str, layout: bool = False):
+        self.language, self.layout = language, layout
         literals = WORDS[language].split() + OPS[language].split()
         self.symbol = {t: chr(FIRST + k) for k, t in enumerate(literals)}
         self.text = {c: t for t, c in self.symbol.items()}
@@ -75,6 +77,8 @@ class Lexer:
         ops = "|".join(re.escape(o) for o in sorted(OPS[language].split(), key=len, reverse=True))
         number = _NUMBER_TEXT.get(language, r"(?:\d|\.\d)(?:[eE][+-]\d|[\w.])*")
         alike = [r"(?:[ \t\f]*(?:#[^\n]*)?\r?\n)+[ \t\f]*|\\\r?\n"] if language == "python" else [r"(?:[ \t\f]*\r?\n)+"] if language in ("go", "javascript", "typescript") else []
+        if layout:
+            alike = [r"(?:[ \t\f]*\r?\n)+[ \t\f]*"]
         parts = [*alike, comment, _STRING[language]] + ([_REGEX] if language in ("javascript", "typescript") else [])
         parts += [r"[^\W\d]\w*" if language != "javascript" and language != "typescript" else r"#?[^\W\d][\w$]*|\$[\w$]*", number, ops, r"[^\s]"]
         self.pattern = re.compile("|".join(p.replace("(#*)", "(?P<h>#*)").replace(r"\1", "(?P=h)") for p in parts), re.M)
@@ -95,6 +99,8 @@ class Lexer:
 
     def classify(self, t: str) -> str:
         c, language = t[0], self.language
+        if self.layout and "\n" in t and c in " \t\f\r\n":
+            return chr(LINE + min(len(t[t.rfind("\n") + 1 :].expandtabs(8)), 999))
         if language == "python" and "\n" in t and c in " \t\f#\r\n\\":
             if c == "\\":
                 return ""
@@ -134,9 +140,9 @@ class Lexer:
         return "".join(map(self.table.__getitem__, self.tokens(text)))
 
 
-@lru_cache(8)
-def lexer(language: str) -> Lexer:
-    return Lexer(language)
+@lru_cache(16)
+def lexer(language: str, layout: bool = False) -> Lexer:
+    return Lexer(language, layout)
 
 
 def language_of(path: str | None) -> str | None:

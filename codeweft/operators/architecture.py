@@ -1,4 +1,4 @@
-"""Architecture patterns of projects, by layer keywords in paths and the direction of calls between files."""
+"""Architecture patterns of projects, by keywords in paths and the direction of calls between files."""
 
 from __future__ import annotations
 
@@ -7,52 +7,70 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words in a path that stand for a part of a pattern.
-WORDS = {
-    "model": "model entity domain schema", "view": "view template component page", "controller": "controller handler", "presenter": "presenter",
-    "service": "service usecase", "repository": "repository repo dao store", "adapter": "adapter infra gateway", "port": "port interface",
-}
-LEAST = 0.55
+# Words in a path that stand for a part of a pattern; in TIERS and RINGS the first that fits counts.
+MODEL, VIEW, SPARE_MODEL = ("model", "schema", "entity"), ("view", "template", "page", "pages"), ("service", "repository", "repo")
+TIERS = (("controller", "route", "view", "api", "handler"), ("service", "usecase", "use_case", "logic", "manager"), ("repository", "repo", "dao", "database", "db", "store"))
+RINGS = (
+    ("entity", "entities", "domain", "model"), ("usecase", "use_case", "interactor", "application"), ("controller", "presenter", "gateway", "interface", "adapter"),
+    ("framework", "infra", "infrastructure", "db", "web", "external"),
+)
+DOMAIN, PORTS, ADAPTERS, REPOSITORY = ("domain", "core"), ("port", "interface"), ("adapter", "infra", "infrastructure"), ("repository", "repo")
+CRUD = ("find", "save", "update", "delete", "query", "execute", "fetch", "insert", "get", "create", "findall", "findbyid", "findbyemail")
+LEAST = 55
 
 
-def _has(words: str) -> F.Column:
-    return reduce(lambda a, b: a | b, [F.contains(F.lower("file"), F.lit(w)) for w in words.split()])
+def _has(column: F.Column, words: tuple[str, ...]) -> F.Column:
+    return reduce(lambda a, b: a | b, [F.contains(column, F.lit(w)) for w in words])
+
+
+def _place(column: F.Column, groups: tuple[tuple[str, ...], ...]) -> F.Column:
+    out = F
+    for k, words in enumerate(groups):
+        out = out.when(_has(column, words), k)
+    return out
 
 
 def parts(files: DataFrame) -> DataFrame:
-    """(repo, file) with one boolean for each of WORDS."""
-    return files.select("repo", "file", *[_has(w).alias(k) for k, w in WORDS.items()]).distinct()
+    """(repo, path, base, the parts of patterns that a path stands for, tier, ring) of each file."""
+    p = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
+    words = {"model": MODEL, "view": VIEW, "spare": SPARE_MODEL, "controller": ("controller",), "presenter": ("presenter",), "domain": DOMAIN, "port": PORTS, "adapter": ADAPTERS, "repository": REPOSITORY, "service": ("service",)}
+    return files.select("repo", "path", F.regexp_extract(p, r"([^/]*)\z", 1).alias("base"), *[_has(p, w).alias(k) for k, w in words.items()], _place(p, TIERS).alias("tier"), _place(p, RINGS).alias("ring")).distinct()
 
 
-def detect(fns: DataFrame, file_edges: DataFrame) -> DataFrame:
-    """(repo, pattern, violations, confidence_pct) of MVC, MVP, layered, clean, hexagonal and repository; LEAST and above.
+def detect(files: DataFrame, fns: DataFrame, calls: DataFrame) -> DataFrame:
+    """(repo, pattern, violations, confidence_pct) of the five patterns, LEAST and above.
 
-    ``file_edges`` is (repo, source, target): calls between files. Confidence falls with the calls against the pattern.
+    ``calls`` is (repo, source, target, n): calls between files, those within a file too. Confidence falls with the calls
+    against the pattern: views that call models, lower tiers that call upper ones, inner rings outer ones, the domain its
+    ports and adapters. Service and repository files stand in where there are no models.
     """
-    p = parts(fns)
-    src = p.select("repo", F.col("file").alias("source"), *[F.col(k).alias(f"s_{k}") for k in WORDS])
-    dst = p.select("repo", F.col("file").alias("target"), *[F.col(k).alias(f"t_{k}") for k in WORDS])
-    e = file_edges.select("repo", "source", "target").distinct().join(src, ["repo", "source"]).join(dst, ["repo", "target"])
-    up = F.expr("(s_model and (t_service or t_controller)) or (s_repository and t_controller) or (s_service and t_controller)")
+    p = parts(files)
+    named = ("model", "view", "spare", "domain", "port", "adapter", "tier", "ring")
+    have = p.groupBy("repo").agg(
+        *[F.bool_or(k).alias(k) for k in ("model", "view", "spare", "controller", "presenter", "domain", "port", "adapter", "repository", "service")],
+        F.countDistinct("tier").alias("tiers"), F.countDistinct("ring").alias("rings"),
+    )
+    src = p.select("repo", F.col("path").alias("source"), *[F.col(k).alias(f"s_{k}") for k in named])
+    dst = p.select("repo", F.col("path").alias("target"), *[F.col(k).alias(f"t_{k}") for k in named])
+    e = calls.join(src, ["repo", "source"]).join(dst, ["repo", "target"]).join(have.select("repo", F.col("model").alias("has_model")), "repo")
+    apart = "source <> target"
     wrong = e.groupBy("repo").agg(
-        F.count("*").alias("edges"),
-        F.count_if(F.expr("s_view and (t_model or t_service or t_repository)")).alias("view_model"),
-        F.count_if(up).alias("up"),
-        F.count_if(F.expr("s_model and (t_adapter or t_repository or t_controller)")).alias("outward"),
+        F.count_if(F.expr(f"{apart} and s_view and if(has_model, t_model, t_spare)")).alias("view_model"),
+        F.count_if(F.expr(f"{apart} and s_domain and (t_port or t_adapter)")).alias("outward"),
+        F.sum(F.expr("if(s_tier <> t_tier, n, 0)")).alias("tier_calls"), F.sum(F.expr("if(s_tier > t_tier, n, 0)")).alias("tier_up"),
+        F.sum(F.expr("if(s_ring <> t_ring, n, 0)")).alias("ring_calls"), F.sum(F.expr("if(s_ring < t_ring, n, 0)")).alias("ring_out"),
+    )
+    base = lambda c: F.regexp_extract(F.lower(c), r"([^/]*)\z", 1)
+    repos = p.where("repository").select("repo", "base").distinct()
+    crud = fns.where(_has(F.lower("name"), CRUD)).select("repo", base("file").alias("base")).join(repos, ["repo", "base"], "left_semi").select("repo").distinct().withColumn("crud", F.lit(1))
+    called = calls.where(F.contains(F.lower("source"), F.lit("service"))).select("repo", base("target").alias("base")).join(repos, ["repo", "base"], "left_semi").select("repo").distinct().withColumn("called", F.lit(1))
+    t = have.join(wrong, "repo", "left").join(crud, "repo", "left").join(called, "repo", "left").na.fill(0)
+    rules = (
+        ("if(presenter and not controller, 'MVP', 'MVC')", "(model or spare) and view and (controller or presenter)", "view_model", "(3 - view_model) / 3.0"),
+        ("'Layered/N-Tier'", "tiers >= 2", "tier_up", "greatest(0.4D, 0.95D - 0.5D * coalesce(try_divide(tier_up, tier_calls), 0D))"),
+        ("'Clean Architecture'", "rings >= 3", "ring_out", "greatest(0.3D, 0.95D - coalesce(try_divide(ring_out, ring_calls), 0D))"),
+        ("'Hexagonal Architecture'", "domain and (port or adapter)", "outward", "greatest(0.4D, 0.9D - 0.1D * outward)"),
+        ("'Repository Pattern'", "repository", "0L", "(1 + crud + called + int(service)) / 4.0"),
     )
-    have = p.groupBy("repo").agg(*[F.bool_or(k).alias(k) for k in WORDS])
-    t = have.join(wrong, "repo", "left").na.fill(0)
-    model = "(model or service or repository)"
-    layers_ = "(int(controller or view) + int(service) + int(model or repository))"
-    rings = "(int(model) + int(service) + int(controller or presenter) + int(adapter or repository))"
-    ratio = lambda k: f"({k} / greatest(edges, 1))"
-    rules = {
-        "mvc": (f"{model} and view and controller", "view_model", "greatest(0, 3 - view_model) / 3"),
-        "mvp": (f"{model} and view and presenter", "view_model", "greatest(0, 3 - view_model) / 3"),
-        "layered": (f"{layers_} >= 2", "up", f"greatest(0.4, 0.95 - 0.5 * {ratio('up')})"),
-        "clean": (f"{rings} >= 3", "outward", f"greatest(0.3, 0.95 - {ratio('outward')})"),
-        "hexagonal": ("model and (port or adapter)", "outward", "greatest(0.4, 0.9 - 0.1 * outward)"),
-        "repository": ("repository", "view_model", "(int(repository) + int(model) + int(service) + int(view_model = 0)) / 4"),
-    }
-    out = [t.where(cond).select("repo", F.lit(k).alias("pattern"), F.col(v).alias("violations"), F.expr(f"cast(floor(({c}) * 100 + 0.5) as int)").alias("confidence_pct")) for k, (cond, v, c) in rules.items()]
-    return reduce(DataFrame.unionByName, out).where(F.col("confidence_pct") >= LEAST * 100)
+    out = [t.where(cond).select("repo", F.expr(name).alias("pattern"), F.expr(v).cast("long").alias("violations"), F.expr(f"cast(floor(({c}) * 100 + 0.5 + 1e-9) as int)").alias("confidence_pct")) for name, cond, v, c in rules]
+    return reduce(DataFrame.unionByName, out).where(F.col("confidence_pct") >= LEAST)

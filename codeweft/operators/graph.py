@@ -1,7 +1,8 @@
 """Dependency graphs at three levels, neighbours, search, and recursion over call graphs.
 
-Recursion is by rounds: a frontier of new pairs is joined with the edges and what is known is left out, until nothing is
-new. A round shuffles the frontier only; pairs are co-partitioned by their source. Lineage is cut each round.
+Recursion goes by project. Projects of up to SMALL edges are each walked by one task, in memory, with no shuffle but that
+of their edges; larger ones go by rounds: a frontier of new pairs is joined with the edges and what is known is left out,
+until nothing is new. Both ways give the same rows. Lineage is cut each round.
 """
 
 from __future__ import annotations
@@ -9,37 +10,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.operators.relations import call_edges, last_definition
+from codeweft.functions import text
+from codeweft.operators.relations import SENTINEL, call_edges
 from codeweft.session import cut
 
 #: Most evidence rows that one edge carries.
 DETAILS = 40
+#: Edges up to which a project is walked by one task.
+SMALL = 20_000
 
 
-def module_nodes(fns: DataFrame) -> DataFrame:
-    """(repo, module, loc, functions, languages)."""
+def group_of(by: str = "module") -> F.Column:
+    """The group of a function row: its module without white space around, files without one; or its file."""
+    return F.coalesce(F.when(F.trim("module") != "", F.trim("module")), F.col("file")) if by == "module" else F.col(by)
+
+
+def module_nodes(rows: DataFrame) -> DataFrame:
+    """(repo, id, type, loc, functions, languages) of function rows, those that stand for a file without functions too."""
+    real = F.col("name") != SENTINEL
     langs = F.concat_ws(",", F.array_sort(F.collect_set("language")))
-    return fns.groupBy("repo", F.coalesce("module", F.lit("")).alias("module")).agg(F.sum("lines").alias("loc"), F.count("*").alias("functions"), langs.alias("languages"))
+    kind = F.when(F.trim("module") != "", "module").otherwise("file")
+    out = rows.groupBy("repo", group_of().alias("id"), F.coalesce(kind, F.lit("file")).alias("type"))
+    loc = F.sum(F.when(real, F.col("line_end") - F.col("line_start")).otherwise(0))
+    return out.agg(loc.cast("long").alias("loc"), F.count_if(real).alias("functions"), langs.alias("languages"))
 
 
-def _grouped_edges(fns: DataFrame, by: str) -> DataFrame:
-    last = last_definition(fns).select("repo", "name", F.coalesce(by, F.lit("")).alias("g"))
+def _call_links(fns: DataFrame, by: str) -> DataFrame:
+    """(repo, s, t, src, dst) of calls between groups; both ends by the name's last definition."""
+    at = F.struct("file", "line_start")
+    last = fns.groupBy("repo", "name").agg(F.max_by(group_of(by), at).alias("g"))
     edges = call_edges(fns).join(last.select("repo", F.col("name").alias("src"), F.col("g").alias("s")), ["repo", "src"])
     edges = edges.join(last.select("repo", F.col("name").alias("dst"), F.col("g").alias("t")), ["repo", "dst"])
-    return edges.where("s <> t")
+    return edges.where("s <> t").select("repo", "s", "t", "src", "dst")
+
 
+def _import_links(rows: DataFrame, resolved: DataFrame, by: str) -> DataFrame:
+    """(repo, s, t, src, dst) of ``resolved`` imports (path, raw, target) between groups of files; dst is the specifier."""
+    of = rows.groupBy("repo", "file").agg(F.max_by(group_of(by), F.struct("line_start", "name")).alias("g"))
+    i = resolved.select(F.split("path", "/")[0].alias("repo"), "path", "raw", "target")
+    i = i.join(of.select("repo", F.col("file").alias("path"), F.col("g").alias("s")), ["repo", "path"])
+    i = i.join(of.select("repo", F.col("file").alias("target"), F.col("g").alias("t")), ["repo", "target"])
+    return i.where("s <> t").select("repo", "s", "t", F.col("path").alias("src"), F.col("raw").alias("dst"))
 
-def group_edges(fns: DataFrame, by: str = "module") -> DataFrame:
-    """(repo, source, target, call_count) between modules or files; both ends by the name's last definition."""
-    return _grouped_edges(fns, by).groupBy("repo", F.col("s").alias("source"), F.col("t").alias("target")).agg(F.count("*").alias("call_count"))
 
+def group_edges(fns: DataFrame, rows: DataFrame, resolved: DataFrame, by: str = "module") -> DataFrame:
+    """(repo, source, target, call_count) between modules or files: calls and imports, each counted once for each row."""
+    both = _call_links(fns, by).union(_import_links(rows, resolved, by))
+    return both.groupBy("repo", F.col("s").alias("source"), F.col("t").alias("target")).agg(F.count("*").alias("call_count"))
 
-def edge_details(fns: DataFrame, by: str = "file") -> DataFrame:
-    """Evidence of each edge: its first DETAILS (src, dst) pairs by name, and how many there are."""
-    pairs = _grouped_edges(fns, by).select("repo", "s", "t", "src", "dst").distinct()
+
+def edge_details(fns: DataFrame, rows: DataFrame, resolved: DataFrame, by: str = "file") -> DataFrame:
+    """Evidence of each edge: its first DETAILS calls, then imports, by name, and how many there are."""
+    calls = _call_links(fns, by).withColumn("kind", F.lit("call"))
+    pairs = calls.union(_import_links(rows, resolved, by).withColumn("kind", F.lit("import"))).distinct()
     w = Window.partitionBy("repo", "s", "t")
-    ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy("src", "dst"))).withColumn("total", F.count("*").over(w))
-    return ranked.where(F.col("rank") <= DETAILS).select("repo", F.col("s").alias("source"), F.col("t").alias("target"), "src", "dst", "rank", "total")
+    ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy("kind", "src", "dst"))).withColumn("total", F.count("*").over(w))
+    return ranked.where(F.col("rank") <= DETAILS).select("repo", F.col("s").alias("source"), F.col("t").alias("target"), "kind", "src", "dst", "rank", "total")
+
+
+def file_calls(fns: DataFrame) -> DataFrame:
+    """(repo, source, target, n): calls from a file to the file of the called name's last definition, its own too."""
+    last = fns.groupBy("repo", F.col("name").alias("dst")).agg(F.max_by("file", F.struct("file", "line_start")).alias("target"))
+    return call_edges(fns).select("repo", F.col("file").alias("source"), "dst").join(last, ["repo", "dst"]).groupBy("repo", "source", "target").agg(F.count("*").alias("n"))
+
+
+def without_inert(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """File nodes without those ``__init__.py`` that hold no functions and have no edge."""
+    ends = edges.select("repo", F.col("source").alias("file")).union(edges.select("repo", "target")).distinct().withColumn("linked", F.lit(True))
+    inert = F.col("file").rlike(r"(?:\A|[/\\\\])__init__\.py\z") & (F.col("functions") == 0) & F.col("linked").isNull()
+    return nodes.join(ends, ["repo", "file"], "left").where(~inert).drop("linked")
 
 
 def file_nodes(fns: DataFrame, files: DataFrame) -> DataFrame:
@@ -72,6 +111,40 @@ def fan(fns: DataFrame) -> DataFrame:
     return out.join(calls, ["repo", "name"], "left").na.fill(0, ["fan_in"])
 
 
+def rescued(fan_rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``fan_rows`` with fan_in 1 instead of 0 where the name stands in another file's text, or more than once in its own.
+
+    Texts are cut to words once, without comments, and joined on (repo, word); only words that are uncalled names go on.
+    """
+    uncalled = fan_rows.where("fan_in = 0").select("repo", F.col("name").alias("word")).distinct()
+    clean = text.without_comments(F.col("content"), F.col("language"))
+    words = files.select("repo", "path", F.explode(F.regexp_extract_all(clean, F.lit(r"(?U)\w+"), 0)).alias("word"))
+    per = words.join(uncalled, ["repo", "word"], "left_semi").groupBy("repo", "word", "path").agg(F.count("*").alias("n"))
+    whole = per.groupBy("repo", F.col("word").alias("name")).agg(F.count("*").alias("__files"))
+    own = per.select("repo", F.col("word").alias("name"), F.col("path").alias("file"), F.col("n").alias("__own"))
+    out = fan_rows.join(whole, ["repo", "name"], "left").join(own, ["repo", "name", "file"], "left").na.fill(0, ["__files", "__own"])
+    used = (F.col("__files") > F.when(F.col("__own") > 0, 1).otherwise(0)) | (F.col("__own") > 1)
+    return out.withColumn("fan_in", F.when((F.col("fan_in") == 0) & used, 1).otherwise(F.col("fan_in"))).select(*fan_rows.columns)
+
+
+def top_nodes(fan_rows: DataFrame, most: int = 100) -> DataFrame:
+    """The ``most`` function rows with the highest fan_in and fan_out together."""
+    return fan_rows.withColumn("degree", F.col("fan_in") + F.col("fan_out")).orderBy(F.desc("degree"), "repo", "file", "name", "line_start").limit(most)
+
+
+def function_edges(fns: DataFrame) -> DataFrame:
+    """(file, source, target, kind) of each file's function graph: calls to same-named functions of the file, and
+    ``instantiate`` edges to the ``__init__`` of a class that a function builds; ids as in :func:`function_nodes`."""
+    nodes = function_nodes(fns).select("file", "id", "name", "line_start")
+    rows = fns.join(nodes, ["file", "name", "line_start"])
+    target = nodes.select("file", F.col("name").alias("callee"), F.col("id").alias("target"))
+    calls = rows.select("file", F.col("id").alias("source"), F.explode("calls").alias("callee")).join(target, ["file", "callee"]).select("file", "source", "target", F.lit("call").alias("kind"))
+    begin = rows.where("name = '__init__' and class_name is not null").select("file", F.col("class_name").alias("made"), F.col("id").alias("target"))
+    made = F.explode(F.coalesce("instantiates", F.array().cast("array<string>")))
+    builds = rows.select("file", F.col("id").alias("source"), made.alias("made")).join(begin, ["file", "made"]).select("file", "source", "target", F.lit("instantiate").alias("kind"))
+    return calls.union(builds).where("source <> target").distinct()
+
+
 def neighbours(fns: DataFrame, both: bool = True) -> DataFrame:
     """(repo, name, other, direction): callees, and with ``both`` callers, of each defined name, without itself."""
     names = fns.select("repo", "name").distinct()
@@ -91,10 +164,53 @@ def search(fns: DataFrame, text: str, limit: int = 50) -> DataFrame:
     return fns.select("repo", "name", "file", "line_start", rank.alias("rank")).where("rank is not null").orderBy("rank", "name", "file", "line_start").limit(limit)
 
 
-def closure(edges: DataFrame, least: bool = False) -> DataFrame:
-    """(repo, src, dst, depth) of all pairs linked by one edge or more, depth the fewest edges; cycles end by themselves."""
+def _split(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of small projects, and of the others."""
+    large = edges.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("repo")
+    return edges.join(large, "repo", "left_anti"), edges.join(large, "repo", "left_semi")
+
+
+def _walk(adj: dict[str, list[str]], start: str) -> dict[str, int]:
+    """Fewest edges, one or more, from ``start`` to each node that it reaches, itself among them if it is on a cycle."""
+    depth: dict[str, int] = {}
+    front, d = [start], 0
+    while front:
+        d += 1
+        new = []
+        for x in front:
+            for y in adj.get(x, ()):
+                if y not in depth:
+                    depth[y] = d
+                    new.append(y)
+        front = new
+    return depth
+
+
+def _adjacent(pdf) -> dict[str, list[str]]:
+    adj: dict[str, list[str]] = {}
+    for a, b in zip(pdf["src"], pdf["dst"]):
+        adj.setdefault(a, []).append(b)
+    return adj
+
+
+def _small_closure(pdf):
+    import pandas as pd
+
+    adj = _adjacent(pdf)
+    cols: tuple[list, list, list] = ([], [], [])
+    for a in adj:
+        got = _walk(adj, a)
+        cols[0].extend([a] * len(got))
+        cols[1].extend(got)
+        cols[2].extend(got.values())
+    return pd.DataFrame({"repo": pdf["repo"].iloc[0], "src": cols[0], "dst": cols[1], "depth": cols[2]})
+
+
+def _rounds(edges: DataFrame) -> DataFrame | None:
     step = edges.select("repo", F.col("src").alias("m"), F.col("dst").alias("to"))
     front = cut(edges.select("repo", "src", "dst").distinct().withColumn("depth", F.lit(1)))
+    if front.isEmpty():
+        return None
     parts, depth = [front], 1
     seen = front.select("repo", "src", "dst")
     while not front.isEmpty():
@@ -109,6 +225,46 @@ def closure(edges: DataFrame, least: bool = False) -> DataFrame:
     return out
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(repo, src, dst, depth) of all pairs linked by one edge or more, depth the fewest edges; cycles end by themselves."""
+    small, large = _split(edges.select("repo", "src", "dst").distinct())
+    out = small.groupBy("repo").applyInPandas(_small_closure, "repo string, src string, dst string, depth int")
+    rest = _rounds(large)
+    return out if rest is None else out.union(rest)
+
+
+def _small_reach(pdf):
+    import pandas as pd
+
+    adj = _adjacent(pdf)
+    count, cyclic = {}, {}
+    for a in adj:
+        got = _walk(adj, a)
+        if a in got:
+            cyclic[a] = set(got)
+        count[a] = len(got) - (a in got)
+    component: dict[str, tuple[str, int]] = {}
+    for a in sorted(cyclic):
+        if a not in component:
+            mine = [b for b in cyclic[a] if b in cyclic and a in cyclic[b]]
+            component.update(dict.fromkeys(mine, (min(mine), len(mine))))
+    rows = [(pdf["repo"].iloc[0], a, n, *component.get(a, (None, 0))) for a, n in count.items()]
+    return pd.DataFrame(rows, columns=["repo", "name", "transitive", "component", "size"])
+
+
+def reach(edges: DataFrame) -> DataFrame:
+    """(repo, name, transitive, component, size) of each node with an edge out: how many others it reaches, and its
+    strongly connected component, named by its least member, if it is on a cycle (else null and 0)."""
+    small, large = _split(edges.select("repo", "src", "dst").distinct())
+    out = small.groupBy("repo").applyInPandas(_small_reach, "repo string, name string, transitive long, component string, size long")
+    rest = _rounds(large)
+    if rest is None:
+        return out
+    rest = cut(rest)
+    count = rest.groupBy("repo", F.col("src").alias("name")).agg(F.count_if(F.col("src") != F.col("dst")).alias("transitive"))
+    return out.unionByName(count.join(components(rest), ["repo", "name"], "left").na.fill(0, ["size"]))
+
+
 def impact(fns: DataFrame, edges: DataFrame, repo: str, name: str) -> DataFrame:
     """Who is affected by a change of one function: (name, depth, direct), reverse reachability over bare names."""
     back = edges.where(F.col("repo") == repo).select(F.col("dst").alias("m"), F.col("src").alias("to"))
@@ -129,54 +285,102 @@ def components(closed: DataFrame) -> DataFrame:
     return mutual.groupBy("repo", F.col("src").alias("name")).agg(F.min("dst").alias("component"), F.count("*").alias("size"))
 
 
-def risk(fns: DataFrame, edges: DataFrame, closed: DataFrame) -> DataFrame:
-    """Dependency risk of each name: 2 direct + (transitive - direct) + 2 cross-file + 6 if on a cycle; and its level."""
-    names = fns.select("repo", "name").distinct()
+def risk(fns: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """Dependency risk of each function: 2 direct + (transitive - direct) + 2 cross-file + 6 if on a cycle; and its level.
+
+    Names are one node whatever files define them; cross-file are the direct callees that the function's own file does
+    not define. ``reached`` is :func:`reach` of the edges.
+    """
+    key = ["repo", "file", "name", "line_start"]
     direct = edges.groupBy("repo", F.col("src").alias("name")).agg(F.count("*").alias("direct"))
-    reach = closed.where("src <> dst").groupBy("repo", F.col("src").alias("name")).agg(F.count("*").alias("transitive"))
-    cyc = closed.where("src = dst").select("repo", F.col("src").alias("name"), F.lit(1).alias("in_cycle")).distinct()
-    src = fns.select("repo", F.col("name").alias("src"), "file").distinct()
-    defs = fns.select("repo", F.col("name").alias("dst"), "file", F.lit(1).alias("here")).distinct()
-    cross = edges.join(src, ["repo", "src"]).join(defs, ["repo", "dst", "file"], "left").where("here is null")
-    cross = cross.groupBy("repo", F.col("src").alias("name"), "file").agg(F.countDistinct("dst").alias("cross_file"))
-    cross = cross.groupBy("repo", "name").agg(F.max("cross_file").alias("cross_file"))
-    out = names.join(direct, ["repo", "name"], "left").join(reach, ["repo", "name"], "left").join(cross, ["repo", "name"], "left").join(cyc, ["repo", "name"], "left").na.fill(0)
+    at = fns.select("repo", "file", F.col("name").alias("src")).distinct()
+    here = fns.select("repo", "file", F.col("name").alias("dst")).distinct()
+    cross = edges.join(at, ["repo", "src"]).join(here, ["repo", "file", "dst"], "left_anti")
+    cross = cross.groupBy("repo", "file", F.col("src").alias("name")).agg(F.count("*").alias("cross_file"))
+    out = fns.select(*key).distinct().join(direct, ["repo", "name"], "left").join(reached, ["repo", "name"], "left").join(cross, ["repo", "file", "name"], "left")
+    out = out.na.fill(0, ["direct", "transitive", "cross_file", "size"]).withColumn("in_cycle", (F.col("size") > 1).cast("int"))
     out = out.withColumn("score", F.expr("2 * direct + (transitive - direct) + 2 * cross_file + 6 * in_cycle"))
     level = F.when(F.col("score") >= 25, "high").when(F.col("score") >= 10, "medium").when(F.col("score") >= 1, "low").otherwise("none")
-    return out.withColumn("level", level)
+    return out.withColumn("level", level).select(*key, "direct", "transitive", "cross_file", "in_cycle", "score", "level")
 
 
-def simple_cycles(edges: DataFrame, closed: DataFrame, longest: int = 6) -> DataFrame:
+def _components(adj: dict[str, list[str]]) -> dict[str, str]:
+    """Nodes on cycles with the least member of their component."""
+    reach_ = {a: got for a in adj if a in (got := _walk(adj, a))}
+    out: dict[str, str] = {}
+    for a in sorted(reach_):
+        if a not in out:
+            out.update({b: a for b in reach_[a] if b in reach_ and a in reach_[b]})
+    return out
+
+
+def _small_cycles(pdf, longest: int):
+    import pandas as pd
+
+    adj = _adjacent(pdf)
+    comp = _components(adj)
+    near = {a: [b for b in adj[a] if comp.get(b) == c] for a, c in comp.items()}
+    rows = []
+    for start in comp:
+        todo = [(start,)]
+        while todo:
+            path = todo.pop()
+            for b in near[path[-1]]:
+                if b == start and len(path) > 1:
+                    rows.append((" > ".join(path), len(path)))
+                elif b > start and b not in path and len(path) < longest:
+                    todo.append((*path, b))
+    return pd.DataFrame([(pdf["repo"].iloc[0], *r) for r in rows], columns=["repo", "nodes", "length"])
+
+
+def simple_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
     """(repo, nodes, length): simple cycles of at most ``longest`` edges as a text that begins with the least name.
 
     Paths start at a cycle's least node and never leave its component, so each cycle is met once.
     """
-    comp = components(closed).select("repo", "name", "component")
+    small, large = _split(edges.select("repo", "src", "dst").distinct())
+    out = small.groupBy("repo").applyInPandas(lambda pdf: _small_cycles(pdf, longest), "repo string, nodes string, length int")
+    if large.isEmpty():
+        return out
+    comp = cut(reach(large)).where("component is not null").select("repo", "name", "component")
     a = comp.select("repo", F.col("name").alias("src"), F.col("component").alias("c"))
     b = comp.select("repo", F.col("name").alias("dst"), F.col("component").alias("c"))
-    inner = cut(edges.join(a, ["repo", "src"]).join(b, ["repo", "dst", "c"]).select("repo", "src", "dst"))
+    inner = cut(large.join(a, ["repo", "src"]).join(b, ["repo", "dst", "c"]).select("repo", "src", "dst"))
     step = inner.select("repo", F.col("src").alias("at"), F.col("dst").alias("to"))
     paths = inner.where("dst > src").select("repo", F.array("src", "dst").alias("p"), F.col("dst").alias("at"))
-    found = None
     for n in range(2, longest + 1):
         more = paths.join(step, ["repo", "at"])
-        closing = more.where(F.col("to") == F.col("p")[0]).select("repo", F.concat_ws(" > ", "p").alias("nodes"), F.lit(n).alias("length"))
-        found = closing if found is None else found.union(closing)
+        out = out.union(more.where(F.col("to") == F.col("p")[0]).select("repo", F.concat_ws(" > ", "p").alias("nodes"), F.lit(n).alias("length")))
         paths = cut(more.where((F.col("to") > F.col("p")[0]) & ~F.array_contains("p", F.col("to"))).select("repo", F.concat("p", F.array("to")).alias("p"), F.col("to").alias("at")))
-    return found
+    return out
+
+
+def _small_chain(pdf, cap: int):
+    import pandas as pd
+
+    adj = _adjacent(pdf)
+    comp = _components(adj)
+    level = {b for a, to in adj.items() for b in to if a not in comp or comp.get(b) != comp[a]}
+    depth = 0
+    while level and depth < cap:
+        depth += 1
+        level = {b for a in level for b in adj.get(a, ()) if a not in comp or comp.get(b) != comp[a]}
+    return pd.DataFrame({"repo": [pdf["repo"].iloc[0]] if depth else [], "depth": [depth] if depth else []})
 
 
-def longest_chain(edges: DataFrame, closed: DataFrame, cap: int = 40) -> DataFrame:
-    """(repo, depth): longest call chain of each project, in nodes, over the graph without its cycles' edges, at most ``cap``."""
-    comp = components(closed).select("repo", "name", "component")
+def longest_chain(edges: DataFrame, cap: int = 40) -> DataFrame:
+    """(repo, depth): longest call chain of each project, in calls, over the graph without its cycles' edges, at most ``cap``."""
+    small, large = _split(edges.select("repo", "src", "dst").distinct())
+    out = small.groupBy("repo").applyInPandas(lambda pdf: _small_chain(pdf, cap), "repo string, depth int")
+    if large.isEmpty():
+        return out
+    comp = cut(reach(large)).where("component is not null").select("repo", "name", "component")
     a, b = comp.select("repo", F.col("name").alias("src"), F.col("component").alias("c1")), comp.select("repo", F.col("name").alias("dst"), F.col("component").alias("c2"))
-    e = edges.join(a, ["repo", "src"], "left").join(b, ["repo", "dst"], "left").where("c1 is null or c2 is null or c1 <> c2").select("repo", "src", "dst")
-    e = cut(e)
-    level, depth = cut(e.select("repo", F.col("dst").alias("at")).distinct()), 2
-    best = e.select("repo").distinct().withColumn("depth", F.lit(1)).limit(0)
+    e = cut(large.join(a, ["repo", "src"], "left").join(b, ["repo", "dst"], "left").where("c1 is null or c2 is null or c1 <> c2").select("repo", "src", "dst"))
+    level, depth = cut(e.select("repo", F.col("dst").alias("at")).distinct()), 1
     step = e.select("repo", F.col("src").alias("at"), F.col("dst").alias("to"))
     while depth <= cap and not level.isEmpty():
-        best = best.union(level.select("repo").distinct().withColumn("depth", F.lit(depth)))
+        out = out.union(level.select("repo").distinct().withColumn("depth", F.lit(depth)))
         level = cut(level.join(step, ["repo", "at"]).select("repo", F.col("to").alias("at")).distinct())
         depth += 1
-    return best.groupBy("repo").agg(F.max("depth").alias("depth"))
+    return out.groupBy("repo").agg(F.max("depth").alias("depth"))

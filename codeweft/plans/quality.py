@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import text
 from codeweft.operators import architecture, classes, graph, halstead, history, imports, layers, smells
-from codeweft.operators.relations import functions, once
-from codeweft.plans.graphs import BASE
+from codeweft.operators.relations import functions, name_graph, once
+from codeweft.plans.graphs import BASE, RESCUE, RESOLVED
 from codeweft.session import cut, table
 
 
@@ -19,17 +19,28 @@ def fns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "files").select("repo", "path", "content").distinct()
+    return table(spark, d, "files").select("repo", "path", "language", "content").distinct()
+
+
+def _fan(spark: SparkSession, d: str) -> DataFrame:
+    return graph.rescued(graph.fan(fns(spark, d)), _files(spark, d))
 
 
 def _smells(spark: SparkSession, d: str) -> DataFrame:
     f = fns(spark, d)
-    return smells.detect(f, graph.fan(f))
+    edges = cut(name_graph(f))
+    return cut(smells.detect(f, cut(_fan(spark, d)), graph.simple_cycles(edges), graph.longest_chain(edges)))
 
 
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
-    f = fns(spark, d)
-    return smells.dead_code(f, graph.fan(f))
+    return smells.dead_code(fns(spark, d), _fan(spark, d))
+
+
+def dead_code_totals(spark: SparkSession, d: str) -> DataFrame:
+    """A row a project: dead functions, files with unused imports, and unused imports."""
+    dead = dead_code(spark, d).groupBy("repo").agg(F.count_if("is_dead").alias("dead"))
+    loose = imports.unused(_files(spark, d)).groupBy(F.split("path", "/")[0].alias("repo")).agg(F.countDistinct("path").alias("files"), F.count("*").alias("unused"))
+    return dead.join(loose, "repo", "full").na.fill(0)
 
 
 def smell_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -37,13 +48,14 @@ def smell_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def smells_by_layer(spark: SparkSession, d: str) -> DataFrame:
-    layer = smells.causation_table(spark).select("smell", "layer").distinct()
+    layer = smells.catalog(spark).select("smell", "layer")
     return _smells(spark, d).join(F.broadcast(layer), "smell").groupBy("repo", "layer").agg(F.count("*").alias("findings"))
 
 
 def worst_severity(spark: SparkSession, d: str) -> DataFrame:
-    s = _smells(spark, d).where("line_start is not null").join(F.broadcast(smells.weights(spark)), "severity")
-    return s.groupBy("repo", "file", "name", "line_start").agg(F.max_by("severity", "weight").alias("worst"))
+    """The worst severity of each name that findings have."""
+    s = _smells(spark, d).join(F.broadcast(smells.weights(spark)), "severity")
+    return s.groupBy("repo", "name").agg(F.max_by("severity", "weight").alias("worst"))
 
 
 def file_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -53,39 +65,59 @@ def file_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 def loc_sloc(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("content")
-    return _files(spark, d).select("path", text.loc(c).alias("loc"), text.sloc(c).alias("sloc"))
+    return _files(spark, d).select("path", text.loc(c).alias("loc"), text.sloc(c).alias("sloc")).distinct()
 
 
 def text_metrics(spark: SparkSession, d: str) -> DataFrame:
     c = F.coalesce("content", F.lit(""))
-    return _files(spark, d).select("path", text.complexity(c).alias("complexity"), text.nesting(c).alias("nesting"))
+    return _files(spark, d).select("path", text.complexity(c).alias("complexity"), text.nesting(c).alias("nesting")).distinct()
+
+
+def file_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """How each file is taken: by its name, its lines and the functions that its text defines."""
+    c = F.coalesce("content", F.lit(""))
+    return _files(spark, d).select("path", text.file_strategy(F.col("path"), c, text.functions_named(c, F.col("language"))).alias("strategy")).distinct()
+
+
+def render_strategies(spark: SparkSession, d: str) -> DataFrame:
+    return fns(spark, d).groupBy("repo").agg(F.count("*").alias("nodes")).withColumn("strategy", text.render_strategy(F.col("nodes")))
+
+
+def parameter_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of each function by its first line, and by its lines up to the first closing bracket."""
+    at = fns(spark, d).select("repo", "file", "name", "line_start", F.col("language").alias("lang")).distinct()
+    rows = at.join(_files(spark, d).groupBy(F.col("path").alias("file")).agg(F.max("content").alias("content")), "file")
+    rows = rows.where((F.col("line_start") > 0) & (F.col("line_start") <= text.loc(F.col("content"))))
+    one, more = (text.parameters(text.signature(F.col("content"), F.col("line_start"), n), F.col("lang")) for n in (1, 11))
+    return rows.select("repo", "file", "name", "line_start", F.coalesce(one, F.lit(0)).alias("first_line"), more.alias("signature"))
 
 
 def project_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A row a project: sizes, averages and totals of its files and functions; orphans are uncalled, call nothing and are no entry points."""
     f = fns(spark, d)
-    per = f.groupBy("repo").agg(F.countDistinct("file").alias("files"), F.count("*").alias("functions"), F.sum(F.size("calls")).alias("calls"), F.sum("complexity").alias("complexity"), F.max("complexity").alias("most_complex"), F.sum(F.col("complexity") - 1).alias("decisions"), F.sum("param_count").alias("params"), F.sum(F.col("complexity") + F.col("max_nesting_depth")).alias("cognitive"))
-    orphans = graph.fan(f).where("fan_in = 0 and fan_out = 0").groupBy("repo").agg(F.count("*").alias("orphans"))
-    return per.join(orphans, "repo", "left").na.fill(0, ["orphans"])
+    half_up = lambda c, n: F.floor(c * 10**n + 0.5) / 10**n
+    per = f.groupBy("repo").agg(
+        F.count("*").alias("functions"), F.sum(F.size("calls")).alias("calls"), half_up(F.avg("complexity"), 2).alias("avg_complexity"),
+        F.max("complexity").alias("most_complex"), F.sum(F.greatest(F.col("complexity") - 1, F.lit(0))).alias("decisions"),
+        half_up(F.round(F.avg("complexity"), 2) * 1.2 + F.avg("max_nesting_depth") * 0.5, 2).alias("cognitive"),
+    )
+    files = _files(spark, d).groupBy("repo").agg(F.countDistinct("path").alias("files"))
+    alone = _fan(spark, d).where((F.col("fan_in") == 0) & (F.col("fan_out") == 0) & ~smells.is_entry(F.col("name")))
+    return per.join(files, "repo").join(alone.groupBy("repo").agg(F.count("*").alias("orphans")), "repo", "left").na.fill(0, ["orphans"])
 
 
 def layer_violations(spark: SparkSession, d: str) -> DataFrame:
     return layers.violations(table(spark, d, "file_imports"))
 
 
-def layer_files(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).select("path", layers.path_layer(F.col("path")).alias("layer")).distinct()
+def layer_violations_by_module(spark: SparkSession, d: str) -> DataFrame:
+    return layers.by_module(layer_violations(spark, d), once(table(spark, d, "parsed_functions")))
 
 
-def layer_files_named(spark: SparkSession, d: str) -> DataFrame:
-    """``layer_files`` with the reference's fallback to file names; the SQL of ``layer_files`` reads folders only."""
+def layer_files(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", layers.file_layer(F.col("path")).alias("layer")).distinct()
 
 
-def layer_violations_named(spark: SparkSession, d: str) -> DataFrame:
-    """``layer_violations`` by names too; the SQL of ``layer_violations`` takes whole segments only."""
-    return layers.violations(table(spark, d, "file_imports"), names=True)
-
-
 def _graph(spark: SparkSession, d: str) -> classes.ClassGraph:
     return classes.ClassGraph(once(table(spark, d, "parsed_classes")), fns(spark, d))
 
@@ -101,7 +133,7 @@ def design_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 def architecture_patterns(spark: SparkSession, d: str) -> DataFrame:
     f = fns(spark, d)
-    return architecture.detect(f.select("repo", "file"), graph.group_edges(f, "file"))
+    return architecture.detect(_files(spark, d), f, graph.file_calls(f))
 
 
 def last_writer(spark: SparkSession, d: str) -> DataFrame:
@@ -124,9 +156,10 @@ def maintainability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def service_summary(spark: SparkSession, d: str) -> DataFrame:
-    f = fns(spark, d).groupBy("repo", "service").agg(F.countDistinct("module").alias("modules"), F.countDistinct("file").alias("files"), F.count("*").alias("functions"))
-    every = table(spark, d, "files").where("service is not null").select("repo", "service").distinct()
-    return every.join(f, ["repo", "service"], "left").na.fill(0)
+    """Modules of a service's functions, blank ones left out, and its files, those without functions too."""
+    mods = fns(spark, d).where(F.trim("module") != "").groupBy("repo", "service").agg(F.countDistinct(F.trim("module")).alias("modules"))
+    per = table(spark, d, "files").where("service is not null").groupBy("repo", "service").agg(F.countDistinct("path").alias("files"))
+    return per.join(mods, ["repo", "service"], "left").na.fill(0, ["modules"])
 
 
 def sweep_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +195,8 @@ def session_gaps(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "smells_all": lambda s, d: _smells(s, d).na.fill("", ["file"]).na.fill(0, ["line_start"]),
     "smell_scores": lambda s, d: smells.scores(_smells(s, d)),
+    "smell_root_causes": lambda s, d: smells.root_causes(_smells(s, d)),
+    "smell_fix_tree": lambda s, d: smells.fix_tree(_smells(s, d)),
     "debt_score": lambda s, d: smells.debt(_smells(s, d)),
     "fix_plan": lambda s, d: smells.fix_plan(_smells(s, d)),
     "unique_method_resolution": lambda s, d: _graph(s, d).unique_methods(),
@@ -171,42 +206,81 @@ QUERIES = {
     "import_resolution_hint": lambda s, d: imports.resolve(table(s, d, "file_imports"), table(s, d, "files")),
     "import_extract": lambda s, d: imports.extract(_files(s, d)),
     "unused_imports": lambda s, d: imports.unused(_files(s, d)),
-    "magic_literals": lambda s, d: _files(s, d).select("path", text.magic_literals(F.coalesce("content", F.lit(""))).alias("literals")),
-    **{f.__name__: f for f in (dead_code, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, project_metrics, layer_violations, layer_files, layer_violations_named, layer_files_named, design_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_days, session_gaps)},
+    "magic_literals": lambda s, d: _files(s, d).select("path", text.magic_literals(F.coalesce("content", F.lit(""))).alias("literals")).distinct(),
+    **{f.__name__: f for f in (dead_code, dead_code_totals, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, file_strategies, render_strategies, parameter_counts, project_metrics, layer_violations, layer_violations_by_module, layer_files, design_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_days, session_gaps)},
 }
 
-FAN = BASE + """
-k AS (SELECT repo, dst, count(*) AS n FROM c GROUP BY ALL),
-fan AS (SELECT f.* EXCLUDE (fan_in, fan_out), CAST(len(calls) AS INT) AS fan_out, coalesce(k.n, 0) AS fan_in FROM f LEFT JOIN k ON k.repo = f.repo AND k.dst = f.name),
-dead AS (SELECT repo, file, name, line_start, fan_in = 0 AND NOT regexp_matches(name, '%s') AND NOT regexp_matches(name, '^anonymous_[0-9]+$') AND NOT regexp_matches(name, '%s')
-  AND CASE WHEN language = 'python' THEN starts_with(name, '_') WHEN language IN ('javascript', 'typescript') THEN starts_with(name, '_') OR starts_with(name, '#')
-    WHEN language = 'go' THEN regexp_matches(name, '^[a-z]') ELSE starts_with(name, '_') AND NOT starts_with(name, '__') END AS is_dead FROM fan)
-""" % (smells.entry_pattern(), smells.runtime_pattern())
-SMELLS = FAN + """,
-per AS (SELECT repo, coalesce(module, file) AS name, count(*) AS k, avg(complexity) AS a, count(*) FILTER (param_count >= 4) AS cl, avg(param_count) FILTER (param_count >= 4) AS cp FROM fan GROUP BY ALL),
-kl AS (SELECT repo, file, class_name AS name, count(*) AS k, avg(complexity) AS a, max(lines) AS most, min(line_start) AS line_start FROM fan WHERE class_name IS NOT NULL GROUP BY ALL),
-sh AS (SELECT repo, dst AS name, count(DISTINCT file) AS files, count(*) AS k FROM c GROUP BY ALL),
-la AS (SELECT repo, name, max_by(file, (file, line_start)) AS file, max_by(line_start, (file, line_start)) AS line_start FROM f GROUP BY ALL),
+_ENTRY = (
+    "name IN ('main', 'init', 'run', 'start', 'stop', 'shutdown', 'close', 'setUp', 'tearDown', 'setUpClass', 'tearDownClass', 'setUpModule', 'tearDownModule', 'runTest', "
+    "'handler', 'lambda_handler', 'application', 'wsgi_app', 'create_app', 'make_app', 'configure', 'bootstrap', 'app_factory', "
+    "'toString', 'hashCode', 'equals', 'compareTo', 'compare', 'clone', 'finalize', 'execute', 'call', "
+    "'render', 'componentDidMount', 'componentWillUnmount', 'componentDidUpdate', 'shouldComponentUpdate', 'getDerivedStateFromProps', 'getSnapshotBeforeUpdate', "
+    "'mounted', 'created', 'destroyed', 'updated', 'beforeMount', 'beforeCreate', 'beforeDestroy', 'beforeUpdate', "
+    "'ngOnInit', 'ngOnDestroy', 'ngOnChanges', 'ngAfterViewInit', 'ngAfterContentInit', 'ngDoCheck', "
+    "'get', 'post', 'put', 'patch', 'delete', 'head', 'options', 'ServeHTTP', 'String', 'Error', 'new', 'default', 'fmt', 'from', 'into', 'drop') "
+    "OR (starts_with(name, '__') AND ends_with(name, '__')) "
+    "OR regexp_matches(name, '^(test_|Test|spec_|it_|should_|given_|when_|then_|on_|On|handle_|Handle|before_|after_|pre_|post_|middleware_|fixture_|plugin_|register_|setup_|init_|dispatch_|emit_|notify_|receive_|visit_)')"
+)
+_RUNTIME = (
+    "name IN ('onClick', 'onChange', 'onSubmit', 'onLoad', 'onError', 'onSuccess', 'onFailure', 'onComplete', 'onDone', 'onReady', 'onKeyUp', 'onKeyDown', 'onMouseOver', "
+    "'onMouseOut', 'onFocus', 'onBlur', 'onScroll', 'onResize') "
+    "OR regexp_matches(name, '([Hh]andler|[Cc]allback|[Ll]istener|[Hh]ook|[Aa]ction|[Ee]vent|[Tt]rigger|[Oo]bserver|[Mm]iddleware|[Ii]nterceptor|[Dd]ecorator|[Ww]rapper|[Rr]esolver|[Pp]lugin)$')"
+)
+FAN = RESCUE + f""",
+dead AS (SELECT repo, file, name, line_start, fan_in = 0 AND NOT ({_ENTRY}) AND NOT regexp_matches(name, '^anonymous_[0-9]+$') AND NOT ({_RUNTIME})
+  AND CASE WHEN language = 'python' THEN starts_with(name, '_') AND NOT (starts_with(name, '__') AND ends_with(name, '__'))
+    WHEN language IN ('javascript', 'typescript') THEN starts_with(name, '_') OR starts_with(name, '#') ELSE starts_with(name, '_') END AS is_dead FROM fan)
+"""
+#: Cycles of at most 6 calls, and the longest chains of calls that are on no cycle; over the closure that BASE gives.
+CHAINS = """,
+r AS (SELECT repo, src, dst FROM e UNION SELECT r.repo, r.src, e.dst FROM r JOIN e ON e.repo = r.repo AND e.src = r.dst),
+cyc AS (SELECT DISTINCT a.repo, a.src, a.dst FROM e a JOIN r b ON a.repo = b.repo AND a.src = b.dst AND a.dst = b.src),
+wk AS (SELECT repo, [src, dst] AS p, dst AS at FROM cyc WHERE dst > src UNION ALL SELECT wk.repo, list_append(p, cyc.dst), cyc.dst FROM wk JOIN cyc ON cyc.repo = wk.repo AND cyc.src = wk.at WHERE cyc.dst > p[1] AND NOT list_contains(p, cyc.dst) AND len(p) < 6),
+cy AS (SELECT wk.repo, p, len(p) AS n, row_number() OVER (PARTITION BY wk.repo ORDER BY len(p), array_to_string(p, ' > ')) AS rn FROM wk JOIN cyc ON cyc.repo = wk.repo AND cyc.src = wk.at AND cyc.dst = p[1]),
+ac AS (SELECT * FROM e EXCEPT SELECT * FROM cyc),
+ch AS (SELECT DISTINCT repo, dst AS at, 1 AS d FROM ac UNION SELECT ch.repo, ac.dst, ch.d + 1 FROM ch JOIN ac ON ac.repo = ch.repo AND ac.src = ch.at WHERE ch.d < 40),
+dp AS (SELECT repo, max(d) AS depth FROM ch GROUP BY ALL)
+"""
+SMELLS = FAN + CHAINS + """,
+bk AS (SELECT *, CASE WHEN module <> '' THEN module ELSE file END AS mod, coalesce(virtual_module, '') AS vm FROM fan),
+per AS (SELECT repo, mod, count(*) AS k, avg(complexity) AS a, arg_min(file, (file, line_start, name)) AS file, min(vm) AS vm, max(vm) AS vm2, count(*) FILTER (param_count >= 4) AS cl, avg(param_count) FILTER (param_count >= 4) AS cp,
+  arg_min(file, (-param_count, file, line_start, name)) FILTER (param_count >= 4) AS worst FROM bk GROUP BY ALL),
+g AS (SELECT per.*, vm = vm2 AND vm <> '' AND vm <> mod AS one, EXISTS (SELECT 1 FROM per o WHERE o.repo = per.repo AND starts_with(o.mod, per.mod || '/')) AS nested FROM per),
+lz AS (SELECT repo, vm, count(*) AS k, max(lines) AS most, arg_min(file, (file, line_start, name)) AS file FROM bk WHERE vm <> '' AND vm <> mod AND vm <> file GROUP BY ALL),
+sh AS (SELECT repo, dst AS name, count(DISTINCT file) AS files FROM c GROUP BY ALL),
+la AS (SELECT repo, name, max_by(file, (file, line_start)) AS file, max_by(line_start, (file, line_start)) AS line_start, max_by(fan_in, (file, line_start)) AS fan_in FROM fan GROUP BY ALL),
 sm AS (
   SELECT repo, 'long_method' AS smell, file, name, line_start, CASE WHEN lines > 200 OR complexity > 25 THEN 'critical' WHEN lines > 80 OR complexity > 15 THEN 'high' ELSE 'medium' END AS severity FROM fan WHERE lines > 50 OR complexity > 10
   UNION ALL SELECT repo, 'too_many_params', file, name, line_start, CASE WHEN param_count >= 9 THEN 'high' ELSE 'medium' END FROM fan WHERE param_count > 5
-  UNION ALL SELECT repo, 'switch_smell', file, name, line_start, CASE WHEN complexity >= 12 THEN 'high' ELSE 'medium' END FROM fan WHERE complexity >= 6 AND lines <= 40
+  UNION ALL SELECT repo, 'switch_smell', file, name, line_start, CASE WHEN complexity >= 12 THEN 'high' ELSE 'medium' END FROM fan WHERE complexity >= 6 AND greatest(lines, 1) <= 40
   UNION ALL SELECT repo, 'magic_numbers', file, name, line_start, CASE WHEN literal_count >= 10 THEN 'high' ELSE 'medium' END FROM fan WHERE literal_count >= 5
   UNION ALL SELECT repo, 'feature_envy', file, name, line_start, CASE WHEN fan_out / greatest(fan_in, 1) >= 6 OR fan_out >= 12 THEN 'high' ELSE 'medium' END FROM fan WHERE fan_out >= 5 AND fan_out / greatest(fan_in, 1) >= 3
-  UNION ALL SELECT repo, 'deep_nesting', file, name, line_start, CASE WHEN max_nesting_depth >= 7 THEN 'critical' WHEN max_nesting_depth >= 5 THEN 'high' WHEN max_nesting_depth >= 4 THEN 'medium' WHEN complexity / lines >= 0.30 THEN 'high' ELSE 'medium' END
-    FROM fan WHERE max_nesting_depth >= 4 OR (max_nesting_depth = 0 AND lines > 5 AND complexity > 6 AND complexity / lines >= 0.18)
-  UNION ALL SELECT repo, 'dead_code', file, name, line_start, 'medium' FROM dead WHERE is_dead
-  UNION ALL SELECT repo, 'god_module', NULL, name, NULL, CASE WHEN k > 60 OR a > 15 THEN 'critical' WHEN k > 20 OR a > 10 THEN 'high' ELSE 'medium' END FROM per WHERE k >= 20 OR a >= 7
-  UNION ALL SELECT repo, 'data_clumps', NULL, name, NULL, CASE WHEN cp >= 7 OR cl >= 5 THEN 'high' ELSE 'medium' END FROM per WHERE cl >= 3
-  UNION ALL SELECT repo, 'god_class', file, name, line_start, CASE WHEN k > 60 OR a > 15 THEN 'critical' WHEN k > 20 OR a > 10 THEN 'high' ELSE 'medium' END FROM kl WHERE k >= 7 OR a >= 4
-  UNION ALL SELECT repo, 'lazy_class', file, name, line_start, 'low' FROM kl WHERE k <= 2 AND most > 3
-  UNION ALL SELECT sh.repo, 'shotgun_surgery', la.file, sh.name, la.line_start, CASE WHEN files >= 20 THEN 'critical' ELSE 'high' END FROM sh JOIN la ON la.repo = sh.repo AND la.name = sh.name WHERE files >= 8 AND k <= 30),
+  UNION ALL SELECT repo, 'deep_nesting', file, name, line_start, CASE WHEN max_nesting_depth >= 7 THEN 'critical' WHEN max_nesting_depth >= 5 THEN 'high' WHEN max_nesting_depth >= 4 THEN 'medium' WHEN complexity / greatest(lines, 1) >= 0.30 THEN 'high' ELSE 'medium' END
+    FROM fan WHERE max_nesting_depth >= 4 OR (max_nesting_depth = 0 AND greatest(lines, 1) > 5 AND complexity > 6 AND complexity / greatest(lines, 1) >= 0.18)
+  UNION ALL SELECT repo, 'dead_code', file, name, line_start, 'high' FROM dead WHERE is_dead
+  UNION ALL SELECT repo, CASE WHEN one THEN 'god_class' ELSE 'god_module' END, file, CASE WHEN one THEN vm WHEN nested THEN mod || ' (root files)' ELSE mod END, NULL, CASE WHEN k > 60 OR a > 15 THEN 'critical' WHEN k > 20 OR a > 10 THEN 'high' ELSE 'medium' END
+    FROM g WHERE CASE WHEN one THEN k >= 7 OR a >= 4 ELSE k >= 20 OR a >= 7 END
+  UNION ALL SELECT repo, 'data_clumps', worst, mod || ' (' || cl || ' functions)', NULL, CASE WHEN cp >= 7 OR cl >= 5 THEN 'high' ELSE 'medium' END FROM g WHERE cl >= 3
+  UNION ALL SELECT repo, 'lazy_class', file, vm, NULL, 'low' FROM lz WHERE k <= 2 AND most > 3
+  UNION ALL SELECT sh.repo, 'shotgun_surgery', la.file, sh.name, la.line_start, CASE WHEN files >= 20 THEN 'critical' ELSE 'high' END FROM sh JOIN la ON la.repo = sh.repo AND la.name = sh.name WHERE files >= 8 AND fan_in <= 30
+  UNION ALL SELECT cy.repo, 'circular_dependency', la.file, left(array_to_string(list_append(p, p[1]), ' → '), 70), NULL, CASE WHEN n <= 2 THEN 'critical' ELSE 'high' END FROM cy JOIN la ON la.repo = cy.repo AND la.name = p[1] WHERE rn <= 5
+  UNION ALL SELECT repo, 'long_call_chain', NULL, 'depth=' || depth, NULL, CASE WHEN depth >= 15 THEN 'critical' WHEN depth >= 10 THEN 'high' ELSE 'medium' END FROM dp WHERE depth >= 7),
 wt(severity, weight) AS (VALUES ('critical', 4), ('high', 3), ('medium', 2), ('low', 1)),
-ef(smell, effort, layer) AS (VALUES %s)
-""" % ", ".join(f"('{k}', {float(v[0])}, '{v[1]}')" for k, v in smells.CAUSATION.items())
-_LEADS = ", ".join(f"('{k}', '{x}')" for k, v in smells.causation_closure().items() for x in sorted(v))
-_FILES = "WITH p AS (SELECT DISTINCT repo, path, coalesce(content, '') AS t FROM files), l AS (SELECT repo, path, t, string_split(regexp_replace(t, '\\r\\n?', '\\n', 'g'), chr(10)) AS x FROM p) "
-_FILES = _FILES.replace("'\\n', 'g'", "chr(10), 'g'")
+ef(smell, effort, layer, detector) AS (VALUES ('god_class', 5.0, 'module', 1), ('god_module', 5.0, 'module', 2), ('circular_dependency', 4.0, 'architecture', 13), ('long_call_chain', 3.0, 'architecture', 14), ('shotgun_surgery', 3.0, 'module', 4),
+  ('long_method', 2.0, 'function', 0), ('data_clumps', 2.0, 'function', 11), ('deep_nesting', 2.0, 'function', 7), ('switch_smell', 2.0, 'function', 8), ('feature_envy', 2.0, 'function', 3), ('too_many_params', 1.0, 'function', 6),
+  ('dead_code', 0.5, 'function', 5), ('lazy_class', 1.0, 'module', 9), ('magic_numbers', 1.0, 'function', 12)),
+ct(smell, child) AS (SELECT k, unnest(string_split(v, ' ')) FROM (VALUES ('god_class', 'long_method too_many_params feature_envy dead_code deep_nesting switch_smell data_clumps magic_numbers'),
+  ('god_module', 'long_method too_many_params feature_envy dead_code deep_nesting switch_smell data_clumps'), ('circular_dependency', 'feature_envy'), ('long_call_chain', 'feature_envy'), ('shotgun_surgery', 'feature_envy'),
+  ('long_method', 'too_many_params deep_nesting switch_smell'), ('data_clumps', 'too_many_params'), ('deep_nesting', 'too_many_params')) t(k, v)),
+ty AS (SELECT repo, smell, count(*) AS k FROM sm GROUP BY ALL),
+ed AS (SELECT a.repo, a.smell, b.smell AS child, b.k FROM ty a JOIN ct ON ct.smell = a.smell JOIN ty b ON b.repo = a.repo AND b.smell = ct.child),
+rc AS (SELECT repo, smell, child FROM ed UNION SELECT rc.repo, rc.smell, ed.child FROM rc JOIN ed ON ed.repo = rc.repo AND ed.smell = rc.child),
+sc AS (SELECT t.repo, t.smell, t.severity, t.instances, coalesce(d.downstream, 0) AS downstream, t.weight + coalesce(d.w, 0) AS score, (t.weight + coalesce(d.w, 0)) / greatest(effort, 0.5) AS gain
+  FROM (SELECT repo, smell, sm.severity, weight, count(*) AS instances FROM sm JOIN wt ON wt.severity = sm.severity GROUP BY ALL) t JOIN ef ON ef.smell = t.smell
+  LEFT JOIN (SELECT rc.repo, rc.smell, count(*) AS downstream, sum(weight) AS w FROM rc JOIN sm ON sm.repo = rc.repo AND sm.smell = rc.child JOIN wt ON wt.severity = sm.severity GROUP BY ALL) d ON d.repo = t.repo AND d.smell = t.smell)
+"""
+_FILES = "WITH p AS (SELECT DISTINCT path, coalesce(content, '') AS t FROM files), l AS (SELECT path, t, string_split(t, chr(10)) AS x FROM p) "
+_AROUND = "'^[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+'"
 
 
 def _q(p: str) -> str:
@@ -226,35 +300,79 @@ b AS (SELECT repo, count(*) AS n2, CAST(sum(k) AS BIGINT) AS total2 FROM i GROUP
 """
 
 
-def _layer_case(x: str) -> str:
-    return "CASE " + " ".join("WHEN %s IN (%s) THEN '%s'" % (x, ", ".join(f"'{w}'" for w in words.split()), k) for k, words in layers.KEYWORDS.items()) + " END"
-
-
-_PATH_LAYER = "coalesce(list_filter(list_transform(list_reverse(string_split(lower({0}), '/')[:-2]), lambda s: " + _layer_case("s") + "), lambda s: s IS NOT NULL)[1], 'unknown')"
-_RAW_LAYER = "coalesce(list_filter(list_transform(list_reverse(string_split_regex(lower({0}), '[/.:]+')), lambda s: " + _layer_case("s") + "), lambda s: s IS NOT NULL)[1], 'unknown')"
+_LAYERS = (
+    ("router", "route|routes|router|routers|routing|routings"),
+    ("controller", "controller|controllers|handler|handlers|api|view|views|presenter|presenters|endpoint|endpoints|resource|resources|rest|graphql|resolver|resolvers|action|actions|command|commands|request|requests|response|responses"),
+    ("service", "service|services|usecase|usecases|use_case|use_cases|business|interactor|interactors|application|manager|managers|facade|facades|processor|processors|workflow|workflows|orchestrator|orchestrators"),
+    ("repository", "repository|repositories|repo|repos|dao|daos|store|stores|storage|gateway|gateways|finder|finders"),
+    ("model", "model|models|entity|entities|schema|schemas|dto|dtos|struct|structs|domain|aggregate|aggregates|valueobject|value_object"),
+    ("database", "db|database|databases|migration|migrations|seed|seeds|connection|connections|orm|datasource|data_source|infrastructure|infra|persistence|adapter|adapters|query|queries"),
+    ("middleware", "middleware|middlewares|interceptor|interceptors|guard|guards|filter|filters|hook|hooks|plugin|plugins|decorator|decorators"),
+    ("utility", "util|utils|utility|utilities|helper|helpers|shared|common|lib|libs|constant|constants|config|configs|configuration|logger|logging|log|exception|exceptions|error|errors|validator|validators|validation|formatter|formatters|converter|converters|mapper|mappers|types|type"),
+)
+_EXACT = "CASE " + " ".join(f"WHEN regexp_matches(s, '^({w})$') THEN '{k}'" for k, w in _LAYERS) + " END"
+_AFFIX = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '^({w})|({w})$') THEN '{k}'" for k, w in _LAYERS) + " END"
+_PATH_LAYER = "coalesce(list_filter(list_transform(list_reverse(string_split(lower(path), '/')[:-2]), lambda s: " + _EXACT + "), lambda s: s IS NOT NULL)[1], " + _AFFIX.format("regexp_replace(lower(string_split(path, '/')[-1]), '(.)[.][^.]+$', '\\1')") + ", 'unknown')"
+_RAW_LAYER = "coalesce(list_filter(list_transform(list_reverse(string_split_regex(regexp_replace(lower(raw), '[.](js|jsx|ts|tsx|py|java|go|rs|cs|cpp|c)$', ''), '[/.]')), lambda s: " + _AFFIX.format("s") + "), lambda s: s IS NOT NULL)[1], 'unknown')"
+#: What breaks the order: the type and severity of each pair of layers that may not import one another.
+_BROKEN = """SELECT a.l AS source_layer, b.l AS target_layer, CASE WHEN b.o < a.o THEN 'reverse_dependency' WHEN b.o = a.o THEN 'cross_layer' ELSE 'layer_skip' END AS type, CASE WHEN b.o = a.o THEN 'medium' ELSE 'high' END AS severity
+  FROM (VALUES ('router', 0, 'controller middleware'), ('controller', 1, 'service'), ('middleware', 2, 'service'), ('service', 3, 'repository model service'), ('repository', 4, 'model database'), ('model', 5, ''), ('database', 5, '')) a(l, o, may)
+  CROSS JOIN (VALUES ('controller', 1), ('middleware', 2), ('service', 3), ('repository', 4), ('model', 5), ('database', 5)) b(l, o) WHERE NOT list_contains(string_split(a.may, ' '), b.l)"""
+_VIOLATIONS = "WITH i AS (SELECT DISTINCT path, raw FROM file_imports), j AS (SELECT path, raw, " + _PATH_LAYER + " AS source_layer, " + _RAW_LAYER + " AS target_layer FROM i), tr AS (" + _BROKEN + "), v AS (SELECT path, raw, source_layer, target_layer, type, severity FROM j JOIN tr USING (source_layer, target_layer)) "
+
+_PARTS = """WITH RECURSIVE fl AS (SELECT DISTINCT repo, path, lower(replace(path, chr(92), '/')) AS p FROM files),
+fx AS (SELECT *, regexp_matches(p, 'model|schema|entity') AS model, regexp_matches(p, 'view|template|page') AS vw, contains(p, 'controller') AS controller, contains(p, 'presenter') AS presenter, regexp_matches(p, 'service|repo') AS spare,
+  CASE WHEN regexp_matches(p, 'controller|route|view|api|handler') THEN 0 WHEN regexp_matches(p, 'service|usecase|use_case|logic|manager') THEN 1 WHEN regexp_matches(p, 'repo|dao|database|db|store') THEN 2 END AS tier,
+  CASE WHEN regexp_matches(p, 'entity|entities|domain|model') THEN 0 WHEN regexp_matches(p, 'usecase|use_case|interactor|application') THEN 1 WHEN regexp_matches(p, 'controller|presenter|gateway|interface|adapter') THEN 2 WHEN regexp_matches(p, 'framework|infra|db|web|external') THEN 3 END AS ring,
+  regexp_matches(p, 'domain|core') AS dom, regexp_matches(p, 'port|interface') AS port, regexp_matches(p, 'adapter|infra') AS adapter, contains(p, 'repo') AS rp, contains(p, 'service') AS sv, regexp_extract(p, '([^/]*)$', 1) AS base FROM fl),
+"""
+_ARCHITECTURE = _PARTS + BASE.replace("WITH RECURSIVE", "") + """
+lf AS (SELECT repo, name, max_by(file, (file, line_start)) AS file FROM f GROUP BY ALL),
+ce AS (SELECT c.repo, c.file AS cf, lf.file AS tf, count(*) AS n FROM c JOIN lf ON lf.repo = c.repo AND lf.name = c.dst GROUP BY ALL),
+h AS (SELECT repo, count(*) FILTER (model) AS models, count(*) FILTER (vw) AS views, count(*) FILTER (controller) AS controllers, count(*) FILTER (presenter) AS presenters, count(*) FILTER (spare) AS spares,
+  count(DISTINCT tier) AS tiers, count(DISTINCT ring) AS rings, count(*) FILTER (dom) AS doms, count(*) FILTER (port) + count(*) FILTER (adapter) AS outer_, count(*) FILTER (rp) AS repos, count(*) FILTER (sv) AS svs FROM fx GROUP BY ALL),
+x AS (SELECT ce.repo, ce.n, ce.cf <> ce.tf AS apart, a.vw AND (CASE WHEN h.models > 0 THEN b.model ELSE b.spare END) AS vm, a.tier AS t1, b.tier AS t2, a.ring AS r1, b.ring AS r2, a.dom AND (b.port OR b.adapter) AS dx
+  FROM ce JOIN fx a ON a.path = ce.cf JOIN fx b ON b.path = ce.tf JOIN h ON h.repo = ce.repo),
+y AS (SELECT repo, count(*) FILTER (apart AND vm) AS vm, count(*) FILTER (apart AND dx) AS dx, coalesce(sum(n) FILTER (t1 <> t2), 0) AS tc, coalesce(sum(n) FILTER (t1 > t2), 0) AS tv, coalesce(sum(n) FILTER (r1 <> r2), 0) AS rc, coalesce(sum(n) FILTER (r1 < r2), 0) AS rv FROM x GROUP BY ALL),
+rb AS (SELECT DISTINCT repo, base FROM fx WHERE rp),
+k1 AS (SELECT DISTINCT f.repo FROM f JOIN rb ON rb.repo = f.repo AND rb.base = regexp_extract(lower(f.file), '([^/]*)$', 1) WHERE regexp_matches(lower(f.name), 'find|save|update|delete|query|execute|fetch|insert|get|create')),
+k2 AS (SELECT DISTINCT ce.repo FROM ce JOIN rb ON rb.repo = ce.repo AND rb.base = regexp_extract(lower(ce.tf), '([^/]*)$', 1) WHERE contains(lower(ce.cf), 'service')),
+z AS (SELECT h.*, coalesce(vm, 0) AS vm, coalesce(dx, 0) AS dx, coalesce(tc, 0) AS tc, coalesce(tv, 0) AS tv, coalesce(rc, 0) AS rc, coalesce(rv, 0) AS rv, k1.repo IS NOT NULL AS crud, k2.repo IS NOT NULL AS called FROM h LEFT JOIN y ON y.repo = h.repo LEFT JOIN k1 ON k1.repo = h.repo LEFT JOIN k2 ON k2.repo = h.repo),
+o AS (SELECT repo, CASE WHEN presenters > 0 AND controllers = 0 THEN 'MVP' ELSE 'MVC' END AS pattern, vm AS violations, (3 - vm) / 3.0 AS c FROM z WHERE (models > 0 OR spares > 0) AND views > 0 AND (controllers > 0 OR presenters > 0)
+  UNION ALL SELECT repo, 'Layered/N-Tier', tv, greatest(0.4, 0.95 - 0.5 * CASE WHEN tc > 0 THEN tv / tc ELSE 0 END) FROM z WHERE tiers >= 2
+  UNION ALL SELECT repo, 'Clean Architecture', rv, greatest(0.3, 0.95 - CASE WHEN rc > 0 THEN rv / rc ELSE 0 END) FROM z WHERE rings >= 3
+  UNION ALL SELECT repo, 'Hexagonal Architecture', dx, greatest(0.4, 0.9 - 0.1 * dx) FROM z WHERE doms > 0 AND outer_ > 0
+  UNION ALL SELECT repo, 'Repository Pattern', 0, (1 + CAST(crud AS INT) + CAST(called AS INT) + CAST(svs > 0 AS INT)) / 4.0 FROM z WHERE repos > 0)
+SELECT repo, pattern, CAST(violations AS BIGINT) AS violations, CAST(floor(c * 100 + 0.5 + 1e-9) AS INT) AS confidence_pct FROM o WHERE floor(c * 100 + 0.5 + 1e-9) >= 55
+"""
 
 ORACLE = {
+    "architecture_patterns": _ARCHITECTURE,
+    "render_strategies": BASE + "z AS (SELECT repo, count(*) AS nodes FROM f GROUP BY ALL) SELECT repo, nodes, CASE WHEN nodes < 100 THEN 'show_all' WHEN nodes <= 500 THEN 'make_group' ELSE 'search_only' END AS strategy FROM z",
+    "file_strategies": "WITH p AS (SELECT DISTINCT path, language, coalesce(content, '') AS t FROM files), n AS (SELECT path, language, t, len(string_split(t, chr(10))) AS k, regexp_matches(lower(path), '([.]pb[.]go|[.]pb[.]gw[.]go|_grpc[.]pb[.]go|[.]gen[.]go|[.]generated[.]go|_generated[.]go)$') AS made FROM p) SELECT DISTINCT path, CASE WHEN made AND k > 100000 THEN 'data_file' WHEN made THEN 'god_file' WHEN k <= 10000 THEN 'normal' ELSE 'large' END AS strategy FROM n",
+    "import_resolution_hint": "WITH " + RESOLVED.strip() + " SELECT path, raw, target FROM im",
+    "layer_violations_by_module": _VIOLATIONS + ", o AS (SELECT file, max_by(module, line_start) FILTER (trim(module) <> '') AS m FROM parsed_functions GROUP BY file) SELECT split_part(path, '/', 1) AS repo, coalesce(m, regexp_replace(path, '/?[^/]*$', '')) AS module, count(*) AS count, CASE WHEN bool_or(severity = 'high') THEN 'high' ELSE 'medium' END AS severity FROM v LEFT JOIN o ON o.file = v.path GROUP BY ALL",
+    "smell_fix_tree": SMELLS + ", rt AS (SELECT * FROM ty WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.repo = ty.repo AND ed.child = ty.smell)), l2 AS (SELECT rt.repo, rt.smell || ' > ' || ed.child AS path, rt.k * ed.k AS nodes, ed.child FROM rt JOIN ed ON ed.repo = rt.repo AND ed.smell = rt.smell) SELECT repo, smell AS path, 1 AS depth, k AS nodes FROM rt UNION ALL SELECT repo, path, 2, nodes FROM l2 UNION ALL SELECT l2.repo, path || ' > ' || ed.child, 3, nodes * ed.k FROM l2 JOIN ed ON ed.repo = l2.repo AND ed.smell = l2.child",
+    "smell_root_causes": SMELLS + "SELECT repo, rank, smell, severity, file, name, score FROM (SELECT sm.repo, CAST(row_number() OVER (PARTITION BY sm.repo ORDER BY sc.score DESC, detector, sm.file NULLS FIRST, sm.line_start NULLS FIRST, sm.name) AS INT) AS rank, sm.smell, sm.severity, sm.file, sm.name, CAST(sc.score AS BIGINT) AS score FROM sm JOIN sc ON sc.repo = sm.repo AND sc.smell = sm.smell AND sc.severity = sm.severity JOIN ef ON ef.smell = sm.smell) WHERE rank <= 6",
     "dead_code": FAN + "SELECT repo, file, name, line_start, is_dead, CASE WHEN is_dead THEN 'high' ELSE 'none' END AS confidence FROM dead",
     "smells_all": SMELLS + "SELECT repo, smell, coalesce(file, '') AS file, name, coalesce(line_start, 0) AS line_start, severity FROM sm",
     "smell_summary": SMELLS + "SELECT smell, severity, count(*) AS findings FROM sm GROUP BY ALL",
     "smells_by_layer": SMELLS + "SELECT repo, layer, count(*) AS findings FROM sm JOIN ef ON ef.smell = sm.smell GROUP BY ALL",
-    "worst_severity": SMELLS + "SELECT repo, file, name, line_start, max_by(sm.severity, weight) AS worst FROM sm JOIN wt ON wt.severity = sm.severity WHERE line_start IS NOT NULL GROUP BY ALL",
+    "worst_severity": SMELLS + "SELECT repo, name, max_by(sm.severity, weight) AS worst FROM sm JOIN wt ON wt.severity = sm.severity GROUP BY ALL",
     "file_ranking": SMELLS + "SELECT coalesce(file, '(unknown)') AS file, CAST(sum(weight) AS BIGINT) AS weight FROM sm JOIN wt ON wt.severity = sm.severity GROUP BY ALL",
     "debt_score": SMELLS + "SELECT repo, count(*) AS findings, sum(weight * effort) AS debt, CAST(floor(sum(weight * effort) / 24 * 10 + 0.5) AS BIGINT) AS days_x10 FROM sm JOIN wt ON wt.severity = sm.severity JOIN ef ON ef.smell = sm.smell GROUP BY repo",
-    "smell_scores": SMELLS + f", lt(smell, leads_to) AS (VALUES {_LEADS}), o AS (SELECT repo, smell, count(*) AS instances, CAST(sum(weight) AS BIGINT) AS own FROM sm JOIN wt ON wt.severity = sm.severity GROUP BY ALL), dn AS (SELECT o.repo, lt.smell, CAST(sum(o.own) AS BIGINT) AS reach FROM o JOIN lt ON lt.leads_to = o.smell GROUP BY ALL) SELECT o.repo, o.smell, instances, own, coalesce(reach, 0) AS reach, (own + coalesce(reach, 0)) / greatest(effort, 0.5) AS gain FROM o LEFT JOIN dn ON dn.repo = o.repo AND dn.smell = o.smell JOIN ef ON ef.smell = o.smell",
-    "loc_sloc": _FILES + "SELECT path, CAST(CASE WHEN t = '' THEN 0 ELSE len(x) END AS INT) AS loc, CAST(len(list_filter(x, lambda s: regexp_replace(s, '^[\\s\\x0b]+', '') <> '' AND NOT regexp_matches(s, '^[\\s\\x0b]*(#|//|/\\*|\\*)'))) AS INT) AS sloc FROM l",
-    "text_metrics": "WITH p AS (SELECT DISTINCT repo, path, coalesce(content, '') AS t FROM files) SELECT path, CAST(1 + "
-    + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in text.BRANCH_WORDS)
-    + " AS INT) AS complexity, CAST(greatest(0, list_reduce(list_transform(string_split(regexp_replace(t, '[^{}]', '', 'g'), ''), lambda s: {'d': CASE s WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END, 'm': 0}), lambda a, b: {'d': greatest(0, a.d + b.d), 'm': greatest(a.m, a.d + b.d)}, {'d': 0, 'm': 0}).m - 1) AS INT) AS nesting FROM p",
-    "project_metrics": FAN + ", o AS (SELECT repo, count(*) AS orphans FROM fan WHERE fan_in = 0 AND fan_out = 0 GROUP BY ALL), g AS (SELECT repo, count(DISTINCT file) AS files, count(*) AS functions, CAST(sum(len(calls)) AS BIGINT) AS calls, CAST(sum(complexity) AS BIGINT) AS complexity, max(complexity) AS most_complex, CAST(sum(complexity - 1) AS BIGINT) AS decisions, CAST(sum(param_count) AS BIGINT) AS params, CAST(sum(complexity + max_nesting_depth) AS BIGINT) AS cognitive FROM f GROUP BY ALL) SELECT g.*, coalesce(orphans, 0) AS orphans FROM g LEFT JOIN o ON o.repo = g.repo",
-    "layer_files": "SELECT DISTINCT path, " + _PATH_LAYER.format("path") + " AS layer FROM files",
-    "layer_violations": "WITH i AS (SELECT DISTINCT path, raw FROM file_imports), j AS (SELECT path, raw, " + _PATH_LAYER.format("path") + " AS source_layer, " + _RAW_LAYER.format("raw") + " AS target_layer FROM i), tr(source_layer, target_layer, type, severity) AS (VALUES " + ", ".join(str(x) for x in layers.transitions()) + ") SELECT path, raw, source_layer, target_layer, type, severity FROM j JOIN tr USING (source_layer, target_layer)",
+    "smell_scores": SMELLS + "SELECT repo, smell, severity, instances, downstream, CAST(score AS BIGINT) AS score, gain FROM sc",
+    "loc_sloc": _FILES + "SELECT DISTINCT path, CAST(len(x) AS INT) AS loc, CAST(len(list_filter(x, lambda s: regexp_replace(s, " + _AROUND + ", '') <> '' AND NOT regexp_matches(regexp_replace(s, " + _AROUND + ", ''), '^(#|//|/[*]|[*]|\\x27{3}|\\x22{3})'))) AS INT) AS sloc FROM l",
+    "text_metrics": "WITH p AS (SELECT DISTINCT path, coalesce(content, '') AS t FROM files), w AS (SELECT unnest(['if ', 'elif ', 'else:', 'for ', 'while ', 'case ', 'catch', 'except', '&&', '||']) AS w), b AS (SELECT path, t, 1 + sum((length(t) - length(replace(t, w, ''))) // length(w)) AS k FROM p CROSS JOIN w GROUP BY path, t) SELECT DISTINCT path, CAST(k AS INT) AS complexity, CAST(greatest(0, list_reduce(list_transform(string_split(regexp_replace(t, '[^{}]', '', 'g'), ''), lambda s: {'d': CASE s WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END, 'm': 0}), lambda a, b: {'d': a.d + b.d, 'm': greatest(a.m, a.d + b.d)}, {'d': 0, 'm': 0}).m - 1) AS INT) AS nesting FROM b",
+    "project_metrics": FAN + f", og AS (SELECT repo, count(*) AS orphans FROM fan WHERE fan_in = 0 AND fan_out = 0 AND NOT ({_ENTRY}) GROUP BY ALL), g AS (SELECT repo, count(*) AS functions, CAST(sum(len(calls)) AS BIGINT) AS calls, floor(avg(complexity) * 100 + 0.5) / 100 AS avg_complexity, max(complexity) AS most_complex, CAST(sum(greatest(complexity - 1, 0)) AS BIGINT) AS decisions, floor((round(avg(complexity), 2) * 1.2 + avg(max_nesting_depth) * 0.5) * 100 + 0.5) / 100 AS cognitive FROM f GROUP BY ALL), n AS (SELECT repo, count(DISTINCT path) AS files FROM files GROUP BY ALL) SELECT g.*, files, coalesce(orphans, 0) AS orphans FROM g JOIN n ON n.repo = g.repo LEFT JOIN og ON og.repo = g.repo",
+    "layer_files": "SELECT DISTINCT path, " + _PATH_LAYER + " AS layer FROM files",
+    "layer_violations": _VIOLATIONS + "SELECT * FROM v",
     "unique_method_resolution": BASE + "m AS (SELECT DISTINCT repo, class_name, name FROM f WHERE class_name IS NOT NULL) SELECT repo, name, min(class_name) AS class FROM m GROUP BY repo, name HAVING count(*) = 1",
     "method_calls": BASE + "m AS (SELECT DISTINCT repo, class_name, name FROM f WHERE class_name IS NOT NULL), u AS (SELECT repo, name, min(class_name) AS class FROM m GROUP BY repo, name HAVING count(*) = 1), mm AS (SELECT DISTINCT repo, class_name, name, calls, coalesce(instantiates, []) AS makes FROM f WHERE class_name IS NOT NULL), mc AS (SELECT repo, class_name AS class, name AS method, unnest(calls) AS callee FROM mm) SELECT mc.repo, mc.class, method, callee, u.class AS target FROM mc LEFT JOIN u ON u.repo = mc.repo AND u.name = mc.callee",
     "git_churn": "WITH c AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM commits) SELECT repo, count(DISTINCT hash) AS commits, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(insertions + deletions) AS BIGINT) AS churn, count(DISTINCT author) AS authors FROM c GROUP BY repo",
     "last_writer": "WITH t AS (SELECT user_id AS run, event_id AS ord, event_type, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer_ord FROM events) SELECT run, ord, 'v' AS var, writer_ord FROM t WHERE event_type <> 'error' AND writer_ord IS NOT NULL",
     "halstead_counts": _HALSTEAD + "SELECT coalesce(a.repo, b.repo) AS repo, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(total1, 0) AS total1, coalesce(total2, 0) AS total2 FROM a FULL JOIN b ON a.repo = b.repo",
-    "service_summary": BASE + "g AS (SELECT repo, service, count(DISTINCT module) AS modules, count(DISTINCT file) AS files, count(*) AS functions FROM f GROUP BY ALL) SELECT s.repo, s.service, coalesce(modules, 0) AS modules, coalesce(files, 0) AS files, coalesce(functions, 0) AS functions FROM (SELECT DISTINCT repo, service FROM files WHERE service IS NOT NULL) s LEFT JOIN g ON g.repo = s.repo AND g.service = s.service",
+    "service_summary": "WITH m AS (SELECT repo, service, count(DISTINCT trim(module)) AS modules FROM parsed_functions WHERE name <> '__file__' AND trim(module) <> '' GROUP BY ALL) SELECT f.repo, f.service, f.files, coalesce(modules, 0) AS modules FROM (SELECT repo, service, count(DISTINCT path) AS files FROM files WHERE service IS NOT NULL GROUP BY ALL) f LEFT JOIN m ON m.repo = f.repo AND m.service = f.service",
     "sweep_windows": "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
     "session_inactivity": "SELECT user_id, CAST(floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) / 60000000) AS BIGINT) AS minutes FROM events GROUP BY user_id",
     "session_gaps": "WITH a AS (SELECT user_id AS u, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 3 HOUR THEN 1 ELSE 0 END AS n FROM events), b AS (SELECT u, sum(n) OVER (PARTITION BY u ORDER BY ts) AS k FROM a), g AS (SELECT u, k, count(*) AS c FROM b GROUP BY ALL) SELECT u AS user, count(*) AS sessions, max(c) AS most_events FROM g GROUP BY ALL",

@@ -1,9 +1,13 @@
 import random
 
+import pytest
+
 from codeweft.operators import graph
 
 
-def test_closure_components_and_cycles_match_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 20_000])  # by rounds of joins, and by project
+def test_closure_components_and_cycles_match_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(3)
     edges = sorted({("r", f"n{rng.randrange(14):02d}", f"n{rng.randrange(14):02d}") for _ in range(24)})
     edges = [e for e in edges if e[1] != e[2]]
@@ -35,10 +39,23 @@ def test_closure_components_and_cycles_match_brute_force(spark):
 
     for v in up:
         walk([v])
-    assert {r.nodes for r in graph.simple_cycles(df, closed).collect()} == cycles
+    assert {r.nodes for r in graph.simple_cycles(df).collect()} == cycles
+    got = {r.name: r for r in graph.reach(df).collect()}
+    assert {n: r.transitive for n, r in got.items()} == {v: len(set(s) - {v}) for v, s in reach.items()}
+    assert {n: r["size"] for n, r in got.items() if r.component} == comp
+    on = {v for v in reach if v in reach[v]}
+    apart = {}
+    for _, a, b in edges:
+        if not (a in on and b in on and a in reach[b]):
+            apart.setdefault(a, set()).add(b)
+
+    def longest(v):
+        return max((1 + longest(x) for x in apart.get(v, ())), default=0)
+
+    assert graph.longest_chain(df).first().depth == max(longest(v) for v in apart)
 
 
 def test_empty_graph(spark):
     df = spark.createDataFrame([], "repo string, src string, dst string")
     closed = graph.closure(df)
-    assert closed.count() == graph.simple_cycles(df, closed).count() == 0
+    assert closed.count() == graph.simple_cycles(df).count() == graph.reach(df).count() == graph.longest_chain(df).count() == 0

@@ -10,8 +10,8 @@ def test_layers_by_names(spark):
     }
     got = spark.createDataFrame([(p,) for p in files], "p string").select("p", layers.file_layer(F.col("p")).alias("l"))
     assert {r.p: r.l for r in got.collect()} == files
-    raws = {"./user_service": "service", "../models/x.js": "model", "app.userRepo.find": "repository", "crate::services::x": "service", "./plain": "unknown", None: "unknown"}
-    got = spark.createDataFrame([(p,) for p in raws], "p string").select("p", layers.reference_layer(F.col("p")).alias("l"))
+    raws = {"./user_service": "service", "../models/x.js": "model", "app.userRepo.find": "repository", "crate::services::x": "unknown", "./plain": "unknown", None: "unknown"}
+    got = spark.createDataFrame([(p,) for p in raws], "p string").select("p", layers.import_layer(F.col("p")).alias("l"))
     assert {r.p: r.l for r in got.collect()} == raws
     rows = spark.createDataFrame([("src/userController.js", "./user_repo")], "path string, raw string")
-    assert [(r.source_layer, r.target_layer, r.type) for r in layers.violations(rows, names=True).collect()] == [("controller", "repository", "layer_skip")]
+    assert [(r.source_layer, r.target_layer, r.type) for r in layers.violations(rows).collect()] == [("controller", "repository", "layer_skip")]

@@ -1,28 +1,23 @@
-"""The class graph and declarative design-pattern rules compiled to joins.
+"""The class graph: types, what they inherit and implement, fields, methods, and whom methods call.
 
-Relations: ``type_edges`` (child, parent), ``fields`` (owner, field, type, collection), ``methods`` (class, name, calls,
-makes), each with ``repo``. A rule is a chain of requirements; a generator joins candidates and binds roles as columns,
-a checker is an inner join on bound roles that adds a strength. Confidence is the weighted sum of strengths.
+Relations carry ``repo``. Classes are known by their bare names; of several rows of a name the last by file and line
+gives kind and method names, all give parents and fields.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.operators.graph import closure
 from codeweft.operators.hierarchy import parent_name
 
-# Which method names play which role.
-ROLES = {
-    "COMMAND_EXECUTE": "execute run invoke handle apply perform", "CLONE": "clone copy duplicate deepcopy __copy__ __deepcopy__",
-    "BUILD": "build create construct make assemble", "SAVE": "save snapshot creatememento create_memento backup",
-    "RESTORE": "restore setmemento set_memento rollback undo", "INTERPRET": "interpret evaluate eval parse",
-    "NEXT": "next __next__ getnext get_next advance", "HAS_NEXT": "hasnext has_next __iter__ hasmore has_more",
-}
+INTERFACE_LIKE = ("interface", "trait", "abstract_class")
+_TEXTS = "array<string>"
+
+
+def _texts(c: str) -> F.Column:
+    return F.coalesce(c, F.array().cast(_TEXTS))
 
 
 def core_type(t: F.Column) -> F.Column:
@@ -37,17 +32,47 @@ class ClassGraph:
 
     def __init__(self, classes: DataFrame, functions: DataFrame):
         named = classes.where("name is not null")
-        kind = F.max("kind").alias("kind")
-        self.classes = named.groupBy("repo", "name").agg(kind, F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("method_names", F.array().cast("array<string>")))))).alias("method_names"))
-        known = self.classes.select("repo", F.col("name").alias("parent"))
-        both = named.select("repo", F.col("name").alias("child"), F.explode(F.concat(F.coalesce("bases", F.array().cast("array<string>")), F.coalesce("interfaces", F.array().cast("array<string>")))).alias("e"))
-        edges = both.select("repo", "child", parent_name(F.col("e")).alias("parent")).where("child <> parent").distinct()
-        self.type_edges = edges.join(known, ["repo", "parent"], "left_semi").select("repo", "child", "parent")
+        for c, kind in (("file", "string"), ("line_start", "int"), ("language", "string")):
+            named = named if c in named.columns else named.withColumn(c, F.lit(None).cast(kind))
+        at = F.struct("file", "line_start", "kind")
+        last = F.max(F.struct(at.alias("at"), "kind", "language", F.array_sort(F.array_distinct(F.filter(_texts("method_names"), lambda x: x.isNotNull()))).alias("m"), "file", "line_start"))
+        rows = named.groupBy("repo", "name").agg(last.alias("x"))
+        self.classes = rows.select("repo", "name", "x.kind", "x.language", F.col("x.m").alias("method_names"), "x.file", "x.line_start")
+        known = self.classes.select("repo", F.col("name").alias("parent"), "kind")
+        both = [named.select("repo", F.col("name").alias("child"), F.explode(_texts(c)).alias("e"), F.lit(c).alias("how")) for c in ("bases", "interfaces")]
+        edges = both[0].union(both[1]).select("repo", "child", parent_name(F.col("e")).alias("parent"), "how").where("parent <> '' and child <> parent").distinct()
+        self.parents = edges
+        found = edges.join(known, ["repo", "parent"])
+        self.inherits = found.where("how = 'bases'").select("repo", "child", "parent")
+        like = (F.col("how") == "interfaces") | F.col("kind").isin(*INTERFACE_LIKE)
+        m = functions.where("class_name is not null")
+        m = m if "language" in m.columns else m.withColumn("language", F.lit(None).cast("string"))
+        bare = F.regexp_extract("name", r"([^.]*)\z", 1)
+        m = m.select("repo", F.col("class_name").alias("class"), bare.alias("name"), "calls", _texts("instantiates").alias("makes"), "language").distinct()
+        self.methods = m.drop("language").join(self._known_makes(m), ["repo", "class", "name", "calls", "makes"], "left").withColumn("makes", F.coalesce("kept", F.array().cast(_TEXTS))).drop("kept")
+        self._bodied = m
+        self.implements = found.where(like).select("repo", "child", "parent").union(self.structural()).distinct()
+        self.type_edges = self.inherits.union(self.implements).distinct()
         own = named.select("repo", F.col("name").alias("owner"), F.explode("fields").alias("f"))
         own = own.select("repo", "owner", F.col("f.name").alias("field"), core_type(F.col("f.type")).alias("type"), F.coalesce("f.is_collection", F.lit(False)).alias("collection")).distinct()
-        self.fields = own.join(known.withColumnRenamed("parent", "type"), ["repo", "type"], "left_semi").select("repo", "owner", "field", "type", "collection")
-        m = functions.where("class_name is not null")
-        self.methods = m.select("repo", F.col("class_name").alias("class"), "name", "calls", F.coalesce("instantiates", F.array().cast("array<string>")).alias("makes")).distinct()
+        self.fields = own.join(known.select("repo", F.col("parent").alias("type")), ["repo", "type"], "left_semi").select("repo", "owner", "field", "type", "collection")
+
+    def _known_makes(self, m: DataFrame) -> DataFrame:
+        """Methods with the classes among what they build, in the order of the code."""
+        key = ["repo", "class", "name", "calls", "makes"]
+        rows = m.select(*key).distinct().select(*key, F.posexplode("makes").alias("pos", "product"))
+        rows = rows.join(self.classes.select("repo", F.col("name").alias("product")), ["repo", "product"], "left_semi")
+        return rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "product"))), lambda x: x["product"]).alias("kept"))
+
+    def unresolved(self) -> DataFrame:
+        """(repo, name, how, parents): the parents, by kind of link, that no class of the project is."""
+        known = self.classes.select("repo", F.col("name").alias("parent"))
+        return self.parents.join(known, ["repo", "parent"], "left_anti").groupBy("repo", F.col("child").alias("name"), "how").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+
+    def known_methods(self) -> DataFrame:
+        """(repo, class, name): names of methods with a body, and those that a class declares."""
+        declared = self.classes.select("repo", F.col("name").alias("class"), F.explode("method_names").alias("name"))
+        return declared.union(self.methods.select("repo", "class", "name")).distinct()
 
     def ancestors(self) -> DataFrame:
         """(repo, src, dst, depth) of each class and each type it inherits or implements, at any depth."""
@@ -66,8 +91,8 @@ class ClassGraph:
         return every.withColumn("first", first).where((F.col("rank") == F.col("first.rank")) & (F.col("origin") == F.col("first.origin"))).drop("first", "rank")
 
     def unique_methods(self) -> DataFrame:
-        """(repo, name, class) of method names that exactly one class declares."""
-        return self.methods.groupBy("repo", "name").agg(F.countDistinct("class").alias("k"), F.min("class").alias("class")).where("k = 1").select("repo", "name", "class")
+        """(repo, name, class) of method names that exactly one class knows."""
+        return self.known_methods().groupBy("repo", "name").agg(F.countDistinct("class").alias("k"), F.min("class").alias("class")).where("k = 1").select("repo", "name", "class")
 
     def method_calls(self) -> DataFrame:
         """(repo, class, method, callee, target): calls of methods; target is the class that alone declares the callee."""
@@ -76,252 +101,13 @@ class ClassGraph:
         return calls.join(target, ["repo", "callee"], "left")
 
     def structural(self) -> DataFrame:
-        """(repo, struct, interface): types whose methods hold all that an interface declares (relational division)."""
-        need = self.classes.where("kind = 'interface' and size(method_names) > 0").select("repo", F.col("name").alias("interface"), F.size("method_names").alias("need"), F.explode("method_names").alias("name"))
-        have = self.methods.select("repo", F.col("class").alias("struct"), "name").distinct()
-        j = need.join(have, ["repo", "name"]).where("struct <> interface").groupBy("repo", "struct", "interface", "need").agg(F.count("*").alias("got"))
-        return j.where("got = need").select("repo", "struct", "interface")
-
-
-@dataclass(frozen=True)
-class Rule:
-    """``requires``: (predicate, params) in order; a param that names a bound role stands for its column."""
-
-    pattern: str
-    requires: tuple[tuple[str, dict], ...]
-    weights: dict[str, float] = field(default_factory=dict)
-    floor: float = 0.6
-
-
-PREDICATES: dict[str, Callable[..., DataFrame]] = {}
-
-
-def predicate(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Register a predicate: (graph, **params) to a DataFrame with ``repo``, its roles' columns and maybe ``strength``."""
-    PREDICATES[f.__name__] = f
-    return f
-
-
-@predicate
-def interface_with_single_method(g: ClassGraph) -> DataFrame:
-    return g.classes.where("kind in ('interface', 'abstract_class', 'trait') and size(method_names) = 1").select("repo", F.col("name").alias("interface"))
-
-
-@predicate
-def every_class(g: ClassGraph) -> DataFrame:
-    return g.classes.select("repo", F.col("name").alias("class"))
-
-
-@predicate
-def min_implementers(g: ClassGraph, count: int = 2) -> DataFrame:
-    per = g.type_edges.groupBy("repo", F.col("parent").alias("interface")).agg(F.count("*").alias("k")).where(F.col("k") >= count)
-    return per.select("repo", "interface", F.when(F.col("k") > count, 1.15).otherwise(1.0).alias("strength"))
-
-
-@predicate
-def composition_field_of_type(g: ClassGraph) -> DataFrame:
-    return g.effective_fields().select("repo", F.col("type").alias("interface"), F.col("owner").alias("class"), "field").distinct()
-
-
-@predicate
-def collection_composition_field_of_type(g: ClassGraph) -> DataFrame:
-    return g.effective_fields().where("collection").select("repo", F.col("type").alias("interface"), F.col("owner").alias("class"), "field").distinct()
-
-
-def _self_typed(g: ClassGraph, collection: bool) -> DataFrame:
-    own = g.classes.select("repo", F.col("name").alias("owner"), F.col("name").alias("type"))
-    types = own.union(g.ancestors().select("repo", F.col("src").alias("owner"), F.col("dst").alias("type"))).distinct()
-    f = g.effective_fields().where(F.col("collection") == collection).join(types, ["repo", "owner", "type"], "left_semi")
-    return f.select("repo", F.col("owner").alias("class"), "field", F.col("type").alias("interface")).distinct()
-
-
-@predicate
-def list_of_own_type_field(g: ClassGraph) -> DataFrame:
-    return _self_typed(g, True)
-
-
-@predicate
-def single_field_of_own_type(g: ClassGraph) -> DataFrame:
-    return _self_typed(g, False)
-
-
-@predicate
-def delegates_to_field(g: ClassGraph) -> DataFrame:
-    """A method calls one that the field's type declares: 1.0 if only that type does, 0.8 if the name is ambiguous."""
-    declared = g.classes.select("repo", F.col("name").alias("interface"), F.explode("method_names").alias("callee"))
-    declared = declared.union(g.methods.select("repo", F.col("class").alias("interface"), F.col("name").alias("callee"))).distinct()
-    calls = g.method_calls().select("repo", "class", "callee", "target").distinct()
-    f = g.effective_fields().select("repo", F.col("owner").alias("class"), "field", F.col("type").alias("interface"))
-    j = f.join(calls, ["repo", "class"]).join(declared, ["repo", "interface", "callee"]).where("target is null or target = interface")
-    return j.groupBy("repo", "class", "field", "interface").agg(F.max(F.when(F.col("target") == F.col("interface"), 1.0).otherwise(0.8)).alias("strength"))
-
+        """(repo, child, parent): Go structs whose methods hold all that a Go interface declares (relational division).
 
-@predicate
-def implements_interface(g: ClassGraph) -> DataFrame:
-    return g.ancestors().select("repo", F.col("src").alias("class"), F.col("dst").alias("interface")).distinct()
-
-
-@predicate
-def wraps_as(g: ClassGraph, kind: str) -> DataFrame:
-    """How a class passes calls on to a field: as 'decorator' if its first delegating method calls more, else 'proxy'."""
-    declared = g.classes.select("repo", F.col("name").alias("interface"), F.explode("method_names").alias("callee"))
-    f = g.effective_fields().select("repo", F.col("owner").alias("class"), "field", F.col("type").alias("interface"))
-    calls = g.methods.select("repo", "class", F.col("name").alias("method"), F.size("calls").alias("k"), F.explode("calls").alias("callee"))
-    j = f.join(calls, ["repo", "class"]).join(declared, ["repo", "interface", "callee"], "left_semi")
-    first = j.groupBy("repo", "class", "field", "interface").agg(F.min_by("k", "method").alias("k"))
-    return first.where(F.col("k") > 1 if kind == "decorator" else F.col("k") <= 1).select("repo", "class", "field", "interface")
-
-
-@predicate
-def any_implementer_has_field_of_type(g: ClassGraph) -> DataFrame:
-    """An implementer of the interface holds the class that holds the interface."""
-    f = g.effective_fields().select("repo", F.col("owner").alias("child"), F.col("type").alias("class"))
-    return g.type_edges.select("repo", "child", F.col("parent").alias("interface")).join(f, ["repo", "child"]).select("repo", "interface", "class").distinct()
-
-
-@predicate
-def product_families(g: ClassGraph, least: int = 2) -> DataFrame:
-    """Interfaces of several methods whose implementers build at least so many different families of products."""
-    many = g.classes.where((F.col("kind").isin("interface", "abstract_class", "trait")) & (F.size("method_names") >= least)).select("repo", F.col("name").alias("parent"))
-    made = g.methods.select("repo", F.col("class").alias("child"), F.explode("makes").alias("product"))
-    family = made.groupBy("repo", "child").agg(F.array_join(F.array_sort(F.collect_set("product")), ",").alias("family"), F.countDistinct("product").alias("k")).where(F.col("k") >= least)
-    j = g.type_edges.join(many, ["repo", "parent"], "left_semi").join(family, ["repo", "child"])
-    return j.groupBy("repo", F.col("parent").alias("class")).agg(F.countDistinct("family").alias("n")).where(F.col("n") >= least).select("repo", "class")
-
-
-@predicate
-def caches_product(g: ClassGraph) -> DataFrame:
-    """A method builds a product that a collection field of its class holds."""
-    made = g.methods.select("repo", "class", F.explode("makes").alias("interface"))
-    f = g.effective_fields().where("collection").select("repo", F.col("owner").alias("class"), "field", F.col("type").alias("interface"))
-    return f.join(made, ["repo", "class", "interface"], "left_semi")
-
-
-@predicate
-def has_min_subclasses(g: ClassGraph, count: int = 2) -> DataFrame:
-    return g.type_edges.groupBy("repo", F.col("parent").alias("class")).agg(F.count("*").alias("k")).where(F.col("k") >= count).select("repo", "class")
-
-
-@predicate
-def has_role_method(g: ClassGraph, role: str) -> DataFrame:
-    names = ROLES[role].split()
-    own = g.classes.select("repo", F.col("name").alias("class"), F.explode("method_names").alias("m")).union(g.methods.select("repo", "class", "name"))
-    return own.where(F.lower("m").isin(*names)).select("repo", "class").distinct()
-
-
-@predicate
-def interface_with_role_method(g: ClassGraph, role: str) -> DataFrame:
-    like = g.classes.where("kind in ('interface', 'abstract_class', 'trait')").select("repo", F.col("name").alias("class"))
-    return has_role_method(g, role).join(like, ["repo", "class"], "left_semi").withColumnRenamed("class", "interface")
-
-
-@predicate
-def role_method_makes(g: ClassGraph, role: str, own: bool = False) -> DataFrame:
-    """Classes with a method of the role that builds another class, or with ``own`` the class itself."""
-    made = g.methods.where(F.lower("name").isin(*ROLES[role].split())).select("repo", "class", F.explode("makes").alias("product"))
-    return made.where("class = product" if own else "class <> product").select("repo", "class").distinct()
-
-
-@predicate
-def makes_itself(g: ClassGraph) -> DataFrame:
-    return g.methods.select("repo", "class", F.explode("makes").alias("product")).where("class = product").select("repo", "class").distinct()
-
-
-@predicate
-def double_dispatch(g: ClassGraph) -> DataFrame:
-    e = g.method_calls().where("target is not null and class <> target").select("repo", "class", "target").distinct()
-    return e.join(e.select("repo", F.col("class").alias("target"), F.col("target").alias("class")), ["repo", "class", "target"]).where("class < target").select("repo", "class", F.col("target").alias("other"))
-
-
-@predicate
-def facade(g: ClassGraph, min_fan_out: int = 5, max_caller_ratio: float = 0.4) -> DataFrame:
-    e = g.method_calls().where("target is not null and class <> target").select("repo", "class", "target").distinct()
-    out = e.groupBy("repo", "class").agg(F.count("*").alias("o"))
-    back = e.groupBy("repo", F.col("target").alias("class")).agg(F.count("*").alias("i"))
-    return out.join(back, ["repo", "class"], "left").na.fill(0).where((F.col("o") >= min_fan_out) & (F.col("i") <= F.col("o") * max_caller_ratio)).select("repo", "class")
-
-
-@predicate
-def overridden_makers(g: ClassGraph, products: int = 2) -> DataFrame:
-    """Types whose declared method is overridden by subclasses that build at least so many different classes."""
-    declared = g.classes.where("kind in ('interface', 'abstract_class', 'trait')").select("repo", F.col("name").alias("parent"), F.explode("method_names").alias("name"))
-    made = g.methods.where(F.size("makes") > 0).select("repo", F.col("class").alias("child"), "name", F.array_min("makes").alias("product"))
-    j = declared.join(g.type_edges, ["repo", "parent"]).join(made, ["repo", "child", "name"]).groupBy("repo", F.col("parent").alias("class")).agg(F.countDistinct("product").alias("k"))
-    return j.where(F.col("k") >= products).select("repo", "class")
-
-
-@predicate
-def adapts(g: ClassGraph) -> DataFrame:
-    """A class that implements something and calls a method of a field's unrelated type; one row for each field."""
-    d = delegates_to_field(g).select("repo", "class", "field", "interface")
-    up = g.ancestors().select("repo", F.col("src").alias("class"), F.col("dst").alias("interface"))
-    return d.join(g.type_edges.select("repo", F.col("child").alias("class")).distinct(), ["repo", "class"], "left_semi").join(up, ["repo", "class", "interface"], "left_anti").where("class <> interface")
-
-
-@predicate
-def mediates(g: ClassGraph, colleagues: int = 2) -> DataFrame:
-    """Hubs that are called by so many classes that don't call each other."""
-    e = g.method_calls().where("target is not null and class <> target").select("repo", "class", "target").distinct()
-    near = e.select("repo", F.col("class").alias("a"), F.col("target").alias("b"))
-    linked = e.select("repo", F.col("target").alias("hub"), F.col("class").alias("a")).join(near, ["repo", "a"]).join(e.select("repo", F.col("target").alias("hub"), F.col("class").alias("b")), ["repo", "hub", "b"]).select("repo", "hub").distinct()
-    hubs = e.groupBy("repo", F.col("target").alias("hub")).agg(F.count("*").alias("k")).where(F.col("k") >= colleagues)
-    return hubs.join(linked, ["repo", "hub"], "left_anti").select("repo", F.col("hub").alias("class"))
-
-
-@predicate
-def abstract_method_called_by_sibling(g: ClassGraph) -> DataFrame:
-    concrete = g.methods.select("repo", "class", F.col("name").alias("m")).distinct()
-    declared = g.classes.where("kind in ('abstract_class', 'interface', 'trait')").select("repo", F.col("name").alias("class"), F.explode("method_names").alias("m"))
-    abstract = declared.join(concrete, ["repo", "class", "m"], "left_anti")
-    calls = g.methods.select("repo", "class", F.explode("calls").alias("m"))
-    return abstract.join(calls, ["repo", "class", "m"], "left_semi").select("repo", "class").distinct()
-
-
-RULES = (
-    Rule("Strategy", (("interface_with_single_method", {}), ("min_implementers", {"count": 2}), ("composition_field_of_type", {}), ("delegates_to_field", {})), {"interface_with_single_method": 0.2, "min_implementers": 0.3, "composition_field_of_type": 0.2, "delegates_to_field": 0.3}),
-    Rule("Observer", (("interface_with_single_method", {}), ("min_implementers", {"count": 2}), ("collection_composition_field_of_type", {}), ("delegates_to_field", {})), {"interface_with_single_method": 0.2, "min_implementers": 0.3, "collection_composition_field_of_type": 0.2, "delegates_to_field": 0.3}),
-    Rule("Bridge", (("interface_with_single_method", {}), ("min_implementers", {"count": 2}), ("composition_field_of_type", {}), ("delegates_to_field", {}), ("has_min_subclasses", {"count": 2})), {"interface_with_single_method": 0.1, "min_implementers": 0.15, "composition_field_of_type": 0.15, "delegates_to_field": 0.2, "has_min_subclasses": 0.4}, 0.55),
-    Rule("Chain of Responsibility", (("single_field_of_own_type", {}), ("delegates_to_field", {})), {"single_field_of_own_type": 0.4, "delegates_to_field": 0.6}, 0.55),
-    Rule("Composite", (("list_of_own_type_field", {}), ("delegates_to_field", {})), {"list_of_own_type_field": 0.6, "delegates_to_field": 0.4}),
-    Rule("Decorator", (("single_field_of_own_type", {}), ("implements_interface", {}), ("wraps_as", {"kind": "decorator"})), {"single_field_of_own_type": 0.15, "implements_interface": 0.35, "wraps_as": 0.5}),
-    Rule("Proxy", (("single_field_of_own_type", {}), ("implements_interface", {}), ("wraps_as", {"kind": "proxy"})), {"single_field_of_own_type": 0.15, "implements_interface": 0.35, "wraps_as": 0.5}),
-    Rule("State", (("interface_with_single_method", {}), ("min_implementers", {"count": 2}), ("composition_field_of_type", {}), ("delegates_to_field", {}), ("any_implementer_has_field_of_type", {})), {"interface_with_single_method": 0.1, "min_implementers": 0.15, "composition_field_of_type": 0.1, "delegates_to_field": 0.15, "any_implementer_has_field_of_type": 0.4}),
-    Rule("Abstract Factory", (("product_families", {}),), {"product_families": 0.85}),
-    Rule("Flyweight", (("caches_product", {}),), {"caches_product": 0.5}, 0.5),
-    Rule("Command", (("interface_with_role_method", {"role": "COMMAND_EXECUTE"}), ("min_implementers", {"count": 2})), {"interface_with_role_method": 0.5, "min_implementers": 0.5}),
-    Rule("Iterator", (("every_class", {}), ("has_role_method", {"role": "NEXT"}), ("has_role_method", {"role": "HAS_NEXT"})), {"has_role_method": 0.9}),
-    Rule("Template Method", (("every_class", {}), ("abstract_method_called_by_sibling", {})), {"abstract_method_called_by_sibling": 0.9}),
-    Rule("Singleton", (("single_field_of_own_type", {}), ("makes_itself", {})), {"single_field_of_own_type": 0.35, "makes_itself": 0.3}),
-    Rule("Visitor", (("double_dispatch", {}),), {"double_dispatch": 0.8}),
-    Rule("Facade", (("facade", {}),), {"facade": 0.65}),
-    Rule("Factory Method", (("overridden_makers", {}),), {"overridden_makers": 0.85}),
-    Rule("Builder", (("role_method_makes", {"role": "BUILD"}),), {"role_method_makes": 0.8}),
-    Rule("Prototype", (("role_method_makes", {"role": "CLONE", "own": True}),), {"role_method_makes": 0.8}),
-    Rule("Memento", (("role_method_makes", {"role": "SAVE"}), ("has_role_method", {"role": "RESTORE"})), {"role_method_makes": 0.25, "has_role_method": 0.25}, 0.5),
-    Rule("Interpreter", (("list_of_own_type_field", {}), ("has_role_method", {"role": "INTERPRET"})), {"list_of_own_type_field": 0.25, "has_role_method": 0.25}, 0.5),
-    Rule("Adapter", (("adapts", {}),), {"adapts": 0.8}),
-    Rule("Mediator", (("mediates", {}),), {"mediates": 0.7}, 0.55),
-)
-
-
-def evaluate(g: ClassGraph, rule: Rule) -> DataFrame:
-    """(repo, pattern, class, interface, field, confidence): one row for each combination of bindings.
-
-    Requirements are joined in order on the roles that are already bound; unknown predicates raise. A predicate that
-    stands twice counts once, with its least strength.
-    """
-    out, strengths = None, {}
-    for k, (name, params) in enumerate(rule.requires):
-        if name not in PREDICATES:
-            raise ValueError(f"unknown predicate {name}")
-        p = PREDICATES[name](g, **params)
-        p = p.withColumnRenamed("strength", f"s{k}") if "strength" in p.columns else p.withColumn(f"s{k}", F.lit(1.0))
-        strengths.setdefault(name, []).append(F.col(f"s{k}"))
-        out = p if out is None else out.join(p, [c for c in p.columns if c in out.columns and not c.startswith("s0") and c != f"s{k}"])
-    total = F.lit(0.0)
-    for name, weight in rule.weights.items():
-        s = strengths[name]
-        total = total + weight * (F.least(*s) if len(s) > 1 else s[0])
-    roles = [F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in ("class", "interface", "field")]
-    confidence = F.floor(F.least(total, F.lit(1.0)) * 100 + 0.5) / 100
-    return out.select("repo", F.lit(rule.pattern).alias("pattern"), *roles, confidence.alias("confidence")).where(F.col("confidence") >= rule.floor)
+        Method names are counted for each interface and struct, so a name that many declare is spread by both.
+        """
+        c = self.classes.where("language = 'go'")
+        need = c.where("kind = 'interface' and size(method_names) > 0").select("repo", F.col("name").alias("parent"), F.size("method_names").alias("need"), F.explode("method_names").alias("name"))
+        structs = c.where("kind = 'struct'").select("repo", F.col("name").alias("class"))
+        have = self._bodied.where("language = 'go'").select("repo", "class", "name").distinct().join(structs, ["repo", "class"], "left_semi")
+        j = need.join(have, ["repo", "name"]).groupBy("repo", F.col("class").alias("child"), "parent", "need").agg(F.count("*").alias("got"))
+        return j.where("got = need").select("repo", "child", "parent")

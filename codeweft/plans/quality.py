@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import text
-from codeweft.operators import architecture, classes, graph, halstead, history, imports, layers, smells
+from codeweft.operators import architecture, classes, graph, halstead, history, imports, layers, rules, smells
 from codeweft.operators.relations import functions, name_graph, once
 from codeweft.plans.graphs import BASE, RESCUE, RESOLVED
 from codeweft.session import cut, table
@@ -122,13 +122,36 @@ def _graph(spark: SparkSession, d: str) -> classes.ClassGraph:
     return classes.ClassGraph(once(table(spark, d, "parsed_classes")), fns(spark, d))
 
 
-def design_patterns(spark: SparkSession, d: str) -> DataFrame:
+def _rule_graph(spark: SparkSession, d: str) -> classes.ClassGraph:
+    """The class graph with its relations written, as many rules read them."""
     g = _graph(spark, d)
-    for name in ("classes", "type_edges", "fields", "methods"):
+    for name in ("classes", "inherits", "implements", "type_edges", "fields", "methods"):
         setattr(g, name, cut(getattr(g, name)))
-    closed = cut(g.ancestors())
-    g.ancestors = lambda: closed
-    return reduce(DataFrame.unionByName, [classes.evaluate(g, r) for r in classes.RULES])
+    for name in ("ancestors", "effective_fields", "method_calls"):
+        done = cut(getattr(g, name)())
+        setattr(g, name, lambda done=done: done)
+    return g
+
+
+def design_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of all built-in specs, and idioms without confidence; the surest first is how they are shown."""
+    found = rules.detect(_rule_graph(spark, d))
+    text_of = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
+    rows = found.select("repo", "pattern", "tier", "category", "confidence", text_of("bindings").alias("bindings"), F.coalesce("field", F.lit("")).alias("field"), F.array_join("evidence", "; ").alias("evidence"))
+    idioms = rules.singleton_idioms(_files(spark, d)).select(F.split("path", "/")[0].alias("repo"), F.lit("Singleton").alias("pattern"), F.lit("idiom").alias("tier"), F.lit("Creational").alias("category"), F.lit(None).cast("double").alias("confidence"), F.col("idiom").alias("bindings"), F.lit("").alias("field"), F.format_string("%s:%d", "path", "line").alias("evidence"))
+    return rows.union(idioms)
+
+
+def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of each pattern in a project, with the best confidence."""
+    return rules.detect(_rule_graph(spark, d)).groupBy("repo", "pattern").agg(F.count("*").alias("matches"), F.max("confidence").alias("best"))
+
+
+def simple_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The patterns of a single requirement that SQL can state: their projects and classes."""
+    g = _rule_graph(spark, d)
+    names = ("prototype_candidates", "builder_candidates", "memento_candidates", "facade_candidates", "mediator_candidates", "factory_candidates", "double_dispatch_candidates")
+    return reduce(DataFrame.union, [rules.PREDICATES[n][0](g).select("repo", F.lit(n).alias("predicate"), F.col("binding").alias("class")) for n in names])
 
 
 def architecture_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +230,7 @@ QUERIES = {
     "import_extract": lambda s, d: imports.extract(_files(s, d)),
     "unused_imports": lambda s, d: imports.unused(_files(s, d)),
     "magic_literals": lambda s, d: _files(s, d).select("path", text.magic_literals(F.coalesce("content", F.lit(""))).alias("literals")).distinct(),
-    **{f.__name__: f for f in (dead_code, dead_code_totals, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, file_strategies, render_strategies, parameter_counts, project_metrics, layer_violations, layer_violations_by_module, layer_files, design_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_days, session_gaps)},
+    **{f.__name__: f for f in (dead_code, dead_code_totals, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, file_strategies, render_strategies, parameter_counts, project_metrics, layer_violations, layer_violations_by_module, layer_files, design_patterns, pattern_counts, simple_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_days, session_gaps)},
 }
 
 _ENTRY = (
@@ -346,7 +369,31 @@ o AS (SELECT repo, CASE WHEN presenters > 0 AND controllers = 0 THEN 'MVP' ELSE
 SELECT repo, pattern, CAST(violations AS BIGINT) AS violations, CAST(floor(c * 100 + 0.5 + 1e-9) AS INT) AS confidence_pct FROM o WHERE floor(c * 100 + 0.5 + 1e-9) >= 55
 """
 
+#: Classes by their last rows, methods with a body, known method names and whom calls mean.
+_CLASSES = BASE + """
+c0 AS (SELECT DISTINCT * EXCLUDE (ingested_at, parsed_at, session_id) FROM parsed_classes WHERE name IS NOT NULL),
+cl AS (SELECT repo, name, arg_max(kind, (file, line_start, kind)) AS kind, arg_max(language, (file, line_start, kind)) AS language, list_distinct(list_filter(coalesce(arg_max(coalesce(method_names, []), (file, line_start, kind)), []), lambda x: x IS NOT NULL)) AS mn FROM c0 GROUP BY ALL),
+mm AS (SELECT DISTINCT repo, class_name AS class, regexp_extract(name, '([^.]*)$', 1) AS name, calls, coalesce(instantiates, []) AS made, language FROM f WHERE class_name IS NOT NULL),
+km AS (SELECT repo, name AS class, unnest(mn) AS name FROM cl UNION SELECT repo, class, name FROM mm),
+un AS (SELECT repo, name, min(class) AS class FROM km GROUP BY ALL HAVING count(*) = 1),
+mc AS (SELECT mm.repo, mm.class, mm.name AS method, u.callee, un.class AS target FROM (SELECT DISTINCT repo, class, name, calls, unnest(calls) AS callee FROM mm) u JOIN (SELECT DISTINCT repo, class, name, calls FROM mm) mm ON mm.repo = u.repo AND mm.class = u.class AND mm.name = u.name AND mm.calls = u.calls LEFT JOIN un ON un.repo = u.repo AND un.name = u.callee),
+lk AS (SELECT DISTINCT repo, class, method, callee, target FROM mc WHERE target IS NOT NULL AND target <> class),
+nl AS (SELECT repo, list(name) AS names FROM cl GROUP BY repo),
+mk AS (SELECT mm.repo, class, name, calls, made, list_filter(made, lambda x: list_contains(names, x)) AS makes FROM mm JOIN nl ON nl.repo = mm.repo)
+"""
+
 ORACLE = {
+    "simple_patterns": _CLASSES + """, cd AS (SELECT DISTINCT repo, class, target FROM lk), fo AS (SELECT repo, class, count(*) AS o FROM cd GROUP BY ALL), fi AS (SELECT repo, target AS class, count(*) AS i FROM cd GROUP BY ALL),
+bo AS (SELECT repo, class, min(name) AS name FROM mk WHERE lower(name) IN ('build', 'construct') GROUP BY ALL), sv AS (SELECT repo, class, min(name) AS name FROM mk WHERE lower(name) IN ('save', 'create_memento', 'creatememento') GROUP BY ALL),
+ot AS (SELECT repo, class, name, list_distinct(list_filter(makes, lambda x: x <> class)) AS others, list_filter(makes, lambda x: x <> class)[1] AS first FROM mk)
+SELECT DISTINCT repo, 'prototype_candidates' AS predicate, class FROM mk WHERE lower(name) IN ('clone', '__copy__', '__deepcopy__') AND list_contains(makes, class)
+UNION ALL SELECT bo.repo, 'builder_candidates', bo.class FROM bo WHERE EXISTS (SELECT 1 FROM ot WHERE ot.repo = bo.repo AND ot.class = bo.class AND ot.name = bo.name AND len(others) > 0) AND (SELECT count(*) FROM mk WHERE mk.repo = bo.repo AND mk.class = bo.class AND mk.name <> bo.name AND len(makes) = 0) >= 2
+UNION ALL SELECT sv.repo, 'memento_candidates', sv.class FROM sv WHERE EXISTS (SELECT 1 FROM ot WHERE ot.repo = sv.repo AND ot.class = sv.class AND ot.name = sv.name AND len(others) > 0) AND EXISTS (SELECT 1 FROM mk WHERE mk.repo = sv.repo AND mk.class = sv.class AND lower(mk.name) IN ('restore', 'set_memento', 'setmemento'))
+UNION ALL SELECT fo.repo, 'facade_candidates', fo.class FROM fo LEFT JOIN fi ON fi.repo = fo.repo AND fi.class = fo.class WHERE o >= 5 AND coalesce(i, 0) <= o * 0.4
+UNION ALL SELECT fi.repo, 'mediator_candidates', fi.class FROM fi WHERE i >= 2 AND NOT EXISTS (SELECT 1 FROM cd a JOIN cd b ON b.repo = a.repo AND b.class = a.class JOIN cd c ON c.repo = a.repo AND c.class = b.target AND c.target = a.target WHERE a.repo = fi.repo AND a.target = fi.class)
+UNION ALL SELECT repo, 'factory_candidates', class FROM ot WHERE len(others) > 0 GROUP BY repo, class HAVING max(len(others)) >= 2 OR count(DISTINCT name) >= 2 AND count(DISTINCT first) >= 2
+UNION ALL SELECT DISTINCT a.repo, 'double_dispatch_candidates', a.class FROM lk a JOIN lk b ON b.repo = a.repo AND b.class = a.target AND b.method = a.callee AND b.target = a.class""",
+    "structural_implements": _CLASSES + ", sm AS (SELECT repo, class, list(name) AS have FROM mm WHERE language = 'go' GROUP BY ALL) SELECT i.repo, s.name AS child, i.name AS parent FROM cl i JOIN cl s ON s.repo = i.repo AND s.kind = 'struct' AND s.language = 'go' JOIN sm ON sm.repo = s.repo AND sm.class = s.name WHERE i.kind = 'interface' AND i.language = 'go' AND len(i.mn) > 0 AND list_has_all(have, i.mn)",
     "architecture_patterns": _ARCHITECTURE,
     "render_strategies": BASE + "z AS (SELECT repo, count(*) AS nodes FROM f GROUP BY ALL) SELECT repo, nodes, CASE WHEN nodes < 100 THEN 'show_all' WHEN nodes <= 500 THEN 'make_group' ELSE 'search_only' END AS strategy FROM z",
     "file_strategies": "WITH p AS (SELECT DISTINCT path, language, coalesce(content, '') AS t FROM files), n AS (SELECT path, language, t, len(string_split(t, chr(10))) AS k, regexp_matches(lower(path), '([.]pb[.]go|[.]pb[.]gw[.]go|_grpc[.]pb[.]go|[.]gen[.]go|[.]generated[.]go|_generated[.]go)$') AS made FROM p) SELECT DISTINCT path, CASE WHEN made AND k > 100000 THEN 'data_file' WHEN made THEN 'god_file' WHEN k <= 10000 THEN 'normal' ELSE 'large' END AS strategy FROM n",
@@ -367,8 +414,8 @@ ORACLE = {
     "project_metrics": FAN + f", og AS (SELECT repo, count(*) AS orphans FROM fan WHERE fan_in = 0 AND fan_out = 0 AND NOT ({_ENTRY}) GROUP BY ALL), g AS (SELECT repo, count(*) AS functions, CAST(sum(len(calls)) AS BIGINT) AS calls, floor(avg(complexity) * 100 + 0.5) / 100 AS avg_complexity, max(complexity) AS most_complex, CAST(sum(greatest(complexity - 1, 0)) AS BIGINT) AS decisions, floor((round(avg(complexity), 2) * 1.2 + avg(max_nesting_depth) * 0.5) * 100 + 0.5) / 100 AS cognitive FROM f GROUP BY ALL), n AS (SELECT repo, count(DISTINCT path) AS files FROM files GROUP BY ALL) SELECT g.*, files, coalesce(orphans, 0) AS orphans FROM g JOIN n ON n.repo = g.repo LEFT JOIN og ON og.repo = g.repo",
     "layer_files": "SELECT DISTINCT path, " + _PATH_LAYER + " AS layer FROM files",
     "layer_violations": _VIOLATIONS + "SELECT * FROM v",
-    "unique_method_resolution": BASE + "m AS (SELECT DISTINCT repo, class_name, name FROM f WHERE class_name IS NOT NULL) SELECT repo, name, min(class_name) AS class FROM m GROUP BY repo, name HAVING count(*) = 1",
-    "method_calls": BASE + "m AS (SELECT DISTINCT repo, class_name, name FROM f WHERE class_name IS NOT NULL), u AS (SELECT repo, name, min(class_name) AS class FROM m GROUP BY repo, name HAVING count(*) = 1), mm AS (SELECT DISTINCT repo, class_name, name, calls, coalesce(instantiates, []) AS makes FROM f WHERE class_name IS NOT NULL), mc AS (SELECT repo, class_name AS class, name AS method, unnest(calls) AS callee FROM mm) SELECT mc.repo, mc.class, method, callee, u.class AS target FROM mc LEFT JOIN u ON u.repo = mc.repo AND u.name = mc.callee",
+    "unique_method_resolution": _CLASSES + "SELECT repo, name, class FROM un",
+    "method_calls": _CLASSES + "SELECT repo, class, method, callee, target FROM mc",
     "git_churn": "WITH c AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM commits) SELECT repo, count(DISTINCT hash) AS commits, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(insertions + deletions) AS BIGINT) AS churn, count(DISTINCT author) AS authors FROM c GROUP BY repo",
     "last_writer": "WITH t AS (SELECT user_id AS run, event_id AS ord, event_type, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer_ord FROM events) SELECT run, ord, 'v' AS var, writer_ord FROM t WHERE event_type <> 'error' AND writer_ord IS NOT NULL",
     "halstead_counts": _HALSTEAD + "SELECT coalesce(a.repo, b.repo) AS repo, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(total1, 0) AS total1, coalesce(total2, 0) AS total2 FROM a FULL JOIN b ON a.repo = b.repo",

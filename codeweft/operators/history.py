@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.operators.relations import once
+from codeweft.session import cut
 
 #: Idle time that ends a session.
 GAP = "3 hours"
@@ -51,14 +52,55 @@ def last_writers(trace: DataFrame) -> DataFrame:
     return trace.withColumn("writer_ord", F.last(F.when(F.col("writes"), F.col("ord")), ignorenulls=True).over(w)).where("reads and writer_ord is not null").select("run", "ord", "var", "writer_ord")
 
 
-def backward_slice(data: DataFrame, control: DataFrame, run: str, ord_: int) -> DataFrame:
-    """(ord) of the statements that a criterion depends on, through data (ord, writer_ord) and control (ord, pred) edges."""
-    from codeweft.session import cut
+def executed(trace: DataFrame, statements: DataFrame) -> DataFrame:
+    """(run, ord, id) of the statements that a trace (run, ord, line) went through; the entry S1 comes first, with ord 0.
 
-    edges = data.where(F.col("run") == run).select("ord", F.col("writer_ord").alias("to")).union(control.select("ord", "pred")).distinct()
-    front = data.sparkSession.createDataFrame([(ord_,)], "ord long")
-    out = front
+    Of several statements on a line the last counts; lines without one are left out.
+    """
+    at = statements.groupBy(F.col("line")).agg(F.max_by("id", F.substring("id", 2, 9).cast("int")).alias("id"))
+    rows = trace.select("run", "ord", "line").join(at, "line").select("run", F.col("ord").cast("long").alias("ord"), "id")
+    return rows.union(trace.select("run").distinct().select("run", F.lit(0).cast("long"), F.lit("S1")))
+
+
+def execution_order(done: DataFrame) -> DataFrame:
+    """(run, id, ord): the first time of each statement."""
+    return done.groupBy("run", "id").agg(F.min("ord").alias("ord"))
+
+
+def data_dependencies(done: DataFrame, statements: DataFrame) -> DataFrame:
+    """(run, id, var, writer): for each read of an executed statement the statement that last wrote it, if it is another."""
+    rows = done.join(statements.select("id", "reads", "writes"), "id")
+    used = [rows.select("run", "ord", "id", F.explode(c).alias("var"), F.lit(c == "reads").alias("r")) for c in ("reads", "writes")]
+    both = used[0].union(used[1]).groupBy("run", "ord", "id", "var").agg(F.bool_or("r").alias("reads"), F.bool_or(~F.col("r")).alias("writes"))
+    w = Window.partitionBy("run", "var").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("writer", F.last(F.when(F.col("writes"), F.col("id")), ignorenulls=True).over(w))
+    return both.where("reads and writer is not null and writer <> id").select("run", "id", "var", "writer").distinct()
+
+
+def control_dependencies(order: DataFrame, statements: DataFrame) -> DataFrame:
+    """(run, id, parent, branch) of control edges both of whose ends a run went through."""
+    edges = statements.where("parent is not null").select("id", "parent", "branch")
+    rows = order.select("run", "id").join(edges, "id")
+    return rows.join(order.select("run", F.col("id").alias("parent")), ["run", "parent"], "left_semi").select("run", "id", "parent", "branch")
+
+
+def backward_slice(order: DataFrame, statements: DataFrame, data: DataFrame, control: DataFrame, run: str, criterion: str, variable: str) -> DataFrame:
+    """(id, ord) of the statements of a run that a variable depends on at a statement, in the order of execution.
+
+    A state is a statement with a variable of interest. By data it leads to the variable's writer, by control, whatever
+    the variable, to the branch above; both of them then are of interest for all that they read. ``order``, ``data`` and
+    ``control`` are as the functions above give them.
+    """
+    none = F.lit(None).cast("string")
+    reads = statements.select("id", F.explode("reads").alias("var")).union(statements.select("id", none))  # a place without reads counts too
+    to = reads.select(F.col("id").alias("next"), F.col("var").alias("next_var"))
+    mine = lambda df: df.where(F.col("run") == run)
+    steps = mine(data).select("id", "var", F.col("writer").alias("next")).union(mine(control).select("id", none, F.col("parent")))
+    steps = cut(steps.join(to, "next").select("id", F.col("var").alias("on"), "next", "next_var").distinct())
+    front = seen = order.sparkSession.createDataFrame([(criterion, variable)], "id string, var string")
     while not front.isEmpty():
-        front = cut(front.join(edges, "ord").select(F.col("to").cast("long").alias("ord")).distinct().join(out, "ord", "left_anti"))
-        out = out.union(front)
-    return out
+        more = front.join(steps, "id").where(F.col("on").isNull() | (F.col("on") == F.col("var"))).select(F.col("next").alias("id"), F.col("next_var").alias("var")).distinct()
+        old = seen.select(F.col("id").alias("i"), F.col("var").alias("v"))
+        front = cut(more.join(old, (F.col("id") == F.col("i")) & F.col("var").eqNullSafe(F.col("v")), "left_anti"))
+        seen = seen.union(front)
+    return seen.select("id").distinct().join(mine(order).select("id", "ord"), "id").orderBy("ord")

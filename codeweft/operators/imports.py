@@ -5,39 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions import text
 
-# One pattern and group for each way to import, by extension.
+# For each language the patterns of what it imports or uses as if imported, in order, and how what they find
+# becomes a name: its first or last part, the stem of a path, the first part that is no root of a crate, or a list of names.
 PATTERNS = {
-    "py": [r"(?m)^[ \t]*import[ \t]+([A-Za-z_][\w.]*)", r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import"],
-    "js": [r"(?m)^[ \t]*import\b[^'\"\n]*['\"]([^'\"\n]+)['\"]", r"\brequire\(\s*['\"]([^'\"\n]+)['\"]\s*\)"],
-    "java": [r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+)"],
-    "go": [r"(?m)^[ \t]*import[ \t]+(?:\w+[ \t]+)?\"([^\"\n]+)\"", r"(?m)^[ \t]+(?:\w+[ \t]+)?\"([\w.\-]+(?:/[\w.\-]+)+)\"[ \t]*$"],
-    "rs": [r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+([\w:]+)"],
-}
-PATTERNS["ts"] = PATTERNS["js"]
+    "java": (
+        (r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;", "last"), (r"\bnew\s+([A-Z][A-Za-z0-9_]*)\s*\(", "plain"), (r"\bextends\s+([A-Z][A-Za-z0-9_]*)\b", "plain"),
+        (r"\bimplements\s+([A-Z][A-Za-z0-9_\s,]*)\b", "list"),
+    ),
+    "javascript": ((r"import\s+(?:[\w*{}\s,]+\s+from\s+)?['\"]([^'\"]+)['\"]", "path"), (r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", "path")),
+    "python": ((r"(?m)^\s*import\s+([\w.]+)", "first"), (r"(?m)^\s*from\s+([\w.]+)\s+import", "absolute")),
+    "go": ((r"\"([\w./\-]+)\"", "stem"),),
+    "rust": ((r"(?m)^\s*use\s+([\w:]+)", "crate"),),
+    "c": ((r"#include\s+\"([^\"]+)\"", "stem"),),
+    "csharp": ((r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;", "last"),),
+}
+PATTERNS["typescript"], PATTERNS["cpp"] = PATTERNS["javascript"], PATTERNS["c"]
+CRATE_ROOTS = ("crate", "super", "self", "std", "core", "alloc")
+#: Lines that are no use of what they import; a Go block goes as a whole.
+IMPORT_LINES = {
+    "python": r"(?m)^\s*(?:import |from ).*$", "javascript": r"(?m)^\s*import .*$|^(?=.*require\()(?=.*=).*$", "java": r"(?m)^\s*import .*$",
+    "go": r"(?ms)^\s*import \(.*?^\s*\)\s*?$|^\s*import [^\n]*$", "rust": r"(?m)^\s*use .*$", "c": r"(?m)^\s*#include.*$", "csharp": r"(?m)^\s*using .*$",
+}
+IMPORT_LINES["typescript"], IMPORT_LINES["cpp"] = IMPORT_LINES["javascript"], IMPORT_LINES["c"]
+
+
+def stem(path: F.Column) -> F.Column:
+    """The last part of a path without its last extension."""
+    last = F.regexp_extract(F.regexp_replace(path, r"/+\z", ""), r"([^/]*)\z", 1)
+    return F.regexp_replace(last, r"(?<=.)\.[^.]*\z", "")
+
+
+def _named(found: F.Column, how: str) -> F.Column:
+    """Names of what a pattern found; null for what names nothing."""
+    if how == "list":
+        return F.filter(F.flatten(F.transform(found, lambda x: F.transform(F.split(x, ","), F.trim))), lambda x: x != "")
+    ways = {
+        "plain": lambda x: x,
+        "last": lambda x: F.element_at(F.split(x, r"\."), -1),
+        "first": lambda x: F.split(x, r"\.")[0],
+        "absolute": lambda x: F.when(~x.startswith("."), F.split(x, r"\.")[0]),
+        "stem": stem,
+        "path": lambda x: F.when(x.startswith("."), x).otherwise(stem(x)),
+        "crate": lambda x: F.when(~F.split(x, "::")[0].isin(*CRATE_ROOTS), F.split(x, "::")[0]).otherwise(F.get(F.split(x, "::"), F.lit(1))),
+    }
+    return F.transform(found, ways[how])
+
+
+def names(content: F.Column, language: F.Column) -> F.Column:
+    """The imports of a text, each once, in the order of its language's patterns and of the text; none of other languages."""
+    out = F
+    for lang, patterns in PATTERNS.items():
+        every = F.concat(*[_named(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(p), 1), how) for p, how in patterns])
+        out = out.when(language == lang, F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != ""))))
+    return out
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """(path, raw, pos): each file's specifiers once, in the order of the patterns and the text."""
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
-    found = None
-    for e, patterns in PATTERNS.items():
-        every = F.concat(*[F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(p), 1) for p in patterns])
-        found = F.when(ext == e, every) if found is None else found.when(ext == e, every)
-    rows = files.select("path", F.posexplode(F.array_distinct(found)).alias("pos", "raw"))
-    return rows.distinct().select("path", "raw", "pos")
+    """(path, raw, pos): each file's imports once, in order. ``files`` has path, language and content."""
+    rows = files.select("path", names(F.col("content"), F.col("language")).alias("n")).distinct()
+    return rows.select("path", F.posexplode("n").alias("pos", "raw")).select("path", "raw", "pos")
 
 
 def unused(files: DataFrame) -> DataFrame:
-    """(path, raw): specifiers whose last component is no word of the file beyond its import lines.
-
-    Files are cut to distinct words once and joined on (path, word), not searched for each specifier.
-    """
-    names = extract(files).select("path", "raw", text.stem(F.regexp_replace("raw", r"[.:]+", "/")).alias("word")).where("word <> ''")
-    rest = F.regexp_replace(F.coalesce("content", F.lit("")), r"(?m)^[ \t]*(?:import|from|use|pub use)\b.*$|.*\brequire\(.*", "")
-    words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0))).alias("word"))
-    return names.join(words, ["path", "word"], "left_anti").select("path", "raw").distinct()
+    """(path, raw): imports that stand as a word nowhere in the file but on its import lines."""
+    body = F
+    for lang, pattern in IMPORT_LINES.items():
+        body = body.when(F.col("language") == lang, F.regexp_replace(F.coalesce("content", F.lit("")), pattern, ""))
+    rows = files.select("path", names(F.col("content"), F.col("language")).alias("n"), body.alias("body")).where(F.size("n") > 0).distinct()
+    quoted = lambda x: F.concat(F.lit(r"(?U)\b\Q"), x, F.lit(r"\E\b"))
+    return rows.select("path", F.explode(F.filter("n", lambda x: ~F.rlike(F.col("body"), quoted(x)))).alias("raw"))
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:

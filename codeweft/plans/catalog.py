@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeweft.plans import graphs, problems, quality
+from codeweft.plans import code, graphs, problems, quality
 
-PARTS = (problems, graphs, quality)
+PARTS = (problems, graphs, quality, code)
 
 
 def queries() -> dict:

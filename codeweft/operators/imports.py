@@ -39,7 +39,7 @@ def stem(path: F.Column) -> F.Column:
 def _named(found: F.Column, how: str) -> F.Column:
     """Names of what a pattern found; null for what names nothing."""
     if how == "list":
-        return F.filter(F.flatten(F.transform(found, lambda x: F.transform(F.split(x, ","), F.trim))), lambda x: x != "")
+        return F.filter(F.flatten(F.transform(found, lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y)))), lambda x: x != "")
     ways = {
         "plain": lambda x: x,
         "last": lambda x: F.element_at(F.split(x, r"\."), -1),

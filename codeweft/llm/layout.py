@@ -28,8 +28,8 @@ UNIFORM, PIECES = 0.8, 5
 LITERALS, LITERAL_CHARS = 0.5, 0.7
 #: Share of lines in common with a library file; shorter lines say nothing.
 COMMON, LINE_LEAST = 0.5, 12
-#: Largest table of library files, in characters, that is sent to all executors.
-LIBRARIES_MOST = 200_000_000
+#: Library files of up to so many characters in all are sent to all executors; more are joined by lines.
+LIBRARIES_MOST = 50_000_000
 
 # What tools write at the head of their output, in several languages: the known marks, and a word for
 # being made together with the tool that did it or a warning not to edit.
@@ -214,19 +214,46 @@ def kind_of(language: str, text: str, libraries: Libraries | None) -> tuple[str,
     return ("generated", 1.0) if head_marked(text) else ("", 0.0)
 
 
+def _lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep`` with each normalized line of the text once, as :func:`norm_lines` has them."""
+    rows = df.select(*keep, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("__x"))
+    rows = rows.where(~F.col("__x").rlike(r"(?U)^\s*(?://|#|/\*|\*)")).select(*keep, F.regexp_replace("__x", r"(?U)[\s\x1c-\x1f]+", "").alias("line"))
+    return rows.where(F.length("line") >= LINE_LEAST).distinct()
+
+
+def shares(files: DataFrame, libraries: DataFrame, path: str = "path", text: str = "content", lib: str = "lib") -> DataFrame:
+    """(path, share) as :meth:`Libraries.share` has it, for paths that have a line in common with any library, by joins.
+
+    For libraries too large to send to executors. Lines of more than two libraries don't count, so a line meets few
+    library files, however many files of the corpus hold it.
+    """
+    libs = _lines(libraries.where(F.col(text).isNotNull()).select(F.col(lib).alias("__lib"), F.xxhash64(text).alias("__k"), text), text, "__lib", "__k")
+    rare = libs.groupBy("line").agg(F.countDistinct("__lib").alias("n")).where("n <= 2").select("line")
+    own = libs.join(rare, "line", "left_semi").select("__k", "line").distinct()
+    sizes = own.groupBy("__k").agg(F.count("*").alias("size"))
+    mine = _lines(files.dropDuplicates([path]), text, path)
+    count = mine.groupBy(path).agg(F.count("*").alias("lines"))
+    hits = mine.join(own, "line").groupBy(path, "__k").agg(F.count("*").alias("n")).join(sizes, "__k").join(count, path)
+    of_library = F.when(F.col("size") >= 3, F.col("n") / F.col("size")).otherwise(0.0)
+    of_file = F.when(F.col("n") >= 4, F.col("n") / F.col("lines")).otherwise(0.0)
+    return hits.groupBy(F.col(path).alias("path")).agg(F.max(F.greatest(of_library, of_file)).alias("share"))
+
+
 def classify_files(files: DataFrame, libraries: DataFrame | None = None, path: str = "path", text: str = "content", lib: str = "lib") -> DataFrame:
     """(path, language, kind, strength) of each row of the six languages, by the extension of its path.
 
     ``libraries`` holds outside libraries' files (``lib``, content); its size is checked before it is sent to the
-    executors. Null and empty texts are hand-written. Rows repeat as they do in ``files``.
+    executors, and larger ones are joined by lines, with the same result. Null and empty texts are hand-written. Rows
+    repeat as they do in ``files``.
     """
     shared = None
+    too_large = False
     if libraries is not None:
         size = libraries.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
-        if size > LIBRARIES_MOST:
-            raise ValueError(f"library files of {size} characters are more than {LIBRARIES_MOST}")
-        rows = [(r[0], r[1]) for r in libraries.select(lib, "content").where(F.col("content").isNotNull()).collect()]
-        shared = files.sparkSession.sparkContext.broadcast(Libraries(rows))
+        too_large = size > LIBRARIES_MOST
+        if not too_large:
+            rows = [(r[0], r[1]) for r in libraries.select(lib, "content").where(F.col("content").isNotNull()).collect()]
+            shared = files.sparkSession.sparkContext.broadcast(Libraries(rows))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value if shared else None
@@ -242,4 +269,11 @@ def classify_files(files: DataFrame, libraries: DataFrame | None = None, path: s
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["path", "language", "kind", "strength"])
 
     code = F.lower(F.col(path)).rlike(r"\.(py|js|ts|java|go|rs)$")
-    return files.where(code).select(path, text).mapInArrow(run, "path string, language string, kind string, strength double")
+    out = files.where(code).select(path, text).mapInArrow(run, "path string, language string, kind string, strength double")
+    if not too_large:
+        return out
+    held = shares(files.where(code), libraries, path, text, lib).where(F.col("share") >= COMMON)
+    held = files.where(F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")) > 0).select(F.col(path).alias("path")).distinct().join(held, "path")
+    copied = F.col("share").isNotNull() & (F.col("kind") != "minified")
+    out = out.join(held, "path", "left")
+    return out.select("path", "language", F.when(copied, "vendored").otherwise(F.col("kind")).alias("kind"), F.when(copied, F.col("share")).otherwise(F.col("strength")).alias("strength"))

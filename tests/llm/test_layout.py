@@ -32,3 +32,29 @@ def test_files(spark):
     assert sorted((r.path, r.kind) for r in classify_files(df).collect()) == [("a/x.js", "generated"), ("a/x.js", "generated"), ("c.py", "")]
     libs = spark.createDataFrame([("l", None)], "lib string, content string")
     assert classify_files(df.limit(0), libs).count() == 0
+
+
+def test_libraries_of_any_size_give_one_result(spark, monkeypatch):
+    from codeweft.llm import layout
+
+    code = "\n".join(f"    total_{k} = combine(total_{k - 1}, weight_{k})" for k in range(1, 30))
+    small = "\n".join(f"    part_{k} = divide(part_{k - 1}, {k})" for k in range(1, 5))
+    libs = spark.createDataFrame([("a", code + "\nshared_everywhere(1)"), ("b", "shared_everywhere(1)\n" + small), ("c", "shared_everywhere(1)"), ("d", None)], "lib string, content string")
+    rows = [("x/copy.py", "# ours\n" + code.replace("weight_7", "w7")), ("x/part.py", HAND + small), ("x/own.py", HAND + "shared_everywhere(1)\n"), ("x/none.py", None), ("x/copy.py", "# ours\n" + code.replace("weight_7", "w7")), ("x/a.js", stubs(9))]
+    df = spark.createDataFrame(rows, "path string, content string")
+    want = sorted((r.path, r.kind, round(r.strength, 9)) for r in classify_files(df, libs).collect())
+    assert ("x/copy.py", "vendored") in [w[:2] for w in want] and len(want) == len(rows)
+    monkeypatch.setattr(layout, "LIBRARIES_MOST", 0)
+    assert sorted((r.path, r.kind, round(r.strength, 9)) for r in classify_files(df, libs).collect()) == want
+
+
+def test_canonical_layout():
+    from codeweft.llm.layout import Layout, measure
+
+    m = measure("java", "class A {\n    int x;\n    void f() {\n        g();\n    }\n}\n")
+    assert m["same"] == 1.0 and m["expansion"] == 1.0
+    one = measure("java", "class A{int x;void f(){g();}}")
+    assert one["expansion"] == 6.0 and one["same"] == 0.0
+    lay = Layout("java")
+    lines = lay.emit("".join(map(lay.lex.table.__getitem__, lay.lex.tokens("class A{void f(){g();}}"))))
+    assert [d for d, _ in lines] == [0, 1, 2, 1, 0]

@@ -145,6 +145,34 @@ def function_edges(fns: DataFrame) -> DataFrame:
     return calls.union(builds).where("source <> target").distinct()
 
 
+def anonymous_merged(fns: DataFrame) -> DataFrame:
+    """(repo, file, name, line_start, calls) of the named functions, with the calls of the anonymous ones within them.
+
+    An anonymous function belongs to the smallest named one of its file around it by lines; those within none are left out.
+    """
+    is_anonymous = F.col("name").rlike(r"\Aanonymous_[0-9]+\z")
+    key = ["repo", "file", "name", "line_start"]
+    f = fns.select(*key, "line_end", "calls").distinct()
+    inner = f.where(is_anonymous).select("repo", "file", F.col("line_start").alias("a"), F.col("line_end").alias("b"), F.col("calls").alias("more"))
+    around = f.where(~is_anonymous).join(inner, ["repo", "file"]).where((F.col("line_start") <= F.col("a")) & (F.col("b") <= F.col("line_end")))
+    span = F.struct(F.col("line_end") - F.col("line_start"), "name", "line_start")
+    best = around.groupBy("repo", "file", "a", "b", "more").agg(F.min_by(F.struct("name", "line_start"), span).alias("x"))
+    extra = best.select("repo", "file", "x.name", "x.line_start", "more").groupBy(*key).agg(F.flatten(F.collect_list("more")).alias("more"))
+    out = f.where(~is_anonymous).join(extra, key, "left")
+    both = F.array_sort(F.array_distinct(F.concat("calls", F.coalesce("more", F.array().cast("array<string>")))))
+    return out.select(*key, both.alias("calls"))
+
+
+def root_module(modules: DataFrame) -> DataFrame:
+    """(repo, module): the module below which all others of a project stand, if there is one; of (repo, module) rows."""
+    m = modules.select("repo", "module").distinct()
+    parts = F.split("module", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    below = m.where(F.size(parts) > 1).select("repo", F.explode(above).alias("module")).groupBy("repo", "module").agg(F.count("*").alias("below"))
+    whole = m.groupBy("repo").agg(F.count("*").alias("n")).where("n > 1")
+    return m.join(below, ["repo", "module"]).join(whole, "repo").where("below = n - 1").select("repo", "module")
+
+
 def neighbours(fns: DataFrame, both: bool = True) -> DataFrame:
     """(repo, name, other, direction): callees, and with ``both`` callers, of each defined name, without itself."""
     names = fns.select("repo", "name").distinct()
@@ -157,13 +185,22 @@ def neighbours(fns: DataFrame, both: bool = True) -> DataFrame:
     return out.select("repo", "name", "other", "direction")
 
 
-def search(fns: DataFrame, text: str, limit: int = 50) -> DataFrame:
+def search(fns: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Ranked name search: exact 0, prefix 1, substring 2, path 3; then name, file, line. ``limit`` is the feature's own."""
-    low, t = F.lower("name"), F.lit(text.lower())
+    low, t = F.lower("name"), F.lit(query.lower())
     rank = F.when(low == t, 0).when(low.startswith(t), 1).when(F.contains(low, t), 2).when(F.contains(F.lower("file"), t), 3)
     return fns.select("repo", "name", "file", "line_start", rank.alias("rank")).where("rank is not null").orderBy("rank", "name", "file", "line_start").limit(limit)
 
 
+def node_ids(fns: DataFrame) -> DataFrame:
+    """(repo, file, name, line_start, scope, id) as a graph shows a function: in a file of several virtual modules the scope
+    is its own one, else the file; the id is the name, with its line where the name repeats in the scope."""
+    many = fns.groupBy("repo", "file").agg(F.countDistinct("virtual_module").alias("__vms"))
+    rows = fns.join(many, ["repo", "file"]).withColumn("scope", F.when((F.col("__vms") > 1) & F.col("virtual_module").isNotNull(), F.col("virtual_module")).otherwise(F.col("file")))
+    repeats = F.count("*").over(Window.partitionBy("repo", "file", "scope", "name"))
+    return rows.select("repo", "file", "name", "line_start", "scope", F.when(repeats > 1, F.concat_ws(":", "name", "line_start")).otherwise(F.col("name")).alias("id"))
+
+
 def _split(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of small projects, and of the others."""
     large = edges.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("repo")

@@ -27,7 +27,7 @@ def halstead(files: DataFrame) -> DataFrame:
     is_op = F.col("w").isin(*KEYWORDS)
     first = words.where(is_op).groupBy("repo", "w").agg(F.min("path").alias("first"))
     ops = words.where(is_op).groupBy("repo", "w").agg(F.sum("k").alias("k")).union(marks)
-    ids = words.join(F.broadcast(first), ["repo", "w"], "left").where("first is null or path < first").groupBy("repo", "w").agg(F.sum("k").alias("k"))
+    ids = words.join(first, ["repo", "w"], "left").where("first is null or path < first").groupBy("repo", "w").agg(F.sum("k").alias("k"))
     a = ops.groupBy("repo").agg(F.count("*").alias("n1"), F.sum("k").alias("total1"))
     b = ids.groupBy("repo").agg(F.count("*").alias("n2"), F.sum("k").alias("total2"))
     return a.join(b, "repo", "full").na.fill(0)

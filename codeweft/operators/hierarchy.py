@@ -31,6 +31,7 @@ class Hierarchy:
 
     def __init__(self, links: DataFrame, share: int = 3, paths: str | None = None):
         links = links.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
+        links = cut(links)
         ids = links.select(F.col("child").alias("id")).union(links.select("parent")).distinct()
         for seed in range(8):
             key = lambda c: F.xxhash64(F.lit(seed), F.col(c))  # noqa: B023, E731
@@ -47,6 +48,7 @@ class Hierarchy:
         self.rows = cut(rows.withColumn("split", ~F.col("root") & self._hashed("p")))
         self.walk = self._walk()
         self.reduced = self._solve()
+        self._rooted: DataFrame | None = None
 
     def _hashed(self, c: str) -> F.Column:
         return F.pmod(F.xxhash64(c, F.lit(7)), F.lit(self.share)) == 0
@@ -87,19 +89,29 @@ class Hierarchy:
             both = now.select("v", "at", "way", F.col("way").alias("old")).union(more).groupBy("v", "at").agg(F.min("way").alias("way"), F.min("old").alias("old"))
             now = cut(both.select("v", "at", "way", (F.col("old").isNull() | (F.col("way") < F.col("old"))).alias("fresh")))
 
-    def _reach(self, only_roots: bool) -> DataFrame:
-        """(v, at, way) of keys: each node and each that it reaches upwards by one link or more, by the fewest links."""
-        ends = (self.walk.where("root") if only_roots else self.walk).select("v", "at", "way")
-        up = self.reduced.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
+    def _reach(self, only_roots: bool, within: DataFrame | None = None) -> DataFrame:
+        """(v, at, way) of keys: each node and each that it reaches upwards by one link or more, by the fewest links.
+
+        ``within``: keys (v) that no link leaves upwards; all else is left aside.
+        """
+        walk = self.walk if within is None else cut(self.walk.join(within, "v", "left_semi"))
+        reduced = self.reduced if within is None else self.reduced.join(within, "v", "left_semi")
+        ends = (walk.where("root") if only_roots else walk).select("v", "at", "way")
+        up = reduced.select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
         own = ends.where(self._hashed("v"))
         far = up.join(own.select(F.col("v").alias("m"), "at", F.col("way").alias("w2")), "m").select("v", "at", self._join_ways("w1", "w2"))
         from_split = own.union(far)
-        from_split = cut(_least(from_split if only_roots else from_split.union(self.reduced), "v", "at"))
-        first = self.walk.where(F.col("split") & ~self._hashed("v")).select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
+        from_split = cut(_least(from_split if only_roots else from_split.union(reduced), "v", "at"))
+        first = walk.where(F.col("split") & ~self._hashed("v")).select("v", F.col("at").alias("m"), F.col("way").alias("w1"))
         tail = from_split.select(F.col("v").alias("m"), "at", F.col("way").alias("w2"))
         rest = first.join(tail, "m").select("v", "at", self._join_ways("w1", "w2"))
         return _least(ends.where(~self._hashed("v")).union(rest).union(from_split), "v", "at")
 
+    def _to_roots(self) -> DataFrame:
+        if self._rooted is None:
+            self._rooted = cut(self._reach(only_roots=True))
+        return self._rooted
+
     def _named(self, df: DataFrame, *keys: str) -> DataFrame:
         for key in keys:
             df = df.withColumnRenamed(key, "k").join(self.names, "k").drop("k").withColumnRenamed("id", key)
@@ -107,7 +119,7 @@ class Hierarchy:
 
     def ancestors(self, only_roots: bool = False) -> DataFrame:
         """(v, at, way) of each node and each node it reaches upwards by one link or more, with the fewest links."""
-        return self._named(self._reach(only_roots), "v", "at").select("v", "at", "way")
+        return self._named(self._to_roots() if only_roots else self._reach(False), "v", "at").select("v", "at", "way")
 
     def to_cycles(self) -> DataFrame:
         """(v, at, way): for each node at or below a cycle but below no root, the nearest node on a cycle.
@@ -115,9 +127,8 @@ class Hierarchy:
         A node on a cycle has the way around to itself; the least of equally short ways counts.
         """
         loops = cut(self._cycles())
-        up = cut(self._reach(only_roots=False))
-        rooted = up.join(self.rows.where("root").select(F.col("p").alias("at")).distinct(), "at", "left_semi").select("v").distinct()
-        up = up.join(rooted, "v", "left_anti").join(loops.select(F.col("id").alias("at")), "at", "left_semi")
+        lost = cut(self.rows.select(F.col("c").alias("v")).distinct().join(self._to_roots().select("v").distinct(), "v", "left_anti"))
+        up = self._reach(False, within=lost).join(loops.select(F.col("id").alias("at")), "at", "left_semi")
         up = up.join(loops.select(F.col("id").alias("v"), F.lit(True).alias("on")), "v", "left").where("on is null or v = at")
         near = up.groupBy("v").agg(F.min(F.struct("way", "at")).alias("x")).select("v", F.col("x.at").alias("at"), F.col("x.way").alias("way"))
         return self._named(near, "v", "at").select("v", "at", "way")

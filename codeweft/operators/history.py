@@ -30,13 +30,22 @@ def churn(commits: DataFrame) -> DataFrame:
 def backward_loc(commits: DataFrame, now: DataFrame) -> DataFrame:
     """(repo, hash, loc): lines before each commit, walking back from ``now`` (repo, loc), never below 0.
 
-    The clamped walk is the running sum reflected at its running minimum, so two window passes do, without a loop.
-    Commits are ordered newest first by date and hash; undated ones come last.
+    The clamped walk is the running sum reflected at its running minimum, so window passes do, without a loop. Commits are
+    ordered newest first by date and hash; undated ones come last. Sums go by (repo, day, beginning of the hash) first and
+    then over those parts, so that no task holds all commits of a large project.
     """
     rows = once(commits).select("repo", "hash", commit_date(F.col("date")).alias("day"), (F.col("deletions") - F.col("insertions")).alias("step")).dropDuplicates(["repo", "hash"])
-    w = Window.partitionBy("repo").orderBy(F.desc_nulls_last("day"), "hash").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(now, "repo").withColumn("s", F.col("loc") + F.sum("step").over(w))
-    return rows.withColumn("low", F.min("s").over(w)).select("repo", "hash", (F.col("s") - F.least("low", F.lit(0))).alias("loc"))
+    rows = rows.join(now, "repo").withColumn("part", F.substring("hash", 1, 2))
+    inner = Window.partitionBy("repo", "day", "part").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.sum("step").over(inner)).withColumn("low", F.min("own").over(inner))
+    per = rows.groupBy("repo", "day", "part").agg(F.sum("step").alias("s"), F.min("own").alias("m"), F.max("loc").alias("now"))
+    before = Window.partitionBy("repo").orderBy(F.desc_nulls_last("day"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("base", F.col("now") + F.coalesce(F.sum("s").over(before), F.lit(0)))
+    per = per.withColumn("lowest", F.min(F.col("base") + F.col("m")).over(before))
+    key = (F.col("a.repo") == F.col("b.repo")) & F.col("a.day").eqNullSafe(F.col("b.day")) & (F.col("a.part") == F.col("b.part"))
+    out = rows.alias("a").join(per.alias("b"), key)
+    least = F.least(F.col("b.base") + F.col("a.low"), F.coalesce(F.col("b.lowest"), F.lit(0)), F.lit(0))
+    return out.select("a.repo", "a.hash", (F.col("b.base") + F.col("a.own") - least).alias("loc"))
 
 
 def sessions(events: DataFrame, user: str, at: str) -> DataFrame:

@@ -365,9 +365,9 @@ def has_min_subclasses(g: ClassGraph, count: int = 2) -> DataFrame:
 
 
 def evaluate(g: ClassGraph, spec: dict) -> DataFrame:
-    """(repo, pattern, tier, category, confidence, bindings, evidence) of one spec's matches.
+    """(repo, pattern, tier, category, confidence, bindings, field, place, evidence) of one spec's matches.
 
-    ``bindings`` maps roles to classes, ``evidence`` says which predicate holds of what, with its strength. A predicate
+    ``bindings`` maps roles to classes, ``place`` is the file and line of the first role's, ``evidence`` says which predicate holds of what, with its strength. A predicate
     that stands twice counts once, with its least strength. Unknown predicates raise.
     """
     out, roles, strengths, proofs = None, [], {}, []
@@ -408,9 +408,11 @@ def evaluate(g: ClassGraph, spec: dict) -> DataFrame:
     category = next((c for c, names in CATEGORIES.items() if spec["pattern"] in names), "Other")
     bindings = F.map_from_arrays(F.array(*[F.lit(r) for r in roles]), F.array(*[F.col(f"`{r}`") for r in roles]))
     field = F.coalesce(*[F.col(f"`{r}.field`") for r in reversed(roles)])
+    at = g.classes.select("repo", F.col("name").alias(roles[0]), F.format_string("%s:%d", "file", "line_start").alias("__at"))
+    out = out.join(at, ["repo", roles[0]], "left")
     rows = out.select(
         "repo", F.lit(spec["pattern"]).alias("pattern"), F.lit(spec.get("tier", "low")).alias("tier"), F.lit(category).alias("category"),
-        confidence.alias("confidence"), bindings.alias("bindings"), field.alias("field"), F.array(*proofs).alias("evidence"),
+        confidence.alias("confidence"), bindings.alias("bindings"), field.alias("field"), F.col("__at").alias("place"), F.array(*proofs).alias("evidence"),
     )
     return rows.where(F.col("confidence") >= spec.get("min_confidence_to_report", 0.6))
 

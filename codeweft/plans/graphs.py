@@ -140,6 +140,42 @@ def store_tier1_nodes(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("repo", F.trim("module").alias("module")).agg(loc.alias("loc"), F.countDistinct(F.when(real, F.col("name"))).alias("functions"), langs.alias("languages"))
 
 
+def modules_below(spark: SparkSession, d: str) -> DataFrame:
+    """Projects whose modules all stand below one, and that one."""
+    return graph.root_module(_rows(spark, d).where(F.trim("module") != "").select("repo", F.trim("module").alias("module")))
+
+
+def top_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that stand in a module with modules below it, and in none of those."""
+    mods = _rows(spark, d).where(F.trim("module") != "").select("repo", F.trim("module").alias("module"), "file").distinct()
+    parts = F.split("module", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    parents = mods.where(F.size(parts) > 1).select("repo", F.explode(above).alias("module")).distinct()
+    return mods.join(parents, ["repo", "module"], "left_semi").select("repo", "module", "file")
+
+
+def call_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What calls stand behind an edge between modules, by pairs of files."""
+    f = fns(spark, d)
+    mod = lambda c, name: f.groupBy("repo", F.col("file").alias(c)).agg(F.max(graph.group_of()).alias(name))
+    rows = graph.file_calls(f).join(mod("source", "from_module"), ["repo", "source"]).join(mod("target", "to_module"), ["repo", "target"])
+    return rows.where("from_module <> to_module").select("repo", "from_module", "to_module", "source", "target", "n")
+
+
+def full_graph(spark: SparkSession, d: str) -> DataFrame:
+    """All functions, then all calls between them, in order."""
+    f = fns(spark, d)
+    nodes = f.select("repo", F.lit("node").alias("kind"), F.col("name").alias("a"), F.col("file").alias("b")).distinct()
+    edges = all_calls(spark, d).select("repo", F.lit("edge").alias("kind"), F.col("caller").alias("a"), F.col("callee").alias("b")).distinct()
+    return nodes.union(edges).orderBy("repo", F.desc("kind"), "a", "b")
+
+
+def search_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of a search with the ids by which a graph shows them."""
+    f = fns(spark, d)
+    return graph.search(f, "load").join(graph.node_ids(f), ["repo", "file", "name", "line_start"])
+
+
 QUERIES = {
     "tier1_nodes": lambda s, d: graph.module_nodes(_rows(s, d)),
     "tier1_module_graph": group_graph("module"),
@@ -148,11 +184,13 @@ QUERIES = {
     "tier3_function_edges": lambda s, d: graph.function_edges(fns(s, d)),
     "tier3_chunk_edges": lambda s, d: graph.chunk_edges(fns(s, d)),
     "edge_details_top40": lambda s, d: graph.edge_details(fns(s, d), _rows(s, d), _resolved(s, d)),
+    "edge_details_modules": lambda s, d: graph.edge_details(fns(s, d), _rows(s, d), _resolved(s, d), "module"),
+    "anonymous_merged": lambda s, d: graph.anonymous_merged(fns(s, d)).select("repo", "file", "name", "line_start", F.array_join("calls", ",").alias("calls")),
     "fan_in_out": lambda s, d: graph.fan(fns(s, d)),
     "neighbors_both": lambda s, d: graph.neighbours(fns(s, d)),
     "neighbors_callees": lambda s, d: graph.neighbours(fns(s, d), both=False),
     "search_ranked": lambda s, d: graph.search(fns(s, d), "load"),
-    **{f.__name__: f for f in (files_graph, fan_in_rescued, top_nodes, all_calls, store_tier1_edges, store_tier1_nodes, scc_members, risk_scores, risk_histogram, risk_top50, risk_warnings, transitive_closure, impact_bfs, impact_files, impact_first100, simple_cycles_le6, max_chain_depth)},
+    **{f.__name__: f for f in (modules_below, top_files, call_pairs, full_graph, search_nodes, files_graph, fan_in_rescued, top_nodes, all_calls, store_tier1_edges, store_tier1_nodes, scc_members, risk_scores, risk_histogram, risk_top50, risk_warnings, transitive_closure, impact_bfs, impact_files, impact_first100, simple_cycles_le6, max_chain_depth)},
 }
 
 #: Deduplicated functions with clean calls, the names' last definitions, call rows and the name graph, as SQL.
@@ -233,6 +271,13 @@ ORACLE = {
     "store_tier1_nodes": "WITH r AS (SELECT DISTINCT * EXCLUDE (ingested_at, parsed_at, session_id) FROM parsed_functions WHERE trim(module) <> '') SELECT repo, trim(module) AS module, CAST(coalesce(sum(line_end - line_start) FILTER (name <> '__file__'), 0) AS BIGINT) AS loc, count(DISTINCT name) FILTER (name <> '__file__') AS functions, coalesce(string_agg(DISTINCT language, ',' ORDER BY language), '') AS languages FROM r GROUP BY ALL",
     "tier3_function_edges": BASE + "z AS (SELECT *, count(*) OVER (PARTITION BY repo, file, name) AS k FROM f WHERE NOT regexp_matches(name, '^anonymous_[0-9]+$')), n AS (SELECT *, CASE WHEN k > 1 THEN name || ':' || line_start ELSE name END AS id FROM z), a AS (SELECT file, id, unnest(calls) AS callee FROM n), b AS (SELECT file, id, unnest(instantiates) AS made FROM n) SELECT DISTINCT a.file, a.id AS source, n.id AS target, 'call' AS kind FROM a JOIN n ON n.file = a.file AND n.name = a.callee WHERE a.id <> n.id UNION SELECT DISTINCT b.file, b.id, n.id, 'instantiate' FROM b JOIN n ON n.file = b.file AND n.name = '__init__' AND n.class_name = b.made WHERE b.id <> n.id",
     "fan_in_rescued": RESCUE + "SELECT repo, name, file, line_start, fan_out, fan_in FROM fan",
+    "edge_details_modules": _edge_sql("module") + ", p AS (SELECT DISTINCT repo, s, t, kind, src, dst FROM j), q AS (SELECT repo, s AS source, t AS target, kind, src, dst, CAST(row_number() OVER (PARTITION BY repo, s, t ORDER BY kind, src, dst) AS INT) AS rank, count(*) OVER (PARTITION BY repo, s, t) AS total FROM p) SELECT * FROM q WHERE rank <= 40",
+    "anonymous_merged": BASE + "fx AS (SELECT DISTINCT repo, file, name, line_start, line_end, calls, regexp_matches(name, '^anonymous_[0-9]+$') AS an FROM f), b AS (SELECT i.repo, i.file, i.calls AS more, arg_min((o.name, o.line_start), (o.line_end - o.line_start, o.name, o.line_start)) AS x FROM fx i JOIN fx o ON o.repo = i.repo AND o.file = i.file AND NOT o.an AND o.line_start <= i.line_start AND i.line_end <= o.line_end WHERE i.an GROUP BY i.repo, i.file, i.line_start, i.line_end, i.calls), m AS (SELECT repo, file, x[1] AS name, x[2] AS line_start, flatten(list(more)) AS more FROM b GROUP BY ALL) SELECT fx.repo, fx.file, fx.name, fx.line_start, array_to_string(list_sort(list_distinct(list_concat(calls, coalesce(more, [])))), ',') AS calls FROM fx LEFT JOIN m ON m.repo = fx.repo AND m.file = fx.file AND m.name = fx.name AND m.line_start = fx.line_start WHERE NOT an",
+    "modules_below": "WITH m AS (SELECT DISTINCT repo, trim(module) AS module FROM parsed_functions WHERE trim(module) <> '') SELECT a.repo, a.module FROM m a JOIN m b ON b.repo = a.repo GROUP BY ALL HAVING count(*) > 1 AND count(*) FILTER (starts_with(b.module, a.module || '/')) = count(*) - 1",
+    "top_files": "WITH m AS (SELECT DISTINCT repo, trim(module) AS module, file FROM parsed_functions WHERE trim(module) <> '') SELECT repo, module, file FROM m a WHERE EXISTS (SELECT 1 FROM m b WHERE b.repo = a.repo AND starts_with(b.module, a.module || '/'))",
+    "call_pairs": BASE + "g AS (SELECT repo, file, max(CASE WHEN trim(module) <> '' THEN trim(module) ELSE file END) AS g FROM f GROUP BY ALL), k AS (SELECT c.repo, c.file AS source, last.file AS target, count(*) AS n FROM c JOIN last ON last.repo = c.repo AND last.name = c.dst GROUP BY ALL) SELECT k.repo, a.g AS from_module, b.g AS to_module, source, target, n FROM k JOIN g a ON a.repo = k.repo AND a.file = source JOIN g b ON b.repo = k.repo AND b.file = target WHERE a.g <> b.g",
+    "full_graph": BASE + "z AS (SELECT 1) SELECT DISTINCT repo, 'node' AS kind, name AS a, file AS b FROM f UNION ALL SELECT DISTINCT c.repo, 'edge', c.src, c.dst FROM c JOIN f ON f.repo = c.repo AND f.name = c.dst",
+    "search_nodes": BASE + "v AS (SELECT *, (SELECT count(DISTINCT y.virtual_module) FROM f y WHERE y.repo = f.repo AND y.file = f.file) AS vms FROM f), s AS (SELECT *, CASE WHEN vms > 1 AND virtual_module IS NOT NULL THEN virtual_module ELSE file END AS scope FROM v), i AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY repo, file, scope, name) > 1 THEN name || ':' || line_start ELSE name END AS id FROM s), z AS (SELECT repo, name, file, line_start, scope, id, CAST(CASE WHEN lower(name) = 'load' THEN 0 WHEN starts_with(lower(name), 'load') THEN 1 WHEN contains(lower(name), 'load') THEN 2 WHEN contains(lower(file), 'load') THEN 3 END AS INT) AS rank FROM i) SELECT * FROM z WHERE rank IS NOT NULL ORDER BY rank, name, file, line_start LIMIT 50",
     "transitive_closure": CLOSED + "z AS (SELECT 1) SELECT repo, src, dst FROM r",
     "scc_members": CLOSED + "m AS (SELECT a.repo, a.src, a.dst FROM r a JOIN r b ON a.repo = b.repo AND a.src = b.dst AND a.dst = b.src) SELECT repo, src AS name, min(dst) AS component, count(*) AS size FROM m GROUP BY ALL",
     "risk_scores": RISK + "SELECT repo, file, name, line_start, direct, transitive, cross_file, in_cycle, score, level FROM lev",

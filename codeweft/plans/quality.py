@@ -137,7 +137,7 @@ def design_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Matches of all built-in specs, and idioms without confidence; the surest first is how they are shown."""
     found = rules.detect(_rule_graph(spark, d))
     text_of = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
-    rows = found.select("repo", "pattern", "tier", "category", "confidence", text_of("bindings").alias("bindings"), F.coalesce("field", F.lit("")).alias("field"), F.array_join("evidence", "; ").alias("evidence"))
+    rows = found.select("repo", "pattern", "tier", "category", "confidence", text_of("bindings").alias("bindings"), F.coalesce("field", F.lit("")).alias("field"), F.concat_ws("; ", "place", F.array_join("evidence", "; ")).alias("evidence"))
     idioms = rules.singleton_idioms(_files(spark, d)).select(F.split("path", "/")[0].alias("repo"), F.lit("Singleton").alias("pattern"), F.lit("idiom").alias("tier"), F.lit("Creational").alias("category"), F.lit(None).cast("double").alias("confidence"), F.col("idiom").alias("bindings"), F.lit("").alias("field"), F.format_string("%s:%d", "path", "line").alias("evidence"))
     return rows.union(idioms)
 
@@ -222,6 +222,7 @@ QUERIES = {
     "smell_fix_tree": lambda s, d: smells.fix_tree(_smells(s, d)),
     "debt_score": lambda s, d: smells.debt(_smells(s, d)),
     "fix_plan": lambda s, d: smells.fix_plan(_smells(s, d)),
+    "fallback_plan": lambda s, d: smells.fix_plan(_smells(s, d)).where("step <= 6").withColumn("label", text.effort_label(F.col("effort"))),
     "unique_method_resolution": lambda s, d: _graph(s, d).unique_methods(),
     "method_calls": lambda s, d: _graph(s, d).method_calls(),
     "structural_implements": lambda s, d: _graph(s, d).structural(),

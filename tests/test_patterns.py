@@ -58,7 +58,7 @@ def test_specs_of_a_folder_and_unknown_predicates(spark, tmp_path):
     assert [s["pattern"] for s in specs] == ["One", "Two"]
     g = classes.ClassGraph(spark.createDataFrame([("r", "Kit", "class", [], [], [], ["Build"]), ("r", "Pot", "class", [], [], [], None)], CLASSES), spark.createDataFrame([], FNS))
     (row,) = rules.evaluate(g, specs[0]).collect()
-    assert (row.bindings, row.confidence, row.category) == ({"any": "Kit"}, 0.9, "Other") and row.evidence == ["every_class: Kit (1.00)", "has_role_method: Kit (1.00)"]
+    assert (row.bindings, row.confidence, row.category) == ({"any": "Kit"}, 0.9, "Other") and row.place is None and row.evidence == ["every_class: Kit (1.00)", "has_role_method: Kit (1.00)"]
     with pytest.raises(ValueError, match="unknown predicate nothing"):
         rules.evaluate(g, specs[1])
 

@@ -231,6 +231,38 @@ def test_sessions(spark):
     assert sorted(r.events for r in history.sessions(df, "user", "at").collect()) == [1, 2]
 
 
+def test_registry_of_sessions(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    import pytest
+
+    from codeweft.streaming.registry import Registry, idle
+
+    r, at = Registry(spark, str(tmp_path)), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    a, b = r.start(at), r.start(at)
+    store.store(spark.createDataFrame([(a, "x"), (b, "y")], "session_id string, path string"), str(tmp_path / "files"))
+    r.touch(b, at + timedelta(hours=1))
+    got = {x.session_id: (x.idle_minutes, x.expired) for x in idle(r.events(), at + timedelta(hours=3, seconds=1)).collect()}
+    assert got == {a: (180, True), b: (120, False)}
+    assert not idle(r.events(), at + timedelta(hours=3)).where("expired").count()
+    assert r.sweep(at + timedelta(hours=3, seconds=1)) == [a]
+    assert {x.session_id for x in spark.read.parquet(str(tmp_path / "files")).collect()} == {b}
+    for bad, error in ((None, ValueError), (a, KeyError), ("x", KeyError)):
+        with pytest.raises(error):
+            r.validate(bad)
+
+
+def test_backward_loc_is_clamped(spark):
+    rows = [("r", "b2", "2024-01-03", 5, 0), ("r", "a1", "2024-01-03", 30, 1), ("r", "c3", "2024-01-02", 0, 4), ("r", "d4", None, 2, 0), ("r", "e5", "", 1, 9), ("q", "a", "2024-01-01", 1, 0)]
+    df = spark.createDataFrame([(*r, "m") for r in rows], "repo string, hash string, date string, insertions int, deletions int, message string")
+    now, want = 20, {}
+    for _, h, _, plus, minus in sorted(rows[:5], key=lambda r: (-int((r[2] or "0").replace("-", "") or 0), r[1])):
+        now = max(0, now - plus + minus)
+        want[h] = now
+    got = history.backward_loc(df, spark.createDataFrame([("r", 20), ("q", 9)], "repo string, loc long"))
+    assert {r["hash"]: r["loc"] for r in got.where("repo = 'r'").collect()} == want
+
+
 def test_store_replaces_sessions(spark, tmp_path):
     p = str(tmp_path / "s")
     store.store(spark.createDataFrame([("a", 1), ("b", 1)], "session_id string, x int"), p)

@@ -408,7 +408,7 @@ def evaluate(g: ClassGraph, spec: dict) -> DataFrame:
     category = next((c for c, names in CATEGORIES.items() if spec["pattern"] in names), "Other")
     bindings = F.map_from_arrays(F.array(*[F.lit(r) for r in roles]), F.array(*[F.col(f"`{r}`") for r in roles]))
     field = F.coalesce(*[F.col(f"`{r}.field`") for r in reversed(roles)])
-    at = g.classes.select("repo", F.col("name").alias(roles[0]), F.format_string("%s:%d", "file", "line_start").alias("__at"))
+    at = g.classes.select("repo", F.col("name").alias(roles[0]), F.concat("file", F.lit(":"), F.col("line_start").cast("string")).alias("__at"))
     out = out.join(at, ["repo", roles[0]], "left")
     rows = out.select(
         "repo", F.lit(spec["pattern"]).alias("pattern"), F.lit(spec.get("tier", "low")).alias("tier"), F.lit(category).alias("category"),

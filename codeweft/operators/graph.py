@@ -351,32 +351,30 @@ def _components(adj: dict[str, list[str]]) -> dict[str, str]:
     return out
 
 
-def _small_cycles(pdf, longest: int):
+def _small_cycles(pdf, longest: int, first: int | None):
     import pandas as pd
 
     adj = _adjacent(pdf)
     comp = _components(adj)
     near = {a: [b for b in adj[a] if comp.get(b) == c] for a, c in comp.items()}
-    rows = []
-    for start in comp:
-        todo = [(start,)]
-        while todo:
-            path = todo.pop()
-            for b in near[path[-1]]:
-                if b == start and len(path) > 1:
-                    rows.append((" > ".join(path), len(path)))
-                elif b > start and b not in path and len(path) < longest:
-                    todo.append((*path, b))
+    rows: list[tuple[str, int]] = []
+    paths = [(a, b) for a in comp for b in near[a] if b > a]
+    for n in range(2, longest + 1):
+        if first is not None and len(rows) >= first:
+            break
+        rows += [(" > ".join(p), n) for p in paths if p[0] in near[p[-1]]]
+        paths = [(*p, b) for p in paths for b in near[p[-1]] if b > p[0] and b not in p] if n < longest else []
     return pd.DataFrame([(pdf["repo"].iloc[0], *r) for r in rows], columns=["repo", "nodes", "length"])
 
 
-def simple_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
+def simple_cycles(edges: DataFrame, longest: int = 6, first: int | None = None) -> DataFrame:
     """(repo, nodes, length): simple cycles of at most ``longest`` edges as a text that begins with the least name.
 
-    Paths start at a cycle's least node and never leave its component, so each cycle is met once.
+    Paths start at a cycle's least node and never leave its component, so each cycle is met once. With ``first`` a small
+    project's longer cycles are not looked for once it has so many shorter ones; those of one length always come whole.
     """
     small, large = _split(edges.select("repo", "src", "dst").distinct())
-    out = small.groupBy("repo").applyInPandas(lambda pdf: _small_cycles(pdf, longest), "repo string, nodes string, length int")
+    out = small.groupBy("repo").applyInPandas(lambda pdf: _small_cycles(pdf, longest, first), "repo string, nodes string, length int")
     if large.isEmpty():
         return out
     comp = cut(reach(large)).where("component is not null").select("repo", "name", "component")

@@ -88,12 +88,9 @@ def commit_months(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (parse_functions, parse_classes, go_types, go_functions, import_names, god_chunks, chunk_functions, class_of_functions, modules_of_paths, services_found, service_calls, queue_calls, commit_months)}
 
 _LAST = "regexp_replace(regexp_extract(rtrim(x, '/'), '([^/]*)$', 1), '(.)[.][^.]*$', '\\\\1')"
-ORACLE = {
-    "go_types": """WITH p AS (SELECT DISTINCT path, content AS t FROM files WHERE language = 'go' AND content IS NOT NULL), h AS (SELECT path, t, unnest(regexp_extract_all(t, '\\btype\\s+[A-Za-z_]\\w*(?:\\[[^\\]]*\\])?\\s+(?:struct|interface)\\s*\\{')) AS m FROM p)
-SELECT path AS file, regexp_extract(m, 'type\\s+([A-Za-z_]\\w*)', 1) AS name, regexp_extract(m, '\\s(struct|interface)\\s*\\{$', 1) AS kind, CAST(len(string_split(left(t, strpos(t, m)), chr(10))) AS INT) AS line_start FROM h""",
-    "go_functions": """WITH p AS (SELECT DISTINCT path, content AS t FROM files WHERE language = 'go' AND content IS NOT NULL), h AS (SELECT path, unnest(regexp_extract_all(t, '\\bfunc\\s+(?:\\([^)]+\\)\\s*)?([A-Za-z_]\\w*)\\s*(?:\\[[^\\]]*\\])?\\([^;{]*\\{', 1)) AS name FROM p)
-SELECT path AS file, count(*) AS functions FROM h WHERE name NOT IN ('if', 'for', 'switch', 'select', 'return', 'go', 'defer', 'range', 'make', 'new', 'len', 'cap', 'append', 'copy', 'delete', 'close', 'panic', 'recover', 'print', 'println', 'func', 'constructor') GROUP BY path""",
-    "import_names": """WITH p AS (SELECT DISTINCT path, language AS l, coalesce(content, '') AS t FROM files),
+#: Names that files import, by the patterns of their languages.
+IMPORT_NAMES = (
+    """WITH p AS (SELECT DISTINCT path, language AS l, coalesce(content, '') AS t FROM files),
 r AS (SELECT path, 'last' AS how, unnest(regexp_extract_all(t, '(?m)^\\s*import\\s+(?:static\\s+)?([\\w.]+)\\s*;', 1)) AS x FROM p WHERE l = 'java'
   UNION ALL SELECT path, 'plain', unnest(regexp_extract_all(t, '\\bnew\\s+([A-Z][A-Za-z0-9_]*)\\s*\\(', 1)) FROM p WHERE l = 'java'
   UNION ALL SELECT path, 'plain', unnest(regexp_extract_all(t, '\\bextends\\s+([A-Z][A-Za-z0-9_]*)\\b', 1)) FROM p WHERE l = 'java'
@@ -106,8 +103,17 @@ r AS (SELECT path, 'last' AS how, unnest(regexp_extract_all(t, '(?m)^\\s*import\
   UNION ALL SELECT path, 'crate', unnest(regexp_extract_all(t, '(?m)^\\s*use\\s+([\\w:]+)', 1)) FROM p WHERE l = 'rust'),
 n AS (SELECT path, CASE how WHEN 'plain' THEN x WHEN 'last' THEN string_split(x, '.')[-1] WHEN 'first' THEN string_split(x, '.')[1] WHEN 'absolute' THEN CASE WHEN NOT starts_with(x, '.') THEN string_split(x, '.')[1] END
   WHEN 'path' THEN CASE WHEN starts_with(x, '.') THEN x ELSE """ + _LAST + """ END WHEN 'stem' THEN """ + _LAST + """
-  WHEN 'crate' THEN CASE WHEN string_split(x, '::')[1] NOT IN ('crate', 'super', 'self', 'std', 'core', 'alloc') THEN string_split(x, '::')[1] ELSE string_split(x, '::')[2] END END AS raw FROM r)
-SELECT DISTINCT path, raw FROM n WHERE raw <> ''""",
+  WHEN 'crate' THEN CASE WHEN string_split(x, '::')[1] NOT IN ('crate', 'super', 'self', 'std', 'core', 'alloc') THEN string_split(x, '::')[1] ELSE string_split(x, '::')[2] END END AS raw FROM r)"""
+)
+ORACLE = {
+    "go_types": """WITH p AS (SELECT DISTINCT path, content AS t FROM files WHERE language = 'go' AND content IS NOT NULL), h AS (SELECT path, t, unnest(regexp_extract_all(t, '\\btype\\s+[A-Za-z_]\\w*(?:\\[[^\\]]*\\])?\\s+(?:struct|interface)\\s*\\{')) AS m FROM p)
+SELECT path AS file, regexp_extract(m, 'type\\s+([A-Za-z_]\\w*)', 1) AS name, regexp_extract(m, '\\s(struct|interface)\\s*\\{$', 1) AS kind, CAST(len(string_split(left(t, strpos(t, m)), chr(10))) AS INT) AS line_start FROM h""",
+    "go_functions": """WITH p AS (SELECT DISTINCT path, content AS t FROM files WHERE language = 'go' AND content IS NOT NULL), h AS (SELECT path, unnest(regexp_extract_all(t, '\\bfunc\\s+(?:\\([^)]+\\)\\s*)?([A-Za-z_]\\w*)\\s*(?:\\[[^\\]]*\\])?\\([^;{]*\\{', 1)) AS name FROM p)
+SELECT path AS file, count(*) AS functions FROM h WHERE name NOT IN ('if', 'for', 'switch', 'select', 'return', 'go', 'defer', 'range', 'make', 'new', 'len', 'cap', 'append', 'copy', 'delete', 'close', 'panic', 'recover', 'print', 'println', 'func', 'constructor') GROUP BY path""",
+    "import_names": IMPORT_NAMES + " SELECT DISTINCT path, raw FROM n WHERE raw <> ''",
+    "unused_imports": IMPORT_NAMES + """, b AS (SELECT DISTINCT path, CASE l WHEN 'python' THEN regexp_replace(t, '(?m)^\\s*(?:import |from ).*$', '', 'g') WHEN 'java' THEN regexp_replace(t, '(?m)^\\s*import .*$', '', 'g') WHEN 'go' THEN regexp_replace(t, '(?ms)^\\s*import [(].*?^\\s*[)]\\s*?$|^\\s*import [^\\n]*$', '', 'g') WHEN 'rust' THEN regexp_replace(t, '(?m)^\\s*use .*$', '', 'g')
+  ELSE regexp_replace(t, '(?m)^\\s*import .*$|^.*require[(].*=.*$|^.*=.*require[(].*$', '', 'g') END AS body FROM p)
+SELECT DISTINCT n.path, n.raw FROM n JOIN b ON b.path = n.path WHERE n.raw <> '' AND NOT regexp_matches(body, '\\b' || regexp_escape(n.raw) || '\\b')""",
     "god_chunks": BASE + """b AS (SELECT DISTINCT file, name, line_start, line_end, complexity FROM f WHERE file IN (SELECT file FROM f GROUP BY file HAVING count(*) > 6)),
 cl AS (SELECT DISTINCT file, name AS cls, line_start AS a, line_end AS z FROM parsed_classes WHERE name IS NOT NULL AND line_start IS NOT NULL),
 w AS (SELECT *, max(complexity) OVER (PARTITION BY file) AS most, (row_number() OVER (PARTITION BY file ORDER BY line_start, name) - 1) // 50 AS g FROM b WHERE file NOT IN (SELECT file FROM cl)),

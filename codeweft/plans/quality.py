@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import text
 from codeweft.operators import architecture, classes, graph, halstead, history, imports, layers, rules, smells
 from codeweft.operators.relations import functions, name_graph, once
+from codeweft.plans.code import ORACLE as ORACLES_CODE
 from codeweft.plans.graphs import BASE, RESCUE, RESOLVED
 from codeweft.session import cut, table
 
@@ -29,7 +30,7 @@ def _fan(spark: SparkSession, d: str) -> DataFrame:
 def _smells(spark: SparkSession, d: str) -> DataFrame:
     f = fns(spark, d)
     edges = cut(name_graph(f))
-    return cut(smells.detect(f, cut(_fan(spark, d)), graph.simple_cycles(edges), graph.longest_chain(edges)))
+    return cut(smells.detect(f, cut(_fan(spark, d)), graph.simple_cycles(edges, first=5), graph.longest_chain(edges)))
 
 
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
@@ -384,6 +385,15 @@ mk AS (SELECT mm.repo, class, name, calls, made, list_filter(made, lambda x: lis
 """
 
 ORACLE = {
+    "maintainability": _HALSTEAD + ", h AS (SELECT coalesce(a.repo, b.repo) AS repo, coalesce(n1, 0) + coalesce(n2, 0) AS vocab, (coalesce(total1, 0) + coalesce(total2, 0)) * log2(greatest(coalesce(n1, 0) + coalesce(n2, 0), 2)) AS v FROM a FULL JOIN b ON a.repo = b.repo), fx AS (SELECT DISTINCT * EXCLUDE (ingested_at, parsed_at, session_id) FROM parsed_functions WHERE name <> '__file__'), c AS (SELECT repo, avg(complexity) AS cc, count(*) AS k FROM fx GROUP BY repo), sl AS (SELECT repo, sum(len(list_filter(string_split(t, chr(10)), lambda s: regexp_replace(s, " + _AROUND + ", '') <> '' AND NOT regexp_matches(regexp_replace(s, " + _AROUND + ", ''), '^(#|//|/[*]|[*]|\\x27{3}|\\x22{3})')))) AS sloc FROM (SELECT DISTINCT repo, path, coalesce(content, '') AS t FROM files) GROUP BY repo) SELECT h.repo, vocab, floor(v * 10 + 0.5) / 10 AS volume, floor(greatest(0, least(100, (171 - 5.2 * ln(greatest(floor(v * 10 + 0.5) / 10, 1)) - 0.23 * cc - 16.2 * ln(greatest(sloc / k, 1))) * 100 / 171)) * 10 + 0.5) / 10 AS mi FROM h JOIN c ON c.repo = h.repo JOIN sl ON sl.repo = h.repo",
+    "effective_fields": _CLASSES + """, pn AS (SELECT repo, name AS child, unnest(list_concat(coalesce(bases, []), coalesce(interfaces, []))) AS e, FROM c0), pc AS (SELECT DISTINCT repo, child, regexp_replace(regexp_replace(regexp_replace(e, '(?s)[<\\[(].*$', ''), '^[\\s\\p{Z}*&]+|[\\s\\p{Z}*&]+$', '', 'g'), '(?s)^.*(?:::|[.\\\\/:])[\\s\\p{Z}*&]*', '') AS parent FROM pn WHERE e IS NOT NULL),
+te AS (SELECT DISTINCT pc.repo, child, parent FROM pc JOIN cl ON cl.repo = pc.repo AND cl.name = parent WHERE child <> parent), an AS (SELECT repo, child, parent FROM te UNION SELECT an.repo, an.child, te.parent FROM an JOIN te ON te.repo = an.repo AND te.child = an.parent),
+fd0 AS (SELECT repo, name AS owner, unnest(fields) AS f FROM c0), fd1 AS (SELECT repo, owner, f.name AS field, regexp_replace(f.type, '^[\\s"''&*]+|[\\s"'']+$|\\[\\]|^dyn\\s+', '', 'g') AS t, coalesce(f.is_collection, false) AS collection FROM fd0),
+fd2 AS (SELECT repo, owner, field, collection, CASE WHEN regexp_extract(t, '^[\\w.:]+[<\\[]([^<>\\[\\],]+)[>\\]]$', 1) <> '' THEN regexp_extract(t, '^[\\w.:]+[<\\[]([^<>\\[\\],]+)[>\\]]$', 1) ELSE t END AS t FROM fd1),
+fd AS (SELECT DISTINCT x.repo, owner, field, y.name AS type, collection FROM fd2 x JOIN cl y ON y.repo = x.repo AND y.name = regexp_replace(regexp_replace(regexp_replace(x.t, '(?s)[<\\[(].*$', ''), '^[\\s\\p{Z}*&]+|[\\s\\p{Z}*&]+$', '', 'g'), '(?s)^.*(?:::|[.\\\\/:])[\\s\\p{Z}*&]*', '')),
+ev AS (SELECT repo, owner, field, type, collection, owner AS origin, 0 AS rk FROM fd UNION ALL SELECT an.repo, an.child, field, type, collection, an.parent, 1 FROM an JOIN fd ON fd.repo = an.repo AND fd.owner = an.parent WHERE an.child <> an.parent),
+fs AS (SELECT *, min((rk, origin)) OVER (PARTITION BY repo, owner, field) AS first FROM ev) SELECT repo, owner, field, type, collection, origin FROM fs WHERE (rk, origin) = first""",
+    "dead_code_totals": FAN.replace("WITH RECURSIVE", "WITH RECURSIVE ui AS (" + ORACLES_CODE["unused_imports"] + "), ", 1) + ", dd AS (SELECT repo, count(*) FILTER (is_dead) AS dead FROM dead GROUP BY repo), uu AS (SELECT split_part(path, '/', 1) AS repo, count(DISTINCT path) AS files, count(*) AS unused FROM ui GROUP BY ALL) SELECT coalesce(dd.repo, uu.repo) AS repo, coalesce(dead, 0) AS dead, coalesce(files, 0) AS files, coalesce(unused, 0) AS unused FROM dd FULL JOIN uu ON uu.repo = dd.repo",
     "simple_patterns": _CLASSES + """, cd AS (SELECT DISTINCT repo, class, target FROM lk), fo AS (SELECT repo, class, count(*) AS o FROM cd GROUP BY ALL), fi AS (SELECT repo, target AS class, count(*) AS i FROM cd GROUP BY ALL),
 bo AS (SELECT repo, class, min(name) AS name FROM mk WHERE lower(name) IN ('build', 'construct') GROUP BY ALL), sv AS (SELECT repo, class, min(name) AS name FROM mk WHERE lower(name) IN ('save', 'create_memento', 'creatememento') GROUP BY ALL),
 ot AS (SELECT repo, class, name, list_distinct(list_filter(makes, lambda x: x <> class)) AS others, list_filter(makes, lambda x: x <> class)[1] AS first FROM mk)

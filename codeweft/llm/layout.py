@@ -42,7 +42,6 @@ MARKS = re.compile(
 _BY_HAND = re.compile(r"(?i)\bhand|\belsewhere|\bour exporter\b|\bskip")
 _HEAD_COMMENT = re.compile(r"\A(?:\s*(?:#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|package [\w.]+;?|[\"']use strict[\"'];?)\s*?(?:\n|\Z))+")
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*)")
-_SPACE = re.compile(r"\s+")
 
 
 def head_marked(text: str) -> bool:
@@ -56,7 +55,7 @@ def head_marked(text: str) -> bool:
 
 def norm_lines(text: str) -> set[str]:
     """Lines without white space, comments and short lines left out."""
-    lines = (_SPACE.sub("", x) for x in text.split("\n") if not _COMMENT.match(x))
+    lines = ("".join(x.split()) for x in text.split("\n") if len(x) >= LINE_LEAST and not _COMMENT.match(x))
     return {x for x in lines if len(x) >= LINE_LEAST}
 
 
@@ -124,42 +123,46 @@ class Layout:
                 depth += edge == self.open
         return out
 
-    def pieces(self, s: str, base: int) -> list[str]:
-        """Slices of ``s``, layout included, at the top (base 0) or within the outermost brackets or blocks (base 1)."""
+    def pieces(self, s: str) -> tuple[list[str], list[str]]:
+        """Slices of ``s``, layout included, at the top, and within the outermost brackets or blocks."""
         if self.language == "python":
             widths = sorted({ord(c) - LINE for c in _LINES.findall(s)} - {0})
-            top = chr(LINE) + (f"-{chr(LINE + widths[0])}" if base and widths else "")
-            return [x for x in re.split(f"[{top}]+", s) if x]
-        out, depth, at = [], 0, 0
+            tops = (chr(LINE), chr(LINE) + (f"-{chr(LINE + widths[0])}" if widths else ""))
+            return tuple([x for x in re.split(f"[{top}]+", s) if x] for top in tops)
+        top: list[str] = []
+        inner: list[str] = []
+        depth = at = at_inner = 0
         for m in self.edge.finditer(s):
-            c = m.group()
+            c, end = m.group(), m.end()
             if c == self.open:
                 depth += 1
-                if depth == base:
-                    at = m.end()
+                if depth == 1:
+                    at_inner = end
                 continue
             if c == self.close:
                 depth = max(0, depth - 1)
-                if depth < base:
-                    at = m.end()
-                    continue
-            if depth == base:
-                out.append(s[at : m.end()])
-                at = m.end()
-        return [y for x in out if (y := x.strip("N").lstrip(_MARKS).rstrip(_MARKS))]
+                if depth == 0:
+                    at_inner = end
+            elif depth == 0:
+                at_inner = end
+            if depth == 0:
+                top.append(s[at:end])
+                at = end
+            elif depth == 1:
+                inner.append(s[at_inner:end])
+                at_inner = end
+        return tuple([y for x in out if (y := x.lstrip(_MARKS).rstrip(_MARKS))] for out in (top, inner))
 
     def uniform(self, s: str) -> float:
         """Share of the most frequent shape among the pieces of several lines; 0 for few pieces.
 
         A shape is a piece's symbols and line marks: names and literals count as one, words, marks and layout as they are.
         """
-        best: list[str] = []
-        for base in (0, 1):
-            pieces = [p for p in self.pieces(s, base) if _LINES.search(p)]
-            best = max(best, pieces, key=len)
+        best = max(([p for p in pieces if _LINES.search(p)] for pieces in self.pieces(s)), key=len)
         return Counter(best).most_common(1)[0][1] / len(best) if len(best) >= PIECES else 0.0
 
 
+_LITERAL = frozenset((STR, NUM))
 _MARKS = "".join(map(chr, range(LINE, LINE + 1000)))
 _layouts: dict[str, Layout] = {}
 
@@ -174,17 +177,17 @@ def measure(language: str, text: str) -> dict[str, float]:
     symbols = [*map(lex.table.__getitem__, tokens)]
     sym = lex.symbol
     s = "".join(symbols).replace(NL, "")
-    lines = [x for x in text.split("\n") if x.strip()]
-    n = max(1, len(lines))
+    n = max(1, sum(1 for x in text.split("\n") if x and not x.isspace()))
     canonical = layout.emit(s)
     own = Counter(x.rstrip(layout.semi) for x in _LINES.split(s) if x)
     same = sum((Counter(x for _, x in canonical) & own).values())
-    literal_chars = sum(len(t) for t, c in zip(tokens, symbols) if c == STR or c == NUM)
-    plain = sum(len(t) for t, c in zip(tokens, symbols) if c == STR and len(t) > 60 and t.count(" ") * 12 > len(t))
+    literals = [t for t, c in zip(tokens, symbols) if c in _LITERAL]
+    literal_chars = sum(map(len, literals))
+    plain = sum(len(t) for t in literals if len(t) > 60 and t.count(" ") * 12 > len(t))
     count = Counter(s)
     data = count[STR] + count[NUM] + count[sym[","]] + count[sym["-"]]
     every = sum(v for k, v in count.items() if not 0x4E00 <= ord(k) < 0xD800)
-    chars = sum(len(_SPACE.sub("", x)) for x in lines) or 1
+    chars = len("".join(text.split())) or 1
     return {
         "expansion": max(1, len(canonical)) / n,
         "same": same / max(1, len(canonical)),

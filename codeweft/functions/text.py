@@ -80,7 +80,7 @@ def signature(text: Column, line: Column, most: int = 11) -> Column:
 
 
 def functions_named(text: Column, language: Column) -> Column:
-    """How many functions a text defines, by the patterns of its language; 0 for other languages."""
+    """How many functions a text defines, by the patterns of its language (fixed values); 0 for other languages."""
     count = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), 0))
     return (
         F.when(language == "python", count(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+"))

@@ -13,9 +13,9 @@ GAP = "3 hours"
 
 
 def commit_date(c: F.Column) -> F.Column:
-    """Dates in ISO, slashed, dotted and month-name notation; blank and unreadable ones are null."""
+    """Dates in ISO, slashed, dotted and month-name notation, days and months of one digit too; blank and unreadable ones are null."""
     t = F.trim(c)
-    forms = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
+    forms = ("yyyy-M-d", "yyyy/M/d", "d.M.yyyy", "M/d/yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
     dates = [F.expr("null").cast("date")] + [F.try_to_timestamp(t, F.lit(f)).cast("date") for f in forms]
     iso = F.try_to_timestamp(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd")).cast("date")
     return F.coalesce(iso, *dates)

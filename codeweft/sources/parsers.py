@@ -59,6 +59,7 @@ class Grammar:
     scopes: tuple[str, ...] = field(default=())  # blocks that own functions without being types
 
 
+# The patterns of each language's headers, calls, fields and branches, on which results depend.
 _ID = r"[A-Za-z_$][\w$]*"
 _JAVA = Grammar(
     functions=(r"(?m)^[ \t]*(?:@[\w.]+(?:\([^)]*\))?\s*)*(?:(?:public|protected|private|static|final|native|synchronized|abstract|strictfp|default)\s+)*(?:<[^>]*>\s*)?(?:[\w<>\[\],.?]+\s+)?(?P<name>[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?\{",),

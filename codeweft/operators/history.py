@@ -27,25 +27,49 @@ def churn(commits: DataFrame) -> DataFrame:
     return rows.groupBy("repo").agg(F.countDistinct("hash").alias("commits"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.sum(F.col("insertions") + F.col("deletions")).alias("churn"), F.countDistinct("author").alias("authors"))
 
 
-def backward_loc(commits: DataFrame, now: DataFrame) -> DataFrame:
-    """(repo, hash, loc): lines before each commit, walking back from ``now`` (repo, loc), never below 0.
+def walk_back(commits: DataFrame, step: F.Column, now: DataFrame) -> DataFrame:
+    """(repo, hash, until, before): a count as of each commit and before it, walking back from ``now`` (repo, start) by
+    ``step``, never below 0.
 
     The clamped walk is the running sum reflected at its running minimum, so window passes do, without a loop. Commits are
     ordered newest first by date and hash; undated ones come last. Sums go by (repo, day, beginning of the hash) first and
     then over those parts, so that no task holds all commits of a large project.
     """
-    rows = once(commits).select("repo", "hash", commit_date(F.col("date")).alias("day"), (F.col("deletions") - F.col("insertions")).alias("step")).dropDuplicates(["repo", "hash"])
+    rows = once(commits).select("repo", "hash", commit_date(F.col("date")).alias("day"), step.alias("step")).dropDuplicates(["repo", "hash"])
     rows = rows.join(now, "repo").withColumn("part", F.substring("hash", 1, 2))
-    inner = Window.partitionBy("repo", "day", "part").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("own", F.sum("step").over(inner)).withColumn("low", F.min("own").over(inner))
-    per = rows.groupBy("repo", "day", "part").agg(F.sum("step").alias("s"), F.min("own").alias("m"), F.max("loc").alias("now"))
+    inner = Window.partitionBy("repo", "day", "part").orderBy("hash")
+    whole, earlier = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.sum("step").over(whole)).withColumn("low", F.min("own").over(whole)).withColumn("low0", F.min("own").over(earlier))
+    per = rows.groupBy("repo", "day", "part").agg(F.sum("step").alias("s"), F.min("own").alias("m"), F.max("start").alias("start"))
     before = Window.partitionBy("repo").orderBy(F.desc_nulls_last("day"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("base", F.col("now") + F.coalesce(F.sum("s").over(before), F.lit(0)))
-    per = per.withColumn("lowest", F.min(F.col("base") + F.col("m")).over(before))
+    per = per.withColumn("base", F.col("start") + F.coalesce(F.sum("s").over(before), F.lit(0)))
+    per = per.withColumn("lowest", F.coalesce(F.min(F.col("base") + F.col("m")).over(before), F.lit(0)))
     key = (F.col("a.repo") == F.col("b.repo")) & F.col("a.day").eqNullSafe(F.col("b.day")) & (F.col("a.part") == F.col("b.part"))
     out = rows.alias("a").join(per.alias("b"), key)
-    least = F.least(F.col("b.base") + F.col("a.low"), F.coalesce(F.col("b.lowest"), F.lit(0)), F.lit(0))
-    return out.select("a.repo", "a.hash", (F.col("b.base") + F.col("a.own") - least).alias("loc"))
+    value = lambda own, low: F.col("b.base") + own - F.least(F.col("b.base") + low, F.col("b.lowest"), F.lit(0))
+    until = F.col("b.base") + F.col("a.own") - F.col("a.step") - F.least(F.coalesce(F.col("b.base") + F.col("a.low0"), F.lit(0)), F.col("b.lowest"), F.lit(0))
+    return out.select("a.repo", "a.hash", until.alias("until"), value(F.col("a.own"), F.col("a.low")).alias("before"))
+
+
+def backward_loc(commits: DataFrame, now: DataFrame) -> DataFrame:
+    """(repo, hash, loc): lines before each commit, walking back from ``now`` (repo, loc)."""
+    rows = walk_back(commits, F.col("deletions") - F.col("insertions"), now.select("repo", F.col("loc").alias("start")))
+    return rows.select("repo", "hash", F.col("before").alias("loc"))
+
+
+def estimates(commits: DataFrame, now: DataFrame) -> DataFrame:
+    """(repo, hash, loc, functions, mi): as of each commit, lines, functions and a maintainability index in whole points.
+
+    ``now`` is (repo, sloc, functions, files, volume, complexity) of the project as it is; the index takes lines by file.
+    """
+    lines = walk_back(commits, F.col("deletions") - F.col("insertions"), now.select("repo", F.col("sloc").alias("start"))).select("repo", "hash", F.col("until").alias("loc"))
+    added = F.coalesce("fn_removed", F.lit(0)) - F.coalesce("fn_added", F.lit(0))
+    fns = walk_back(commits, added, now.select("repo", F.col("functions").alias("start"))).select("repo", "hash", F.col("until").alias("functions"))
+    rows = lines.join(fns, ["repo", "hash"]).join(now.drop("functions", "sloc"), "repo")
+    per_file = F.greatest(F.lit(1.0), F.col("loc") / F.greatest("files", F.lit(1)))
+    raw = 171 - 5.2 * F.log(F.greatest("volume", F.lit(1.0))) - 0.23 * F.col("complexity") - 16.2 * F.log(per_file)
+    mi = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw * 100 / 171)) + 0.5)
+    return rows.select("repo", "hash", "loc", "functions", mi.alias("mi"))
 
 
 def sessions(events: DataFrame, user: str, at: str) -> DataFrame:

@@ -106,11 +106,11 @@ n AS (SELECT path, CASE how WHEN 'plain' THEN x WHEN 'last' THEN string_split(x,
   WHEN 'crate' THEN CASE WHEN string_split(x, '::')[1] NOT IN ('crate', 'super', 'self', 'std', 'core', 'alloc') THEN string_split(x, '::')[1] ELSE string_split(x, '::')[2] END END AS raw FROM r)"""
 )
 _DAY = """coalesce(try_strptime(regexp_extract(trim(date), '^(\\d{4}-\\d{2}-\\d{2})', 1), '%Y-%m-%d'), try_strptime(trim(date), ['%Y/%m/%d', '%d.%m.%Y', '%m/%d/%Y', '%d %b %Y', '%b %d, %Y', '%Y%m%d']))"""
-_COMMITS = f"WITH cm AS (SELECT *, CAST({_DAY} AS DATE) AS day FROM (SELECT DISTINCT * EXCLUDE (ingested_at) FROM commits))"
+COMMITS = f"WITH cm AS (SELECT *, CAST({_DAY} AS DATE) AS day FROM (SELECT DISTINCT * EXCLUDE (ingested_at) FROM commits))"
 ORACLE = {
-    "commit_days": _COMMITS + " SELECT DISTINCT hash, day FROM cm",
-    "commit_months": _COMMITS + " SELECT repo, coalesce(strftime(day, '%Y-%m'), '') AS month, count(*) AS commits, CAST(sum(churn) AS BIGINT) AS churn FROM cm GROUP BY ALL",
-    "git_backward_loc": _COMMITS + ", lo AS (SELECT repo, sum(len(string_split(coalesce(content, ''), chr(10)))) AS loc FROM (SELECT DISTINCT repo, path, content FROM files) GROUP BY repo), u AS (SELECT repo, hash, min(day) AS day, min(deletions - insertions) AS step FROM cm GROUP BY ALL), s AS (SELECT u.repo, hash, day, loc + sum(step) OVER (PARTITION BY u.repo ORDER BY day DESC NULLS LAST, hash) AS s FROM u JOIN lo ON lo.repo = u.repo), m AS (SELECT repo, hash, s, min(s) OVER (PARTITION BY repo ORDER BY day DESC NULLS LAST, hash) AS low FROM s) SELECT repo, hash, CAST(s - least(low, 0) AS BIGINT) AS loc FROM m",
+    "commit_days": COMMITS + " SELECT DISTINCT hash, day FROM cm",
+    "commit_months": COMMITS + " SELECT repo, coalesce(strftime(day, '%Y-%m'), '') AS month, count(*) AS commits, CAST(sum(churn) AS BIGINT) AS churn FROM cm GROUP BY ALL",
+    "git_backward_loc": COMMITS + ", lo AS (SELECT repo, sum(len(string_split(coalesce(content, ''), chr(10)))) AS loc FROM (SELECT DISTINCT repo, path, content FROM files) GROUP BY repo), u AS (SELECT repo, hash, min(day) AS day, min(deletions - insertions) AS step FROM cm GROUP BY ALL), s AS (SELECT u.repo, hash, day, loc + sum(step) OVER (PARTITION BY u.repo ORDER BY day DESC NULLS LAST, hash) AS s FROM u JOIN lo ON lo.repo = u.repo), m AS (SELECT repo, hash, s, min(s) OVER (PARTITION BY repo ORDER BY day DESC NULLS LAST, hash) AS low FROM s) SELECT repo, hash, CAST(s - least(low, 0) AS BIGINT) AS loc FROM m",
     "services_found": """WITH p AS (SELECT DISTINCT repo, string_split(path[len(repo) + 2:], '/') AS s FROM files), g AS (SELECT s[1] AS service, repo, bool_or(len(s) = 2 AND (s[2] IN ('package.json', 'requirements.txt', 'pyproject.toml', 'setup.py', 'pom.xml', 'build.gradle', 'build.gradle.kts', 'go.mod', 'Cargo.toml', 'Dockerfile') OR ends_with(lower(s[2]), '.csproj'))) AS m FROM p
 WHERE len(s) > 1 AND lower(s[1]) NOT IN ('node_modules', '.git', '__pycache__', '.venv', 'venv', 'dist', 'build', '.idea', '.vscode', 'uploads') GROUP BY ALL) SELECT DISTINCT service FROM g WHERE m OR regexp_matches(lower(service), '(service|svc)$|^service')""",
     "go_types": """WITH p AS (SELECT DISTINCT path, content AS t FROM files WHERE language = 'go' AND content IS NOT NULL), h AS (SELECT path, t, unnest(regexp_extract_all(t, '\\btype\\s+[A-Za-z_]\\w*(?:\\[[^\\]]*\\])?\\s+(?:struct|interface)\\s*\\{')) AS m FROM p)

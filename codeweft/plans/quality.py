@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import text
 from codeweft.operators import architecture, classes, graph, halstead, history, imports, layers, rules, smells
 from codeweft.operators.relations import functions, name_graph, once
+from codeweft.plans.code import COMMITS
 from codeweft.plans.code import ORACLE as ORACLES_CODE
 from codeweft.plans.graphs import BASE, RESCUE, RESOLVED
 from codeweft.session import cut, table
@@ -207,6 +208,14 @@ def git_backward_loc(spark: SparkSession, d: str) -> DataFrame:
     return history.backward_loc(table(spark, d, "commits"), now)
 
 
+def commit_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Lines, functions and maintainability as of each commit, estimated from the project as it is."""
+    files = _files(spark, d).groupBy("repo").agg(F.sum(text.sloc(F.col("content"))).cast("long").alias("sloc"), F.countDistinct("path").alias("files"))
+    f = fns(spark, d).groupBy("repo").agg(F.count("*").alias("functions"), F.avg("complexity").alias("complexity"))
+    volume = halstead.measures(halstead_counts(spark, d)).select("repo", "volume")
+    return history.estimates(table(spark, d, "commits"), files.join(f, "repo").join(volume, "repo"))
+
+
 def commit_days(spark: SparkSession, d: str) -> DataFrame:
     return once(table(spark, d, "commits")).select("hash", history.commit_date(F.col("date")).alias("day")).distinct()
 
@@ -232,7 +241,7 @@ QUERIES = {
     "import_extract": lambda s, d: imports.extract(_files(s, d)),
     "unused_imports": lambda s, d: imports.unused(_files(s, d)),
     "magic_literals": lambda s, d: _files(s, d).select("path", text.magic_literals(F.coalesce("content", F.lit(""))).alias("literals")).distinct(),
-    **{f.__name__: f for f in (dead_code, dead_code_totals, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, file_strategies, render_strategies, parameter_counts, project_metrics, layer_violations, layer_violations_by_module, layer_files, design_patterns, pattern_counts, simple_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_days, session_gaps)},
+    **{f.__name__: f for f in (dead_code, dead_code_totals, smell_summary, smells_by_layer, worst_severity, file_ranking, loc_sloc, text_metrics, file_strategies, render_strategies, parameter_counts, project_metrics, layer_violations, layer_violations_by_module, layer_files, design_patterns, pattern_counts, simple_patterns, architecture_patterns, last_writer, halstead_counts, maintainability, service_summary, sweep_windows, session_inactivity, effective_fields, git_backward_loc, commit_estimates, commit_days, session_gaps)},
 }
 
 _ENTRY = (
@@ -394,6 +403,12 @@ fd AS (SELECT DISTINCT x.repo, owner, field, y.name AS type, collection FROM fd2
 ev AS (SELECT repo, owner, field, type, collection, owner AS origin, 0 AS rk FROM fd UNION ALL SELECT an.repo, an.child, field, type, collection, an.parent, 1 FROM an JOIN fd ON fd.repo = an.repo AND fd.owner = an.parent WHERE an.child <> an.parent),
 fs AS (SELECT *, min((rk, origin)) OVER (PARTITION BY repo, owner, field) AS first FROM ev) SELECT repo, owner, field, type, collection, origin FROM fs WHERE (rk, origin) = first""",
     "dead_code_totals": FAN.replace("WITH RECURSIVE", "WITH RECURSIVE ui AS (" + ORACLES_CODE["unused_imports"] + "), ", 1) + ", dd AS (SELECT repo, count(*) FILTER (is_dead) AS dead FROM dead GROUP BY repo), uu AS (SELECT split_part(path, '/', 1) AS repo, count(DISTINCT path) AS files, count(*) AS unused FROM ui GROUP BY ALL) SELECT coalesce(dd.repo, uu.repo) AS repo, coalesce(dead, 0) AS dead, coalesce(files, 0) AS files, coalesce(unused, 0) AS unused FROM dd FULL JOIN uu ON uu.repo = dd.repo",
+    "commit_estimates": _HALSTEAD.replace("WITH p AS", COMMITS + ", p AS", 1) + ", h AS (SELECT coalesce(a.repo, b.repo) AS repo, floor((coalesce(total1, 0) + coalesce(total2, 0)) * log2(greatest(coalesce(n1, 0) + coalesce(n2, 0), 2)) * 10 + 0.5) / 10 AS v FROM a FULL JOIN b ON a.repo = b.repo), fx AS (SELECT DISTINCT * EXCLUDE (ingested_at, parsed_at, session_id) FROM parsed_functions WHERE name <> '__file__'), c AS (SELECT repo, avg(complexity) AS cc, count(*) AS k FROM fx GROUP BY repo), sl AS (SELECT repo, count(DISTINCT path) AS files, CAST(sum(len(list_filter(string_split(t, chr(10)), lambda s: regexp_replace(s, " + _AROUND + ", '') <> '' AND NOT regexp_matches(regexp_replace(s, " + _AROUND + ", ''), '^(#|//|/[*]|[*]|\\x27{3}|\\x22{3})')))) AS BIGINT) AS sloc FROM (SELECT DISTINCT repo, path, coalesce(content, '') AS t FROM files) GROUP BY repo), " + """
+u AS (SELECT repo, hash, min(day) AS day, min(deletions - insertions) AS step, min(coalesce(fn_removed, 0) - coalesce(fn_added, 0)) AS fstep FROM cm GROUP BY ALL),
+s1 AS (SELECT u.repo, hash, day, step, fstep, sloc + sum(step) OVER w AS s, k + sum(fstep) OVER w AS g, files, v, cc FROM u JOIN sl ON sl.repo = u.repo JOIN c ON c.repo = u.repo JOIN h ON h.repo = u.repo WINDOW w AS (PARTITION BY u.repo ORDER BY day DESC NULLS LAST, hash)),
+s2 AS (SELECT *, min(s) OVER w AS ls, min(g) OVER w AS lg FROM s1 WINDOW w AS (PARTITION BY repo ORDER BY day DESC NULLS LAST, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT repo, hash, CAST(s - step - least(coalesce(ls, 0), 0) AS BIGINT) AS loc, CAST(g - fstep - least(coalesce(lg, 0), 0) AS BIGINT) AS functions, files, v, cc FROM s2)
+SELECT repo, hash, loc, functions, CAST(floor(greatest(0, least(100, (171 - 5.2 * ln(greatest(v, 1)) - 0.23 * cc - 16.2 * ln(greatest(1, loc / files))) * 100 / 171)) + 0.5) AS BIGINT) AS mi FROM s3""",
     "simple_patterns": _CLASSES + """, cd AS (SELECT DISTINCT repo, class, target FROM lk), fo AS (SELECT repo, class, count(*) AS o FROM cd GROUP BY ALL), fi AS (SELECT repo, target AS class, count(*) AS i FROM cd GROUP BY ALL),
 bo AS (SELECT repo, class, min(name) AS name FROM mk WHERE lower(name) IN ('build', 'construct') GROUP BY ALL), sv AS (SELECT repo, class, min(name) AS name FROM mk WHERE lower(name) IN ('save', 'create_memento', 'creatememento') GROUP BY ALL),
 ot AS (SELECT repo, class, name, list_distinct(list_filter(makes, lambda x: x <> class)) AS others, list_filter(makes, lambda x: x <> class)[1] AS first FROM mk)

@@ -42,7 +42,7 @@ _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 _SPLIT = re.compile(r"(?<=[.;:!?])\s+|(?<=[。；：！？])")
 _END = ".!?;:。！？；：…\"”»"
 _LIST = re.compile(r"(?:[-*•·–◦▪‣+]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)])\s")
-_TABLE = re.compile(r"\t|\s{3,}|\s\|\s|;.*;.*;|,\S.*,\S.*,\S")
+_TABLE = re.compile(r"(?:\t|\s?\|\s?|\S\s{3,}\S).*(?:\t|\||\S\s{3,}\S)|;.*;.*;.*;")
 COLUMNS = "words long, mean_word double, symbol_ratio double, punct_lines double, common_share double, letter_share double, repeated double"
 
 
@@ -109,7 +109,10 @@ def statistics(text: str | None, common: Common) -> tuple | None:
         lines += 1
         punct += line[-1] in _END
         seen[line] = seen.get(line, 0) + 1
-        parts = [_segment(seg, common) for seg in (_SPLIT.split(line) if len(line) > 40 else (line,)) if seg]
+        segs = [x for x in _SPLIT.split(line) if x] if len(line) > 40 else [line]
+        if len(segs) > 1 and len(segs[0]) < 7 and not _WORD.search(segs[0]):  # a claim's number belongs to its sentence
+            segs[:2] = [" ".join(segs[:2])]
+        parts = [_segment(seg, common) for seg in segs]
         n, k = sum(p[0] for p in parts), sum(p[2] for p in parts)
         here = 0 if n < 4 else 2 if k >= RATE * n else 1
         layout = 1 if _LIST.match(line) else 2 if _TABLE.search(raw.rstrip()) else 0

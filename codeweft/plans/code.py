@@ -132,11 +132,11 @@ UNION ALL SELECT file, name, line_start, CASE WHEN most <= 5 THEN 'Group ' || (g
     "modules_of_paths": "WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM files), q AS (SELECT path, s, list_position(s, 'src') AS k FROM p) SELECT path, CASE WHEN k > 0 THEN array_to_string(s[k + 1:-2], '/') WHEN len(s) > 1 THEN array_to_string(s[:-2], '/') ELSE '' END AS module FROM q",
     "service_calls": """WITH l AS (SELECT DISTINCT service, path, content FROM files WHERE service IS NOT NULL AND content IS NOT NULL), x AS (SELECT service, path, unnest(string_split(lower(content), chr(10))) AS low, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM l),
 y AS (SELECT *, regexp_matches(low, 'https?://') AS a, regexp_matches(low, 'axios|fetch[(]|requests[.](get|post|put|delete|patch)|httpx[.]|resttemplate|webclient|http[.](get|post)[(]|http[.]newrequest|reqwest::|httpclient|urlopen|xmlhttprequest') AS b FROM x),
-w AS (SELECT service, path, line_no, CASE WHEN a AND b THEN 0.85 ELSE 0.6 END AS confidence, unnest(regexp_extract_all(low, '[a-z0-9][a-z0-9_-]{3,}')) AS host FROM y WHERE a OR b),
+w AS (SELECT service, path, line_no, CASE WHEN a AND b THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS confidence, unnest(regexp_extract_all(low, '[a-z0-9][a-z0-9_-]{3,}')) AS host FROM y WHERE a OR b),
 h AS (SELECT DISTINCT service AS target, unnest([lower(service), replace(lower(service), '_', '-'), replace(lower(service), '-', '_'), regexp_replace(lower(service), '[_-]', '', 'g')]) AS host FROM l)
 SELECT w.service AS source, h.target, arg_min(path, (-confidence, path, line_no)) AS path, CAST(arg_min(line_no, (-confidence, path, line_no)) AS INT) AS line_no, max(confidence) AS confidence FROM w JOIN h ON h.host = w.host AND len(h.host) >= 4 WHERE w.service <> h.target GROUP BY ALL""",
     "queue_calls": """WITH l AS (SELECT DISTINCT service, path, content FROM files WHERE service IS NOT NULL AND content IS NOT NULL), x AS (SELECT service, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM l),
 q AS (SELECT *, regexp_extract(line, '[''"`]([\\w.\\-]{3,64})[''"`]', 1) AS queue, regexp_matches(lower(line), 'channel[.]publish|channel[.]basic_publish|channel[.]sendtoqueue|producer[.]send|kafkaproducer[.]send|basicpublish') AS p, regexp_matches(lower(line), 'channel[.]consume|channel[.]basic_consume|consumer[.]subscribe|kafkaconsumer[.]subscribe|@rabbitlistener|@kafkalistener') AS c FROM x),
 s AS (SELECT service AS source, queue, min((path, line_no)) AS pos FROM q WHERE p AND queue <> '' GROUP BY ALL)
-SELECT s.source, h.service AS target, s.queue, s.pos[1] AS path, CAST(s.pos[2] AS INT) AS line_no, 0.75 AS confidence FROM s JOIN (SELECT DISTINCT service, queue FROM q WHERE c AND queue <> '') h ON h.queue = s.queue WHERE s.source <> h.service""",
+SELECT s.source, h.service AS target, s.queue, s.pos[1] AS path, CAST(s.pos[2] AS INT) AS line_no, CAST(0.75 AS DOUBLE) AS confidence FROM s JOIN (SELECT DISTINCT service, queue FROM q WHERE c AND queue <> '') h ON h.queue = s.queue WHERE s.source <> h.service""",
 }

@@ -29,9 +29,9 @@ def _fan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _smells(spark: SparkSession, d: str) -> DataFrame:
-    f = fns(spark, d)
+    f = cut(fns(spark, d))
     edges = cut(name_graph(f))
-    return cut(smells.detect(f, cut(_fan(spark, d)), graph.simple_cycles(edges, first=5), graph.longest_chain(edges)))
+    return cut(smells.detect(f, cut(graph.rescued(graph.fan(f), _files(spark, d))), graph.simple_cycles(edges, first=5), graph.longest_chain(edges)))
 
 
 def dead_code(spark: SparkSession, d: str) -> DataFrame:

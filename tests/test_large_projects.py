@@ -64,3 +64,16 @@ def test_risk_scores(run):
     got = {r.name: (r.direct, r.transitive, r.in_cycle) for r in run("risk_scores")}
     reached = _reached()
     assert got == {n: (len(UP.get(n, ())), len(reached.get(n, set()) - {n}), int(n in reached.get(n, ()))) for n in got} and len(got) >= N
+
+
+def test_smells_all(run):
+    rows = run("smells_all")
+    depth: dict[str, int] = {}
+    loop = {"a", "b", "c"}
+    for v in [*sorted(UP, reverse=True)]:
+        depth[v] = 0
+    order = [*sorted((v for v in UP if v.startswith("n")), reverse=True), "d", "c", "b", "a"]
+    for v in order:
+        depth[v] = max((1 + depth.get(w, 0) for w in UP[v] if not {v, w} <= loop), default=0)
+    assert [r.name for r in rows if r.smell == "long_call_chain"] == [f"depth={min(40, max(depth.values()))}"]
+    assert sorted(r.name for r in rows if r.smell == "circular_dependency") == ["a → b → c → a", "b → c → b"]

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.operators.graph import closure
+from codeweft.operators.graph import pairs
 from codeweft.operators.hierarchy import parent_name
+from codeweft.session import cut
 
 INTERFACE_LIKE = ("interface", "trait", "abstract_class")
 _TEXTS = "array<string>"
@@ -75,8 +76,8 @@ class ClassGraph:
         return declared.union(self.methods.select("repo", "class", "name")).distinct()
 
     def ancestors(self) -> DataFrame:
-        """(repo, src, dst, depth) of each class and each type it inherits or implements, at any depth."""
-        return closure(self.type_edges.select("repo", F.col("child").alias("src"), F.col("parent").alias("dst")))
+        """(repo, src, dst) of each class and each type it inherits or implements, at any depth."""
+        return pairs(cut(self.type_edges.select("repo", F.col("child").alias("src"), F.col("parent").alias("dst"))))
 
     def effective_fields(self) -> DataFrame:
         """(repo, owner, field, type, collection, origin): own fields, then inherited ones that no nearer name hides.

@@ -77,3 +77,12 @@ def test_smells_all(run):
         depth[v] = max((1 + depth.get(w, 0) for w in UP[v] if not {v, w} <= loop), default=0)
     assert [r.name for r in rows if r.smell == "long_call_chain"] == [f"depth={min(40, max(depth.values()))}"]
     assert sorted(r.name for r in rows if r.smell == "circular_dependency") == ["a → b → c → a", "b → c → b"]
+
+
+def test_effective_fields(spark, run, tables):
+    n = 210
+    rows = [(f"c{k:03d}", "r/f.py", "python", "class", [f"c{j:03d}" for j in range(k)], [], [("x", "c000", False)] if not k else [], [], k + 1, "r") for k in range(n)]
+    kinds = "name string, file string, language string, kind string, bases array<string>, interfaces array<string>, fields array<struct<name string, type string, is_collection boolean>>, method_names array<string>, line_start int, repo string"
+    spark.createDataFrame(rows, kinds).write.mode("overwrite").parquet(f"{tables}/parsed_classes.parquet")
+    assert n * (n - 1) // 2 > 20_000
+    assert {(r.owner, r.field, r.origin) for r in run("effective_fields")} == {(f"c{k:03d}", "x", "c000") for k in range(n)}

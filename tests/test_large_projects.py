@@ -86,3 +86,7 @@ def test_effective_fields(spark, run, tables):
     spark.createDataFrame(rows, kinds).write.mode("overwrite").parquet(f"{tables}/parsed_classes.parquet")
     assert n * (n - 1) // 2 > 20_000
     assert {(r.owner, r.field, r.origin) for r in run("effective_fields")} == {(f"c{k:03d}", "x", "c000") for k in range(n)}
+
+
+def test_scc_members(run):
+    assert {(r.name, r.component, r["size"]) for r in run("scc_members")} == {(v, "a", 3) for v in "abc"}

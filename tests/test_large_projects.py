@@ -90,3 +90,10 @@ def test_effective_fields(spark, run, tables):
 
 def test_scc_members(run):
     assert {(r.name, r.component, r["size"]) for r in run("scc_members")} == {(v, "a", 3) for v in "abc"}
+
+
+def test_max_chain_depth(run):
+    depth: dict[str, int] = {}
+    for v in [*sorted((v for v in UP if v.startswith("n")), reverse=True), "d", "c", "b", "a"]:
+        depth[v] = max((1 + depth.get(w, 0) for w in UP[v] if not {v, w} <= {"a", "b", "c"}), default=0)
+    assert [(r.repo, r.depth) for r in run("max_chain_depth")] == [("r", min(40, max(depth.values())))]

@@ -97,3 +97,7 @@ def test_max_chain_depth(run):
     for v in [*sorted((v for v in UP if v.startswith("n")), reverse=True), "d", "c", "b", "a"]:
         depth[v] = max((1 + depth.get(w, 0) for w in UP[v] if not {v, w} <= {"a", "b", "c"}), default=0)
     assert [(r.repo, r.depth) for r in run("max_chain_depth")] == [("r", min(40, max(depth.values())))]
+
+
+def test_simple_cycles_le6(run):
+    assert {(r.nodes, r.length) for r in run("simple_cycles_le6")} == {("a > b > c", 3), ("b > c", 2)}

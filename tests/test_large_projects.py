@@ -101,3 +101,9 @@ def test_max_chain_depth(run):
 
 def test_simple_cycles_le6(run):
     assert {(r.nodes, r.length) for r in run("simple_cycles_le6")} == {("a > b > c", 3), ("b > c", 2)}
+
+
+def test_transitive_closure(run):
+    rows = [(r.src, r.dst) for r in run("transitive_closure")]
+    want = {(v, w) for v, x in _reached().items() for w in x}
+    assert set(rows) == want and len(rows) == len(want)

@@ -107,3 +107,9 @@ def test_transitive_closure(run):
     rows = [(r.src, r.dst) for r in run("transitive_closure")]
     want = {(v, w) for v, x in _reached().items() for w in x}
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_risk_top50(run):
+    every = [r for r in run("risk_scores") if r.direct > 0]
+    best = sorted(every, key=lambda r: (-r.score, -r.transitive, r.repo, r.file, r.name, r.line_start))[:50]
+    assert [(r.name, r.score) for r in run("risk_top50")] == [(r.name, r.score) for r in best]

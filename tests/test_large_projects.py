@@ -1,6 +1,7 @@
 """A project of more than 20 000 edges is walked in memory, with the results of a walk by hand."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -113,3 +114,7 @@ def test_risk_top50(run):
     every = [r for r in run("risk_scores") if r.direct > 0]
     best = sorted(every, key=lambda r: (-r.score, -r.transitive, r.repo, r.file, r.name, r.line_start))[:50]
     assert [(r.name, r.score) for r in run("risk_top50")] == [(r.name, r.score) for r in best]
+
+
+def test_risk_histogram(run):
+    assert {r.level: r.functions for r in run("risk_histogram")} == Counter(r.level for r in run("risk_scores"))

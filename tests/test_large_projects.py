@@ -118,3 +118,9 @@ def test_risk_top50(run):
 
 def test_risk_histogram(run):
     assert {r.level: r.functions for r in run("risk_histogram")} == Counter(r.level for r in run("risk_scores"))
+
+
+def test_risk_warnings(run):
+    got = {r.name: r.warning for r in run("risk_warnings")}
+    assert set(got) == {r.name for r in run("risk_scores") if r.level == "high"}
+    assert got["a"] == f"1 direct; {len(_reached()['a'] - {'a'})} transitive; on a cycle"

@@ -124,3 +124,7 @@ def test_risk_warnings(run):
     got = {r.name: r.warning for r in run("risk_warnings")}
     assert set(got) == {r.name for r in run("risk_scores") if r.level == "high"}
     assert got["a"] == f"1 direct; {len(_reached()['a'] - {'a'})} transitive; on a cycle"
+
+
+def test_smell_summary(run):
+    assert {(r.smell, r.severity): r.findings for r in run("smell_summary")} == Counter((r.smell, r.severity) for r in run("smells_all"))

@@ -128,3 +128,11 @@ def test_risk_warnings(run):
 
 def test_smell_summary(run):
     assert {(r.smell, r.severity): r.findings for r in run("smell_summary")} == Counter((r.smell, r.severity) for r in run("smells_all"))
+
+
+def test_file_ranking(run):
+    weight = {"critical": 4, "high": 3, "medium": 2, "low": 1}
+    want: Counter[str] = Counter()
+    for r in run("smells_all"):
+        want[r.file or "(unknown)"] += weight[r.severity]
+    assert {r.file: r.weight for r in run("file_ranking")} == want and "(unknown)" in want

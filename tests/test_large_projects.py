@@ -136,3 +136,8 @@ def test_file_ranking(run):
     for r in run("smells_all"):
         want[r.file or "(unknown)"] += weight[r.severity]
     assert {r.file: r.weight for r in run("file_ranking")} == want and "(unknown)" in want
+
+
+def test_worst_severity(run):
+    worst = {r.name: r.worst for r in run("worst_severity")}
+    assert worst["a → b → c → a"] == "high" and worst["b → c → b"] == "critical"

@@ -141,3 +141,7 @@ def test_file_ranking(run):
 def test_worst_severity(run):
     worst = {r.name: r.worst for r in run("worst_severity")}
     assert worst["a → b → c → a"] == "high" and worst["b → c → b"] == "critical"
+
+
+def test_smells_by_layer(run):
+    assert {r.layer: r.findings for r in run("smells_by_layer")}["architecture"] == 3

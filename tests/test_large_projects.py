@@ -145,3 +145,8 @@ def test_worst_severity(run):
 
 def test_smells_by_layer(run):
     assert {r.layer: r.findings for r in run("smells_by_layer")}["architecture"] == 3
+
+
+def test_debt_score(run):
+    (r,) = run("debt_score")
+    assert r.findings == len(run("smells_all")) and r.debt > 0

@@ -150,3 +150,7 @@ def test_smells_by_layer(run):
 def test_debt_score(run):
     (r,) = run("debt_score")
     assert r.findings == len(run("smells_all")) and r.debt > 0
+
+
+def test_smell_scores(run):
+    assert {(r.smell, r.severity): r.instances for r in run("smell_scores")} == Counter((r.smell, r.severity) for r in run("smells_all"))

@@ -154,3 +154,8 @@ def test_debt_score(run):
 
 def test_smell_scores(run):
     assert {(r.smell, r.severity): r.instances for r in run("smell_scores")} == Counter((r.smell, r.severity) for r in run("smells_all"))
+
+
+def test_smell_root_causes(run):
+    rows = run("smell_root_causes")
+    assert [r.rank for r in rows] == [*range(1, 7)] and rows[0].score == max(r.score for r in run("smell_scores"))

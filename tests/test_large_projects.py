@@ -159,3 +159,7 @@ def test_smell_scores(run):
 def test_smell_root_causes(run):
     rows = run("smell_root_causes")
     assert [r.rank for r in rows] == [*range(1, 7)] and rows[0].score == max(r.score for r in run("smell_scores"))
+
+
+def test_smell_fix_tree(run):
+    assert {r.path: r.nodes for r in run("smell_fix_tree") if r.depth == 1}["circular_dependency"] == 2

@@ -163,3 +163,8 @@ def test_smell_root_causes(run):
 
 def test_smell_fix_tree(run):
     assert {r.path: r.nodes for r in run("smell_fix_tree") if r.depth == 1}["circular_dependency"] == 2
+
+
+def test_fix_plan(run):
+    rows = run("fix_plan")
+    assert [r.step for r in rows] == [*range(1, len(rows) + 1)] and {r.smell for r in rows} & {"circular_dependency", "long_call_chain"}

@@ -168,3 +168,8 @@ def test_smell_fix_tree(run):
 def test_fix_plan(run):
     rows = run("fix_plan")
     assert [r.step for r in rows] == [*range(1, len(rows) + 1)] and {r.smell for r in rows} & {"circular_dependency", "long_call_chain"}
+
+
+def test_fallback_plan(run):
+    rows, plan = run("fallback_plan"), run("fix_plan")
+    assert [(r.step, r.smell, r.name) for r in rows] == [(r.step, r.smell, r.name) for r in plan if r.step <= 6] and all(r.label for r in rows)

@@ -83,6 +83,12 @@ def is_private(name: F.Column, language: F.Column) -> F.Column:
     return F.when(language == "python", python).when(language.isin("javascript", "typescript"), script).otherwise(name.startswith("_"))
 
 
+def is_dead(rows: DataFrame, fan_in: F.Column) -> F.Column:
+    name = F.col("name")
+    dead = (fan_in == 0) & ~is_entry(name) & ~name.rlike(r"\Aanonymous_[0-9]+\z") & ~is_runtime(name) & is_private(name, F.col("language"))
+    return dead & ~F.coalesce("is_abstract", F.lit(False)) if "is_abstract" in rows.columns else dead
+
+
 def dead_code(fns: DataFrame, fan: DataFrame) -> DataFrame:
     """(repo, file, name, line_start, is_dead, confidence): uncalled private functions that no runtime calls.
 
@@ -90,10 +96,7 @@ def dead_code(fns: DataFrame, fan: DataFrame) -> DataFrame:
     """
     key = ["repo", "file", "name", "line_start"]
     rows = fns.join(fan.select(*key, F.col("fan_in").alias("__in")).distinct(), key)
-    name = F.col("name")
-    dead = (F.col("__in") == 0) & ~is_entry(name) & ~name.rlike(r"\Aanonymous_[0-9]+\z") & ~is_runtime(name) & is_private(name, F.col("language"))
-    if "is_abstract" in fns.columns:
-        dead = dead & ~F.coalesce("is_abstract", F.lit(False))
+    dead = is_dead(rows, F.col("__in"))
     return rows.select(*key, dead.alias("is_dead"), F.when(dead, "high").otherwise("none").alias("confidence"))
 
 
@@ -104,12 +107,10 @@ def _first_of(cond_values, other: str | None = None) -> F.Column:
     return out if other is None else out.otherwise(other)
 
 
-def function_smells(fns: DataFrame, fan: DataFrame, t: dict) -> DataFrame:
+def function_smells(fan: DataFrame, t: dict) -> DataFrame:
     """Smells of single functions, in one pass: each row's findings come as an array that is inlined."""
     c = F.col
     key = ["repo", "file", "name", "line_start"]
-    base = fns.drop("fan_in", "fan_out").join(fan.select(*key, "fan_in", "fan_out").distinct(), key)
-    base = base.join(dead_code(fns, fan).select(*key, "is_dead").distinct(), key)
     cc, params, deep, out_, in_ = c("complexity"), c("param_count"), c("max_nesting_depth"), c("fan_out"), c("fan_in")
     n, least = c("lines"), F.greatest(c("lines"), F.lit(1))
     ratio = out_ / F.greatest(in_, F.lit(1))
@@ -117,14 +118,14 @@ def function_smells(fns: DataFrame, fan: DataFrame, t: dict) -> DataFrame:
     found = {
         "long_method": F.when((n > t["long_method_lines"]) | (cc > t["long_method_cc"]), _first_of([((n > 200) | (cc > 25), "critical"), ((n > 80) | (cc > 15), "high")], "medium")),
         "feature_envy": F.when((out_ >= t["feature_envy_min_fan_out"]) & (ratio >= t["feature_envy_ratio"]), _first_of([((ratio >= 6) | (out_ >= 12), "high")], "medium")),
-        "dead_code": F.when(c("is_dead"), "high"),
+        "dead_code": F.when(is_dead(fan, in_), "high"),
         "too_many_params": F.when(params > t["too_many_params"], _first_of([(params >= 9, "high")], "medium")),
         "deep_nesting": _first_of([(deep >= F.greatest(F.lit(7), F.lit(t["deep_nesting_depth"])), "critical"), (deep >= F.greatest(F.lit(5), F.lit(t["deep_nesting_depth"])), "high"), (deep >= t["deep_nesting_depth"], "medium"), (dense & (cc / least >= 0.30), "high"), (dense, "medium")]),
         "switch_smell": F.when((cc >= t["switch_smell_min_cc"]) & (least <= t["switch_smell_max_loc"]), _first_of([(cc >= 12, "high")], "medium")),
         "magic_numbers": F.when(c("literal_count") >= t["magic_number_min"], _first_of([(c("literal_count") >= 10, "high")], "medium")),
     }
     every = F.array(*[F.struct(F.lit(k).alias("smell"), v.alias("severity")) for k, v in found.items()])
-    rows = base.select(*key, F.filter(every, lambda x: x["severity"].isNotNull()).alias("x")).select(*key, F.inline("x"))
+    rows = fan.select(*key, F.filter(every, lambda x: x["severity"].isNotNull()).alias("x")).select(*key, F.inline("x"))
     return rows.select("repo", "smell", "file", "name", "line_start", "severity")
 
 
@@ -197,10 +198,10 @@ def long_call_chain(depths: DataFrame, t: dict) -> DataFrame:
 def detect(fns: DataFrame, fan: DataFrame, cycles: DataFrame | None = None, depths: DataFrame | None = None, thresholds: dict | None = None) -> DataFrame:
     """(repo, smell, file, name, line_start, severity) of all detectors; module, chain and cycle findings have no line.
 
-    ``cycles`` and ``depths`` feed the two detectors on call chains. The duplicate detector finds nothing by definition.
+    ``fan`` has the function rows with fan_in and fan_out; ``cycles`` and ``depths`` feed the two detectors on call chains. The duplicate detector finds nothing by definition.
     """
     t = THRESHOLDS | (thresholds or {})
-    out = [function_smells(fns, fan, t), module_smells(fns, t), shotgun_surgery(fns, fan, t)]
+    out = [function_smells(fan, t), module_smells(fan, t), shotgun_surgery(fns, fan, t)]
     if cycles is not None:
         out.append(circular_dependency(cycles, fns))
     if depths is not None:

@@ -29,9 +29,11 @@ def _fan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _smells(spark: SparkSession, d: str) -> DataFrame:
-    f = cut(fns(spark, d))
+    every = fns(spark, d)
+    own = ["language", "module", "virtual_module", "lines", "complexity", "param_count", "max_nesting_depth", "literal_count", *(c for c in ("is_abstract",) if c in every.columns)]
+    f = cut(every.select("repo", "file", "name", "line_start", "calls", *own))
     edges = cut(name_graph(f))
-    return cut(smells.detect(f, cut(graph.rescued(graph.fan(f), _files(spark, d))), graph.simple_cycles(edges, first=5), graph.longest_chain(edges)))
+    return cut(smells.detect(f, cut(graph.rescued(graph.fan(f, *own), _files(spark, d))), graph.simple_cycles(edges, first=5), graph.longest_chain(edges)))
 
 
 def dead_code(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -288,10 +289,8 @@ def fix_plan(smells: DataFrame, steps: int = 10) -> DataFrame:
     leads = reached(smells).groupBy("repo", "smell").agg(F.array_sort(F.collect_list("leads_to")).alias("leads"))
     rows = rows.join(counts, ["repo", "smell"]).join(leads, ["repo", "smell"], "left")
 
-    def plan(pdf):
-        import pandas as pd
-
-        rows = pdf.astype(object).where(pdf.notna(), None).sort_values(["detector", "r"]).to_dict("records")
+    def plan(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["detector"] is None, r["detector"], r["r"]))
         size = {r["smell"]: r["k"] for r in rows}
         gone: set[str] = set()
         picked: dict[str, int] = {}
@@ -308,9 +307,12 @@ def fix_plan(smells: DataFrame, steps: int = 10) -> DataFrame:
             gone.update(leads)
             picked[best["smell"]] = best["r"]
         out.sort(key=lambda r: (-r[8], -SEVERITY[r[3]]))
-        return pd.DataFrame([(r[0], k + 1, *r[2:]) for k, r in enumerate(out)], columns=[x.split()[0] for x in PLAN.split(", ")])
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+        columns = zip(*[(r[0], k + 1, *r[2:]) for k, r in enumerate(out)])
+        return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(map(str.split, PLAN.split(", ")), columns)})
 
-    return rows.groupBy("repo").applyInPandas(plan, PLAN)
+    needed = ("repo", "smell", "severity", "file", "name", "score", "gain", "detector", "effort", "r", "k", "leads")
+    return rows.select(*needed).groupBy("repo").applyInArrow(plan, PLAN)
 
 
 def fix_tree(smells: DataFrame) -> DataFrame:

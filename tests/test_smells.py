@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from codeweft.operators import graph
+from codeweft.operators import graph, smells
 
 FUNCTIONS = "name string, file string, language string, module string, virtual_module string, line_start int, line_end int, complexity int, calls array<string>, param_count int, max_nesting_depth int, literal_count int, repo string"
 FILES = "path string, repo string, language string, content string"
@@ -45,3 +45,12 @@ def test_marks_shared_by_names_change_nothing(spark, monkeypatch, marks):
     fan = spark.createDataFrame([("r", "a.py", "x", 1, 0, 0), ("r", "a.py", "y", 2, 3, 0)], "repo string, file string, name string, line_start int, fan_in long, fan_out int")
     files = spark.createDataFrame([("b.py", "r", "python", "y z")], FILES)
     assert {r.name: r.fan_in for r in graph.rescued(fan, files).collect()} == {"x": 0, "y": 3}
+
+
+def test_fix_plan_goes_by_arrow_tables(spark):
+    """The most gain first: a critical class leads to the long method, which is gone then; no pandas frame a project."""
+    rows = [("r", "god_class", None, "C", None, "critical"), ("r", "long_method", "a.py", "f", 3, "medium"), ("r", "lazy_class", "a.py", "D", None, "low"), ("s", "lazy_class", "b.py", "E", None, "low")]
+    plan = smells.fix_plan(spark.createDataFrame(rows, "repo string, smell string, file string, name string, line_start int, severity string"))
+    got = sorted((r.repo, r.step, r.smell, r.file, r.name, r.resolves, r.effort, r.roi, r.score) for r in plan.collect())
+    assert got == [("r", 1, "lazy_class", "a.py", "D", 1, 1, 1.0, 1), ("r", 2, "god_class", None, "C", 2, 5, 0.4, 6), ("s", 1, "lazy_class", "b.py", "E", 1, 1, 1.0, 1)]
+    assert "FlatMapGroupsInArrow" in plan._jdf.queryExecution().executedPlan().toString()

@@ -54,3 +54,7 @@ def test_fix_plan_goes_by_arrow_tables(spark):
     got = sorted((r.repo, r.step, r.smell, r.file, r.name, r.resolves, r.effort, r.roi, r.score) for r in plan.collect())
     assert got == [("r", 1, "lazy_class", "a.py", "D", 1, 1, 1.0, 1), ("r", 2, "god_class", None, "C", 2, 5, 0.4, 6), ("s", 1, "lazy_class", "b.py", "E", 1, 1, 1.0, 1)]
     assert "FlatMapGroupsInArrow" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_file_ranking_by_row(spark, tables):
+    assert {r.file: r.weight for r in entry.queries()["file_ranking"](spark, tables).collect()} == {"r/a.py": 8}

@@ -58,3 +58,7 @@ def test_fix_plan_goes_by_arrow_tables(spark):
 
 def test_file_ranking_by_row(spark, tables):
     assert {r.file: r.weight for r in entry.queries()["file_ranking"](spark, tables).collect()} == {"r/a.py": 8}
+
+
+def test_debt_score_by_row(spark, tables):
+    assert [(r.findings, r.debt) for r in entry.queries()["debt_score"](spark, tables).collect()] == [(3, 11.5)]

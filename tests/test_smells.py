@@ -62,3 +62,8 @@ def test_file_ranking_by_row(spark, tables):
 
 def test_debt_score_by_row(spark, tables):
     assert [(r.findings, r.debt) for r in entry.queries()["debt_score"](spark, tables).collect()] == [(3, 11.5)]
+
+
+def test_smell_scores_by_row(spark, tables):
+    rows = entry.queries()["smell_scores"](spark, tables).collect()
+    assert {(r.smell, r.severity): r.instances for r in rows} == {("dead_code", "high"): 1, ("feature_envy", "medium"): 1, ("feature_envy", "high"): 1}

@@ -67,3 +67,7 @@ def test_debt_score_by_row(spark, tables):
 def test_smell_scores_by_row(spark, tables):
     rows = entry.queries()["smell_scores"](spark, tables).collect()
     assert {(r.smell, r.severity): r.instances for r in rows} == {("dead_code", "high"): 1, ("feature_envy", "medium"): 1, ("feature_envy", "high"): 1}
+
+
+def test_smells_by_layer_by_row(spark, tables):
+    assert {r.layer: r.findings for r in entry.queries()["smells_by_layer"](spark, tables).collect()} == {"function": 3}

@@ -71,3 +71,8 @@ def test_smell_scores_by_row(spark, tables):
 
 def test_smells_by_layer_by_row(spark, tables):
     assert {r.layer: r.findings for r in entry.queries()["smells_by_layer"](spark, tables).collect()} == {"function": 3}
+
+
+def test_smell_root_causes_by_row(spark, tables):
+    rows = entry.queries()["smell_root_causes"](spark, tables).collect()
+    assert sorted((r.rank, r.name, r.score) for r in rows) == [(1, "twice", 3), (2, "_alone", 3), (3, "twice", 2)]

@@ -76,3 +76,7 @@ def test_smells_by_layer_by_row(spark, tables):
 def test_smell_root_causes_by_row(spark, tables):
     rows = entry.queries()["smell_root_causes"](spark, tables).collect()
     assert sorted((r.rank, r.name, r.score) for r in rows) == [(1, "twice", 3), (2, "_alone", 3), (3, "twice", 2)]
+
+
+def test_smell_fix_tree_by_row(spark, tables):
+    assert {r.path: r.nodes for r in entry.queries()["smell_fix_tree"](spark, tables).collect()} == {"dead_code": 1, "feature_envy": 2}

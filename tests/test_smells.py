@@ -80,3 +80,8 @@ def test_smell_root_causes_by_row(spark, tables):
 
 def test_smell_fix_tree_by_row(spark, tables):
     assert {r.path: r.nodes for r in entry.queries()["smell_fix_tree"](spark, tables).collect()} == {"dead_code": 1, "feature_envy": 2}
+
+
+def test_fallback_plan_by_row(spark, tables):
+    rows = entry.queries()["fallback_plan"](spark, tables).collect()
+    assert sorted((r.step, r.smell, r.severity) for r in rows) == [(1, "dead_code", "high"), (2, "feature_envy", "high"), (3, "feature_envy", "medium")]

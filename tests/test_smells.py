@@ -85,3 +85,7 @@ def test_smell_fix_tree_by_row(spark, tables):
 def test_fallback_plan_by_row(spark, tables):
     rows = entry.queries()["fallback_plan"](spark, tables).collect()
     assert sorted((r.step, r.smell, r.severity) for r in rows) == [(1, "dead_code", "high"), (2, "feature_envy", "high"), (3, "feature_envy", "medium")]
+
+
+def test_worst_severity_by_row(spark, tables):
+    assert {r.name: r.worst for r in entry.queries()["worst_severity"](spark, tables).collect()} == {"twice": "high", "_alone": "high"}

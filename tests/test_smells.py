@@ -89,3 +89,9 @@ def test_fallback_plan_by_row(spark, tables):
 
 def test_worst_severity_by_row(spark, tables):
     assert {r.name: r.worst for r in entry.queries()["worst_severity"](spark, tables).collect()} == {"twice": "high", "_alone": "high"}
+
+
+def test_small_projects_start_no_rounds(spark, tables, monkeypatch):
+    monkeypatch.setattr(graph, "_rounds", None)
+    for name in ("scc_members",):
+        entry.queries()[name](spark, tables).collect()

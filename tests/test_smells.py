@@ -93,5 +93,5 @@ def test_worst_severity_by_row(spark, tables):
 
 def test_small_projects_start_no_rounds(spark, tables, monkeypatch):
     monkeypatch.setattr(graph, "_rounds", None)
-    for name in ("scc_members", "risk_top50", "risk_histogram", "risk_warnings"):
+    for name in ("scc_members", "risk_top50", "risk_histogram", "risk_warnings", "transitive_closure"):
         entry.queries()[name](spark, tables).collect()

@@ -95,3 +95,9 @@ def test_small_projects_start_no_rounds(spark, tables, monkeypatch):
     monkeypatch.setattr(graph, "_rounds", None)
     for name in ("scc_members", "risk_top50", "risk_histogram", "risk_warnings", "transitive_closure"):
         entry.queries()[name](spark, tables).collect()
+
+
+def test_repeated_edges_count_once(spark):
+    edges = spark.createDataFrame([("r", "a", "b"), ("r", "a", "b"), ("r", "b", "a"), ("r", "b", "c")], "repo string, src string, dst string")
+    assert graph._split(edges)[1] is None
+    assert [tuple(r) for r in graph.longest_chain(edges).collect()] == [("r", 1)]

@@ -101,3 +101,4 @@ def test_repeated_edges_count_once(spark):
     edges = spark.createDataFrame([("r", "a", "b"), ("r", "a", "b"), ("r", "b", "a"), ("r", "b", "c")], "repo string, src string, dst string")
     assert graph._split(edges)[1] is None
     assert [tuple(r) for r in graph.longest_chain(edges).collect()] == [("r", 1)]
+    assert [tuple(r) for r in graph.simple_cycles(edges).collect()] == [("r", "a > b", 2)]

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from codeweft.operators import graph
@@ -61,3 +62,20 @@ def test_empty_graph(spark):
     df = spark.createDataFrame([], "repo string, src string, dst string")
     closed = graph.closure(df)
     assert closed.count() == graph.simple_cycles(df).count() == graph.reach(df).count() == graph.longest_chain(df).count() == 0
+
+
+@pytest.mark.parametrize("towards", [False, True])  # a hub of many callees, and one of many callers
+def test_cycles_of_a_hub_are_shared_by_tasks(towards):
+    rng = random.Random(5)
+    ends = [("a", f"n{k:02d}") for k in range(40)] + [(f"n{k:02d}", "a") for k in range(12)]
+    ends += sorted({(f"n{x:02d}", f"n{y:02d}") for x, y in ((rng.randrange(40), rng.randrange(40)) for _ in range(50)) if x != y})
+    src, dst = (pa.chunked_array([[e[k] for e in ends]]) for k in ((1, 0) if towards else (0, 1)))
+    project = graph._Project(src, dst)
+
+    def found(part, parts):
+        return [n for b in graph._cycles_of(6, None)(project, "r", part, parts) for n in b["nodes"].to_pylist()]
+
+    whole, shares = found(0, 1), [found(k, 4) for k in range(4)]
+    assert len(whole) == len(set(whole)) and sorted(whole) == sorted(sum(shares, []))
+    hub = [sum(n.startswith("a > ") for n in share) for share in shares]
+    assert max(hub) < 0.6 * sum(hub) and sum(hub) > 50

@@ -79,3 +79,32 @@ def test_cycles_of_a_hub_are_shared_by_tasks(towards):
     assert len(whole) == len(set(whole)) and sorted(whole) == sorted(sum(shares, []))
     hub = [sum(n.startswith("a > ") for n in share) for share in shares]
     assert max(hub) < 0.6 * sum(hub) and sum(hub) > 50
+
+
+def _shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_tasks_that_share_cycles_get_no_other_edges(spark):
+    n, off = 35, 20_000
+    layers = [(f"{a}{x:02d}", f"{b}{y:02d}") for a, b in ("ab", "bc", "cd") for x in range(n) for y in range(n)] + [(f"d{x:02d}", f"a{x:02d}") for x in range(n)]
+    ends = layers + [(f"x{k // 100:03d}", f"y{k % 100:02d}") for k in range(off)]
+    df = spark.createDataFrame([("r", *e) for e in ends], "repo string, src string, dst string").cache()
+    count, before = df.count(), _shuffled(spark)
+    rows = [(r.repo, r.nodes, r.length) for r in graph.simple_cycles(df).collect()]
+    want = {("r", f"a{x:02d} > b{y:02d} > c{z:02d} > d{x:02d}", 4) for x in range(n) for y in range(n) for z in range(n)}
+    assert len(rows) == len(want) and set(rows) == want
+    assert _shuffled(spark) - before < 1.5 * count
+    df.unpersist()
+
+
+@pytest.mark.parametrize("small", [0, 8, 20_000])  # by rounds of joins, by project once what is on no cycle is gone, and by project
+def test_cycles_of_raw_calls(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    calls = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")] * 2 + [("a", "a"), ("c", "log"), ("b", "log"), ("log", "log"), ("d", "a"), ("d", "print")]
+    df = spark.createDataFrame([("r", *e) for e in calls] + [(None, "a", "b"), (None, "b", "a")], "repo string, src string, dst string")
+    assert sorted((r.repo, r.nodes, r.length) for r in graph.simple_cycles(df).collect()) == [("r", "a > b", 2), ("r", "a > b > c", 3)]
